@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curvespace.llm import packing, sharding, simhash, suffix_dedup
+from curvespace.llm import decontaminate, line_dedup, packing, sharding, simhash, suffix_dedup, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,11 +33,29 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = line_dedup.remove_repeated_chunks(table(spark, sf_dir, "documents"), counts="lines_removed")
+    return got.select("doc_id", "lines_removed", F.md5(F.col("text").cast("binary")).alias("kept_md5"))
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.grade(docs, model, carry=["doc_id"])
+
+
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op3_sharding": op3_sharding,
     "op4_suffix_dedup": op4_suffix_dedup,
     "op5_simhash": op5_simhash,
+    "op7_line_dedup": op7_line_dedup,
+    "op8_toxicity": op8_toxicity,
+    "op9_decontamination": op9_decontamination,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op7_line_dedup": line_dedup.oracle()}
