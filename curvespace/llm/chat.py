@@ -76,8 +76,8 @@ WITH n AS (
          p.text || '{END}' AS body
   FROM p JOIN w ON p.conv_id = w.conv_id
 ), o AS (
-  SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, speaker, part ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM r
+  SELECT *, coalesce(sum(length(head) + length(body) + 1) OVER (PARTITION BY conv_id, speaker, part ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins FROM r
 )
 SELECT conv_id, speaker, part, CAST(count(*) AS INTEGER) AS n_turns, string_agg(head || body || chr(10), '' ORDER BY place) AS text,
-       coalesce(string_agg(CAST(CAST(at + length(head) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(at + length(head) + length(body) AS BIGINT) AS VARCHAR), ',' ORDER BY place) FILTER (mine), '') AS mask
+       coalesce(string_agg(CAST(CAST(begins + length(head) AS BIGINT) AS VARCHAR) || '-' || CAST(CAST(begins + length(head) + length(body) AS BIGINT) AS VARCHAR), ',' ORDER BY place) FILTER (mine), '') AS mask
 FROM o GROUP BY conv_id, speaker, part"""
