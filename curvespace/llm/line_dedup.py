@@ -64,13 +64,13 @@ def remove_repeated_chunks(docs: DataFrame, divisor: int = 3, doc_id: str = "doc
 
     seen = each.select("h", "at").groupBy("h").agg(F.min("at").alias("first"), F.max("at").alias("last")).filter("first <> last").select("h", "first")
     seen = keep(seen)
-    hits = keep(each.join(seen, "h"))
+    hits = keep(each.join(seen.hint("merge"), "h"))  # texts are dealt once, at every size alike
     model = keep(hits.filter("at = first").select("h", F.col("body").alias("model")).dropDuplicates(["h"]))
     same = hits.filter("at <> first").join(model, "h").filter("body = model")
     gone = keep(same.groupBy("at.id", "at.t").agg(F.collect_set("at.k").alias("gone_")).select(F.col("id").alias("i_"), F.col("t").alias("u_"), "gone_"))
     forget(seen, hits, model)
 
-    joined = rows.join(gone, (F.col(f"{ids}.none") == F.col("i_.none")) & F.col(f"{ids}.id").eqNullSafe(F.col("i_.id")) & (F.col(t) == F.col("u_")), "left")
+    joined = rows.join(gone.hint("merge"), (F.col(f"{ids}.none") == F.col("i_.none")) & F.col(f"{ids}.id").eqNullSafe(F.col("i_.id")) & (F.col(t) == F.col("u_")), "left")
     part = free_name(docs, "part_")
     touched = chunked(joined.withColumn(part, F.when(F.col("gone_").isNotNull(), F.col(text))), part, divisor, ch)
     left = F.filter(F.col(ch), lambda c, k: ~F.array_contains("gone_", k))
