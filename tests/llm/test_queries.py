@@ -1,0 +1,136 @@
+"""Every registered query against its plain version, on a table of hard cases, on empty tables and on the test tables."""
+
+from collections import Counter
+
+import brute
+import numpy as np
+import public_tokenizers
+import pyarrow.parquet as pq
+import pytest
+
+from curvespace.llm import queries, toxicity
+
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
+def got(spark, name, folder, *cols):
+    df = queries.QUERIES[name](spark, folder)
+    return [tuple(r) for r in df.select(*cols or df.columns).collect()]
+
+
+def read(folder, name, *cols):
+    t = pq.read_table(f"{folder}/{name}.parquet").select(cols)
+    return list(zip(*(t.column(c).to_pylist() for c in cols), strict=True))
+
+
+def equal(a, b):
+    a, b = Counter(a), Counter(b)
+    assert a == b, (list((a - b).items())[:3], list((b - a).items())[:3])
+
+
+@pytest.fixture(params=["case", "small"])
+def folder(request, small):
+    return request.getfixturevalue("case")[0] if request.param == "case" else small
+
+
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_empty_tables(spark, empty, name):
+    assert got(spark, name, empty) == []
+
+
+def test_packing(spark, folder):
+    rows = got(spark, "op1_packing", folder, "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    equal([r[:5] for r in rows], brute.pieces(read(folder, "documents", "doc_id", "text"), TOKENIZER))
+    held = {}
+    for *_, length, _, seq, offset in rows:
+        held.setdefault(seq, []).append((offset, length))
+    for own in held.values():
+        at = 0
+        for offset, length in sorted(own):
+            assert offset == at
+            at += length
+        assert at <= 2048
+    least = -(-sum(r[3] for r in rows) // 2048)
+    assert least <= len(held) <= 1.02 * least + 1
+
+
+def test_topk(spark, folder):
+    equal(got(spark, "op2_topk", folder, "query_id", "rank", "vec_id", "score"), brute.top(read(folder, "embeddings", "vec_id", "embedding")))
+
+
+def test_sharding(spark, folder):
+    rows = got(spark, "op3_sharding", folder, "doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
+    import zlib
+
+    docs = read(folder, "documents", "doc_id", "text")
+    equal([r[:3] for r in rows], [(i, len((t or "").encode()) + 16, zlib.crc32((t or "").encode())) for i, t in docs])
+    counts = Counter(r[4] for r in rows)
+    sizes = [counts.get(s, 0) for s in range(40)]
+    assert sum(sizes) == len(docs)
+    assert max(sizes) - min(sizes) <= 1
+    assert {r[3] for r in rows} == {"rows"}
+    assert all(r[6] is None for r in rows)
+    equal([(r[4], r[5]) for r in rows], [(s, k) for s in range(40) for k in range(sizes[s])])
+
+
+def test_suffix_dedup(spark, folder):
+    equal(got(spark, "op4_suffix_dedup", folder, "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"), brute.repeats(read(folder, "documents", "doc_id", "text")))
+
+
+def test_simhash(spark, folder):
+    equal(got(spark, "op5_simhash", folder, "doc_id", "fingerprint", "component_id"), brute.near(read(folder, "documents", "doc_id", "text")))
+
+
+def test_chat(spark, folder):
+    equal(got(spark, "op6_chat", folder, "conv_id", "speaker", "part", "n_turns", "text", "mask"), brute.perspectives(read(folder, "conversations", "conv_id", "turn", "role", "text")))
+
+
+def test_line_dedup(spark, folder):
+    import hashlib
+
+    rows = got(spark, "op7_line_dedup", folder, "doc_id", "lines_removed", "kept_md5")
+    docs = read(folder, "documents", "doc_id", "text")
+    want = {r[0]: (r[1], r[2] and hashlib.md5(r[2].encode()).hexdigest() if r[2] != "" else hashlib.md5(b"").hexdigest()) for r in brute.line_dedup(set(docs))}
+    equal(rows, [(i, *want[i]) for i, _ in docs])
+
+
+def test_toxicity(spark, folder):
+    docs = read(folder, "documents", "doc_id", "text")
+    rows = got(spark, "op8_toxicity", folder, "doc_id", "severity", "grade", "toxic")
+    model = toxicity.fit(*(spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels")))
+    cuts, want = np.array(model.cuts), []
+    for i, t in docs:
+        x = sum(model.weights.get(f, 0.0) for f in sorted(toxicity.features(t)))
+        above = 1 / (1 + np.exp(np.clip(cuts - x, -60, 60)))
+        p = [1 - above[0], *(above[:-1] - above[1:]), above[-1]]
+        want.append((i, round(float(above.sum()), 6), int(np.argmax(p)), bool(above[0] >= 0.4)))
+    equal([(r[0], round(r[1], 6), r[2], r[3]) for r in rows], want)
+
+
+def test_toxicity_held_out(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    model = toxicity.fit(docs, labels.filter("doc_id % 2 = 0"))
+    rest = labels.filter("doc_id % 2 = 1").select("doc_id", labels.toxic.alias("y"))
+    told = toxicity.grade(docs, model, carry=["doc_id"]).join(rest, "doc_id").select("toxic", "y").collect()
+    hits = sum(bool(r.toxic) and r.y == 1 for r in told)
+    assert hits >= 0.8 * sum(r.y for r in told)
+    assert hits >= 0.9 * sum(bool(r.toxic) for r in told)
+
+
+def test_decontamination(spark, folder):
+    docs = read(folder, "documents", "doc_id", "text")
+    if len(docs) > 100:  # the plain version compares every window with every item
+        docs = [d for d in docs if len(d[1] or "") < 4000]
+    held = {d[0] for d in docs}
+    rows = [r for r in got(spark, "op9_decontamination", folder, "doc_id", "item_id", "similarity", "start", "n_words", "distance") if r[0] in held]
+    equal(rows, brute.leaks(docs, read(folder, "benchmark", "item_id", "text")))
+
+
+def test_warc(spark, folder):
+    equal(got(spark, "op10_warc", folder, "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"), brute.archived(read(folder, "pages", "page_id", "html")))
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE))
+def test_sql(spark, small, check_sql, name):
+    check_sql(queries.QUERIES[name](spark, small), queries.ORACLE[name], small)
