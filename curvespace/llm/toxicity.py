@@ -17,6 +17,8 @@ from curvespace.llm.common import free_name, keep, ready
 PREFIXES = (3, 4, 5, 6)
 _EDGE = ".,;:!?\"'()[]{}<>|*#$%&-_/\\"
 REMEMBERED = 400_000
+#: Probability of any toxic grade from which a document counts as toxic (chosen on labels held out of the fit).
+THRESHOLD = 0.25
 
 
 def word_features(word: str) -> tuple[str, ...]:
@@ -129,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 8000, vocabulary: int
     return OrdinalModel({f: float(w[k]) for f, (k, _, _) in chosen.items() if abs(w[k]) > 1e-3}, tuple(float(c) for c in cuts))
 
 
-def grade(docs: DataFrame, model: OrdinalModel, threshold: float = 0.4, text: str = "text", into: tuple[str, str, str] = ("severity", "grade", "toxic"), carry: list[str] | None = None) -> DataFrame:
+def grade(docs: DataFrame, model: OrdinalModel, threshold: float = THRESHOLD, text: str = "text", into: tuple[str, str, str] = ("severity", "grade", "toxic"), carry: list[str] | None = None) -> DataFrame:
     """``carry`` (all columns if not given) and three more: expected severity, most probable grade, and whether the
     probability of any toxic grade reaches ``threshold``. Null or empty text shows no feature."""
     ready(docs.sparkSession)
@@ -150,7 +152,7 @@ def grade(docs: DataFrame, model: OrdinalModel, threshold: float = 0.4, text: st
     return rows.mapInArrow(run, schema)
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.4, text: str = "text", **how) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, text: str = "text", **how) -> DataFrame:
     """``docs`` without the documents that the model, fitted on ``labels``, finds toxic; columns stay as they are."""
     names = tuple(free_name(docs, n) for n in ("severity", "grade", "toxic"))
     return grade(docs, fit(docs, labels, text=text, **how), threshold, text, names).filter(~F.col(names[2])).select(*docs.columns)

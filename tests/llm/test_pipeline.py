@@ -27,7 +27,7 @@ def test_run_is_what_the_plain_stages_give(spark, small):
     clean = []
     for i, t in rows:
         x = sum(model.weights.get(f, 0.0) for f in toxicity.features(t))
-        if model.exceed([x])[0, 0] < 0.4:
+        if model.exceed([x])[0, 0] < toxicity.THRESHOLD:
             clean.append((i, t))
     assert len(clean) < len(rows)
     lined = [(i, t) for i, _, t in brute.line_dedup(clean)]

@@ -103,19 +103,19 @@ def test_toxicity(spark, folder):
         x = sum(model.weights.get(f, 0.0) for f in sorted(toxicity.features(t)))
         above = 1 / (1 + np.exp(np.clip(cuts - x, -60, 60)))
         p = [1 - above[0], *(above[:-1] - above[1:]), above[-1]]
-        want.append((i, round(float(above.sum()), 6), int(np.argmax(p)), bool(above[0] >= 0.4)))
+        want.append((i, round(float(above.sum()), 6), int(np.argmax(p)), bool(above[0] >= toxicity.THRESHOLD)))
     equal([(r[0], round(r[1], 6), r[2], r[3]) for r in rows], want)
 
 
 def test_toxicity_held_out(spark):
-    folder = "/root/testdata/sf0.01"
+    folder = "/root/testdata/sf0.1"  # half of the labels of smaller tables are too few
     docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
     model = toxicity.fit(docs, labels.filter("doc_id % 2 = 0"))
     rest = labels.filter("doc_id % 2 = 1").select("doc_id", labels.toxic.alias("y"))
     told = toxicity.grade(docs, model, carry=["doc_id"]).join(rest, "doc_id").select("toxic", "y").collect()
     hits = sum(bool(r.toxic) and r.y == 1 for r in told)
     assert hits >= 0.8 * sum(r.y for r in told)
-    assert hits >= 0.9 * sum(bool(r.toxic) for r in told)
+    assert hits >= 0.95 * sum(bool(r.toxic) for r in told)
 
 
 def test_decontamination(spark, folder):
