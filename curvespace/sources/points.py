@@ -72,7 +72,7 @@ def read_plt(spark: SparkSession, root: str, header_lines: int = 6) -> DataFrame
     """``user, traj_id, ordinal, lat, lon, date, time`` of ``root/<user>/Trajectory/*.plt``; a line that lacks fields
     or numbers gives nulls."""
     path = F.col("_metadata.file_path")
-    whole = spark.read.option("wholetext", True).text(f"{root}/*/Trajectory/*.plt").select(F.col("value"), path.alias("path"))
+    whole = spark.read.text(f"{root}/*/Trajectory/*.plt", wholetext=True).select(F.col("value"), path.alias("path"))
     lines = whole.select("path", F.posexplode(F.split("value", "\r?\n")).alias("ordinal", "line")).filter((F.col("ordinal") >= header_lines) & (F.trim("line") != ""))
     part = F.split("line", ",")
     user, stem = F.regexp_extract("path", r"([^/]+)/Trajectory/[^/]+$", 1), F.regexp_extract("path", r"([^/]+)\.plt$", 1)
