@@ -93,6 +93,18 @@ def ranked(df: DataFrame, keys: Sequence[str], rid: str, name: str, order: Seque
     return rows.join(base, on).withColumn(name, F.col(name).cast("long") + F.col("base_")).select(*[c for c in df.columns if c != blk], name)
 
 
+def join_spread(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined with ``keys`` (unique ``key``, and ``n``: its rows) by equality; no task gets a large key whole.
+
+    Keys of more rows than one in 10,000 of all (1,000 at least) number 10,000 at most and are broadcast; the others
+    are dealt by key. Both tables are read more than once, so they should be made by :func:`keep`.
+    """
+    total = keys.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    many = F.col("n") > max(1000, total // 10_000)
+    hot, rest = F.broadcast(keys.filter(many).drop("n")), keys.filter(~many).drop("n")
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rest.hint("merge"), key))
+
+
 def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """Connected components of ``edges(u, v)``, both long: ``(node, root)`` with root the least node reachable.
 
