@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -24,16 +25,18 @@ def ready(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; one is made only where it is unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, one is made on this
+    machine, but only if the session runs on it alone; elsewhere that raises."""
     known = spark.conf.get("spark.checkpoint.dir", None)
-    if not known:
-        got = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if got.isDefined():
-            return got.get()
-        known = "file://" + tempfile.mkdtemp(prefix="curvespace-")
-        spark.sparkContext.setCheckpointDir(known)
-        return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return known
+    if known:
+        return known
+    got = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if got.isDefined():
+        return got.get()
+    if not re.fullmatch(r"local(\[[^\[\]]*\])?", spark.sparkContext.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="curvespace-"))
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
 def keep(df: DataFrame) -> DataFrame:
@@ -54,9 +57,9 @@ def forget(*tables: DataFrame) -> None:
             path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
-def free_name(df: DataFrame, base: str) -> str:
-    """A column name that ``df`` does not have (names compare without case)."""
-    taken = {c.lower() for c in df.columns}
+def free_name(df: DataFrame, base: str, *more: str) -> str:
+    """A column name that neither ``df`` nor ``more`` has (names compare without case)."""
+    taken = {c.lower() for c in (*df.columns, *more)}
     name, k = base, 0
     while name.lower() in taken:
         k += 1
@@ -64,33 +67,41 @@ def free_name(df: DataFrame, base: str) -> str:
     return name
 
 
+def free_names(df: DataFrame, *bases: str) -> list[str]:
+    """Several such names, all different."""
+    out: list[str] = []
+    for base in bases:
+        out.append(free_name(df, base, *out))
+    return out
+
+
 def tagged(df: DataFrame, name: str) -> DataFrame:
     """``df`` with a row number ``name``, fixed by writing it down: partition number times 2**33, plus place in it."""
     return keep(df.withColumn(name, F.monotonically_increasing_id()))
 
 
-def ranked(df: DataFrame, keys: Sequence[str], rid: str, name: str, order: Sequence[Column] = ()) -> DataFrame:
+def ranked(df: DataFrame, keys: Sequence[str], rid: str, name: str, order: Sequence[Column] = (), block_bits: int = 16) -> DataFrame:
     """``df`` with ``name``: place from 0 among the rows of equal ``keys``, by ``order`` and then ``rid``.
 
     ``rid`` is a column of :func:`tagged`. Rows are numbered inside blocks of bounded size and the blocks' counts
     are summed, so no task ever holds all rows of a key. Without ``order`` the blocks are pieces of the input
-    partitions; with it, they are ranges of (keys, order, rid).
+    partitions, of ``2**block_bits`` rows at most; with it, they are ranges of (keys, order, rid).
     """
-    blk = free_name(df, "blk")
+    blk, at, many, base, *own = free_names(df, "blk", "at_blk", "many", "base", *[f"own_{k}" for k in keys])
     if order:
         n = max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
         df = keep(df.repartitionByRange(n, *[F.col(k) for k in keys], *order, F.col(rid)).withColumn(blk, F.spark_partition_id().cast("long")))
     else:
-        df = df.withColumn(blk, F.shiftright(F.col(rid), 16))
+        df = df.withColumn(blk, F.shiftright(F.col(rid), block_bits))
     within = Window.partitionBy(*keys, blk).orderBy(*order, rid)
-    counts = df.groupBy(*keys, blk).agg(F.count(F.lit(1)).alias("n_"))
-    before = F.sum("n_").over(Window.partitionBy(*keys).orderBy(blk).rowsBetween(Window.unboundedPreceding, -1))
-    base = counts.select(*[F.col(k).alias(f"k{i}_") for i, k in enumerate(keys)], F.col(blk).alias("b_"), F.coalesce(before, F.lit(0)).alias("base_"))
+    counts = df.groupBy(*keys, blk).agg(F.count(F.lit(1)).alias(many))
+    before = F.sum(many).over(Window.partitionBy(*keys).orderBy(blk).rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select(*[F.col(k).alias(o) for k, o in zip(keys, own, strict=True)], F.col(blk).alias(at), F.coalesce(before, F.lit(0)).alias(base))
+    on = F.col(blk) == F.col(at)
+    for k, o in zip(keys, own, strict=True):
+        on = on & F.col(k).eqNullSafe(F.col(o))
     rows = df.withColumn(name, F.row_number().over(within) - 1)
-    on = F.col(blk) == F.col("b_")
-    for i, k in enumerate(keys):
-        on = on & F.col(k).eqNullSafe(F.col(f"k{i}_"))
-    return rows.join(base, on).withColumn(name, F.col(name).cast("long") + F.col("base_")).select(*[c for c in df.columns if c != blk], name)
+    return rows.join(starts, on).withColumn(name, F.col(name).cast("long") + F.col(base)).select(*[c for c in df.columns if c != blk], name)
 
 
 def join_spread(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
@@ -105,23 +116,41 @@ def join_spread(rows: DataFrame, keys: DataFrame, key: str) -> DataFrame:
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(rest.hint("merge"), key))
 
 
-def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of ``edges(u, v)``, both long: ``(node, root)`` with root the least node reachable.
 
-    Least labels go along the edges and every label is then replaced by its own label, so long chains shorten by
-    powers of two. Each round is written to the shared folder; only a count returns to the driver.
+    In each round every node hooks on its least neighbour, if that is less than itself; the trees that this makes are
+    flattened by pointer jumping and contracted to their roots, and the links left between different roots go on to the
+    next round. Of two linked nodes one always hooks, so a round at least halves the nodes of each component: rounds and
+    jumps grow with the logarithm of the longest chain, whatever its order. There is no limit on either: the loops
+    end where nothing moves and no link is left. Each step is written to the shared folder; single rows return to the driver.
     """
-    both = keep(edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
-    labels = keep(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("node")).alias("root")))
-    for _ in range(max_rounds):
-        told = both.join(labels, both.u == labels.node).groupBy(F.col("v").alias("to")).agg(F.min("root").alias("heard"))
-        met = keep(labels.join(told, labels.node == F.col("to"), "left").select("node", F.least("root", F.coalesce("heard", "root")).alias("root"), F.col("root").alias("was")))
-        up = met.select(F.col("node").alias("at"), F.col("root").alias("up"))
-        new = keep(met.join(up, met.root == up.at, "left").select("node", F.least("root", F.coalesce("up", "root")).alias("root"), "was"))
-        moved = new.filter("root <> was").limit(1).count()
-        forget(labels, met)
-        labels = new.drop("was")
-        if not moved:
-            break
-    forget(both)
-    return labels
+    labels = None
+    least, most = F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")
+    links = keep(edges.select(least, most).distinct())
+    while True:
+        both = links.union(links.select("v", "u"))
+        tree = keep(both.groupBy(F.col("u").alias("node")).agg(F.least(F.min("v"), F.col("u")).alias("root")))
+        while True:
+            up = tree.select(F.col("node").alias("at"), F.col("root").alias("up"))
+            jumped = keep(tree.join(up, tree.root == up.at).select("node", F.col("up").alias("root"), (F.col("up") != F.col("root")).alias("moved")))
+            forget(tree)
+            tree = jumped.drop("moved")
+            if jumped.filter("moved").isEmpty():
+                break
+        up = tree.select(F.col("node").alias("at"), F.col("root").alias("up"))
+        if labels is None:
+            labels = tree
+        else:
+            new = keep(labels.join(up, labels.root == up.at, "left").select("node", F.coalesce("up", "root").alias("root")))
+            forget(labels)
+            labels = new
+        ends = links.join(up, links.u == up.at).select(F.col("up").alias("a"), "v").join(up, F.col("v") == up.at).select("a", F.col("up").alias("b")).filter("a <> b")
+        left = keep(ends.select(F.least("a", "b").alias("u"), F.greatest("a", "b").alias("v")).distinct())
+        forget(links)
+        links = left
+        if tree is not labels:
+            forget(tree)
+        if left.isEmpty():
+            forget(left)
+            return labels

@@ -94,7 +94,8 @@ def hamming_links(fps: DataFrame, radius: int = 2, segments: int = 16) -> DataFr
     for i in range(segments):
         one = F.lit(1 << (step * i)).cast("long")
         steps += [F.when(counts[i] < width, one), F.when(counts[i] > 0, -one)]
-    near = fps.select("fp", cell.alias("own"), F.explode(F.array(*steps)).alias("d")).filter(F.col("d").isNotNull())
+    spread = fps.repartition(int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")  # one row becomes many
+    near = spread.select("fp", cell.alias("own"), F.explode(F.array(*steps)).alias("d")).filter(F.col("d").isNotNull())
     near = near.select("fp", (F.col("own") + F.col("d")).alias("cell"))
     a, b = near.select(F.col("fp").alias("u"), "cell"), near.select(F.col("fp").alias("v"), "cell")
     close = (F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius)
@@ -129,5 +130,6 @@ def drop_near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, doc_i
     best = keep(fp.groupBy("fp").agg(F.min(order).alias("best")))
     parts = components(keep(hamming_links(best.select("fp"), radius)))
     rooted = best.join(parts, best.fp == parts.node, "left").select(F.coalesce("root", "fp").alias("root"), "best")
-    stay = rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col(f"best.{rid}").alias("keep_"))
-    return rows.join(stay, F.col(rid) == F.col("keep_"), "left_semi").select(*docs.columns)
+    stays = free_name(rows, "stays")
+    stay = rooted.groupBy("root").agg(F.min("best").alias("best")).select(F.col(f"best.{rid}").alias(stays))
+    return rows.join(stay, F.col(rid) == F.col(stays), "left_semi").select(*docs.columns)
