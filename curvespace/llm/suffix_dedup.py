@@ -49,10 +49,16 @@ def prefix_sums(data: bytes | np.ndarray) -> np.ndarray:
 
 
 def names(sums: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-    """64-bit names of the substrings [lo, hi): equal for equal bytes."""
+    """64-bit names of the substrings [lo, hi): equal for equal bytes. Different bytes may share a name, so names only
+    choose and group; bytes, or their :func:`digest`, decide."""
     return _mix((sums[hi] - sums[lo]) * _powers(len(sums), True)[lo] + (hi - lo).astype(np.uint64))
 
 
+def digest(data: bytes) -> bytes:
+    """128 bits of BLAKE2b, which stand for the bytes: nobody can build two strings that share them."""
+    return hashlib.blake2b(data, digest_size=16).digest()
+
+
 def _slide(x: np.ndarray, w: int, of=np.minimum) -> np.ndarray:
     """``of`` over every run of ``w`` values."""
     s = 1
@@ -62,13 +68,13 @@ def _slide(x: np.ndarray, w: int, of=np.minimum) -> np.ndarray:
     return of(x[: len(x) - (w - s)], x[w - s :]) if s < w else x
 
 
-def anchors(data: bytes, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Positions sampled by content, their ranks at length size / 2, and the names of their hulls.
+def anchors(data: bytes, size: int, hulls: bool = True) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Positions sampled by content, their ranks at length size / 2, and the digests of their hulls (if asked for).
 
     A position is sampled if its half-length name is least among those that lie in some ``size`` bytes with it, so
     every ``size`` bytes hold one, at the same place wherever these bytes occur. The hull of a position is the
     union of the ``size``-byte windows that hold its half-length string; where it is cut short by an end of the
-    document, the name tells how.
+    document, the digest tells how.
     """
     half = size // 2
     w = size - half + 1
@@ -86,8 +92,9 @@ def anchors(data: bytes, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
         a, b = np.maximum(chosen - (w - 1), 0), np.minimum(chosen + half + w - 1, right - left)
         at.append(chosen + left)
         core.append(h[chosen])
-        hull.append(_mix(names(sums, a, b) + ((chosen - a) * 65_537).astype(np.uint64)))
-    return np.concatenate(at), np.concatenate(core), np.concatenate(hull)
+        if hulls:
+            hull += [digest(data[left + x : left + y] + (c - x).to_bytes(4)) for c, x, y in zip(chosen.tolist(), a.tolist(), b.tolist(), strict=True)]
+    return np.concatenate(at), np.concatenate(core), hull
 
 
 def _row_key(docs: DataFrame) -> tuple[Column, Column]:
@@ -95,11 +102,11 @@ def _row_key(docs: DataFrame) -> tuple[Column, Column]:
     id apart."""
     whole = isinstance(docs.schema["doc_id"].dataType, IntegralType)
     key = F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))) if whole else F.xxhash64(F.col("doc_id").cast("string"), F.col("doc_id").isNull())
-    return key.alias("id"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("t")
+    return key.alias("id"), F.xxhash64(F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256)).alias("t")
 
 
 def _sampled(src: DataFrame, size: int) -> DataFrame:
-    """``id, t, pos, core, hull`` of every sampled position."""
+    """``id, t, pos, key, hull`` of every sampled position."""
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -107,16 +114,30 @@ def _sampled(src: DataFrame, size: int) -> DataFrame:
                 part = b.slice(lo, 128)
                 got = [anchors(x.as_py(), size) for x in part.column(2)]
                 rows = part.select([0, 1]).take(pa.array(np.repeat(np.arange(len(got)), [len(g[0]) for g in got])))
-                pos, *marks = (np.concatenate([g[k] for g in got]) for k in range(3))
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(pos.astype(np.int32)), *(pa.array(c.view(np.int64)) for c in marks)], names=["id", "t", "pos", "core", "hull"])
+                pos, core = (np.concatenate([g[k] for g in got]) for k in range(2))
+                hull = pa.array([h for g in got for h in g[2]], pa.binary())
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(pos.astype(np.int32)), pa.array(core.view(np.int64)), hull], names=["id", "t", "pos", "key", "hull"])
+
+    return src.mapInArrow(sample, "id long, t long, pos int, key long, hull binary")
+
+
+def _ranks(src: DataFrame, size: int) -> DataFrame:
+    """``key`` of every sampled position."""
+
+    def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for lo in range(0, b.num_rows, 128):
+                core = np.concatenate([anchors(x.as_py(), size, False)[1] for x in b.column(0).slice(lo, 128)])
+                yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64))], names=["key"])
 
-    return src.mapInArrow(sample, "id long, t long, pos int, core long, hull long")
+    return src.select("bytes").mapInArrow(sample, "key long")
 
 
-def _settle(rows: DataFrame) -> DataFrame:
-    """``rows(key, hull, id, t, pos, rep, ...)`` without those of a unique ``key``; with ``settled``, whether the hull
-    occurs again, ``first``, whether it is the first of its hull, and ``n``, the open rows and first ones of the key."""
-    keys = keep(rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key"))
+def _settle(rows: DataFrame, ranks: DataFrame) -> DataFrame:
+    """``rows(key, hull, id, t, pos, ...)`` without those whose ``key`` is unique in ``ranks``; with ``settled``, whether
+    the hull occurs again, ``first``, whether it is the first of its hull, and ``n``, the open rows and first ones of
+    the key."""
+    keys = keep(ranks.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key"))
     alive = keep(rows.join(keys, "key"))
     at = F.struct("id", "t", "pos")
     hulls = keep(alive.groupBy("hull").agg(F.count(F.lit(1)).alias("c"), F.min(at).alias("lead")).filter("c > 1").drop("c"))
@@ -136,13 +157,16 @@ def repeated_spans(docs: DataFrame, size: int = 200, doc_id: str = "doc_id", tex
     full length, window by window, against the open positions of equal rank and one settled position of each hull.
     A rank that more than ``GROUP`` positions share is first ranked again at lengths halfway to the full one, for
     the earlier and the later half of its windows, until its groups are small, unique or settled.
+
+    Ranks are 64-bit names, which only bring positions together. A hull repeats if its 128-bit digest does, and two
+    windows are equal if their bytes are (:func:`equal_windows`).
     """
     ready(docs.sparkSession)
     half = size // 2
     w = size - half + 1
     own = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
     src = own.select(*_row_key(own), F.col("text").cast("binary").alias("bytes")).filter(F.length("bytes") >= size)
-    ranked = _settle(_sampled(src, size).withColumnRenamed("core", "key"))
+    ranked = _settle(_sampled(src, size), _ranks(src, size))
     span = lambda lo, hi: F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
     pos = F.col("pos")
     done = [ranked.filter("settled").select("id", "t", span(F.greatest(pos - (w - 1), F.lit(0)), pos + (half + w - 1)).alias("s"))]
@@ -154,7 +178,7 @@ def repeated_spans(docs: DataFrame, size: int = 200, doc_id: str = "doc_id", tex
     begin = f"greatest(p.pos - {w - 1}, 0)"
     rows = keep(near.select(
         "id", "t", "p.pos", "p.key", "p.n", F.col("p.settled").alias("rep"), F.lit(0).alias("a"), F.lit(w - 1).alias("b"),
-        F.expr(f"substring(bytes, {begin} + 1, p.pos - {begin})").alias("before"), F.expr(f"substring(bytes, p.pos + {half} + 1, {w - 1})").alias("after"),
+        F.expr(f"substring(bytes, {begin} + 1, p.pos - {begin})").alias("before"), F.expr(f"substring(bytes, p.pos + 1, {half})").alias("core"), F.expr(f"substring(bytes, p.pos + {half} + 1, {w - 1})").alias("after"),
     ).dropDuplicates(["id", "t", "pos"]))
     small = []
     while True:
@@ -167,8 +191,10 @@ def repeated_spans(docs: DataFrame, size: int = 200, doc_id: str = "doc_id", tex
         least, most = F.greatest("a", F.lit(w - 1) - F.length("after")), F.least("b", F.length("before"))
         tail = lambda k: F.expr(f"substring(before, greatest(length(before) - {k}, 0) + 1, {k})")
         head = lambda k: F.expr(f"substring(after, 1, {w - 1} - {k})")
-        parts = parts.filter(least <= most).withColumn("hull", F.xxhash64("key", "a", "b", tail("b"), head("a"), F.length("before") < F.col("b"))).withColumn("key", F.xxhash64("key", "a", "b", tail("a"), head("b"))).drop("n")
-        again = _settle(parts)
+        shape = F.concat_ws(",", "a", "b", F.length(tail("b")), F.length(head("a"))).cast("binary")
+        hull = F.unhex(F.substring(F.sha2(F.concat(shape, "core", tail("b"), head("a")), 256), 1, 32))
+        parts = parts.filter(least <= most).withColumn("hull", hull).withColumn("key", F.xxhash64("key", "a", "b", tail("a"), head("b"))).drop("n")
+        again = _settle(parts, parts)
         done.append(again.filter("settled and not rep").select("id", "t", span(pos - most, pos - least + size).alias("s")))
         rows = again.filter("n is not null and (first or not settled)").withColumn("rep", F.col("rep") | F.col("settled")).drop("hull", "settled", "first")
 
@@ -180,12 +206,11 @@ def repeated_spans(docs: DataFrame, size: int = 200, doc_id: str = "doc_id", tex
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         """The windows that occur twice among positions of one rank, as spans."""
         row, off, win = window_names(pdf.before, pdf.after, pdf.a, pdf.b, w)
-        key = pdf.key.to_numpy()[row]
-        order = np.lexsort((win, off, key))
-        k, o, x = key[order], off[order], win[order]
-        same = np.zeros(len(o) + 1, bool)
-        same[1:-1] = (k[1:] == k[:-1]) & (o[1:] == o[:-1]) & (x[1:] == x[:-1])
-        twice = order[(same[1:] | same[:-1]) & ~pdf.rep.to_numpy()[row][order]]
+        text = np.zeros((len(pdf), 2 * (w - 1) + half), np.uint8)  # half-length strings side by side, with what surrounds them
+        for i, (x, c, y) in enumerate(zip(pdf.before, pdf.core, pdf.after, strict=True)):
+            text[i, w - 1 - len(x) : w - 1 + half + len(y)] = np.frombuffer(bytes(x) + bytes(c) + bytes(y), np.uint8)
+        twice = equal_windows(text, row, off, [pdf.key.to_numpy()[row], win], w - 1, size)
+        twice = twice[~pdf.rep.to_numpy()[row][twice]]
         lo = pdf.pos.to_numpy()[row[twice]] - off[twice]
         return joined(pd.DataFrame({"id": pdf.id.to_numpy()[row[twice]], "t": pdf.t.to_numpy()[row[twice]], "lo": lo, "hi": lo + size}))
 
@@ -209,6 +234,28 @@ def window_names(before: pd.Series, after: pd.Series, first: pd.Series, last: pd
     return np.concatenate(rows), np.concatenate(offs), np.concatenate(keys)
 
 
+def equal_windows(text: np.ndarray, row: np.ndarray, off: np.ndarray, marks: list[np.ndarray], before: int, size: int) -> np.ndarray:
+    """Numbers of the windows whose bytes occur twice: window k is ``size`` bytes of line ``row[k]`` of ``text`` from
+    ``before - off[k]``. Windows of equal offset and ``marks`` are compared, byte by byte, with the first of them; those
+    that differ from it go on among themselves."""
+    out = []
+    left = np.lexsort((*marks, off))
+    while len(left):
+        new = np.ones(len(left), bool)
+        new[1:] = np.any([m[left][1:] != m[left][:-1] for m in (off, *marks)], axis=0)
+        group = np.cumsum(new) - 1
+        model = left[np.flatnonzero(new)][group]
+        same = np.ones(len(left), bool)
+        for o in np.unique(off[left[~new]]):
+            at = np.flatnonzero((off[left] == o) & ~new)
+            lo = before - int(o)
+            same[at] = (text[row[left[at]], lo : lo + size] == text[row[model[at]], lo : lo + size]).all(axis=1)
+        many = np.bincount(group[same]) > 1
+        out.append(left[same & many[group]])
+        left = left[~same]
+    return np.concatenate(out) if out else np.zeros(0, np.int64)
+
+
 def joined(spans: pd.DataFrame) -> pd.DataFrame:
     """Overlapping or touching spans of a document as one."""
     s = spans.sort_values(["id", "t", "lo"], kind="stable", ignore_index=True)
