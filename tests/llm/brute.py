@@ -181,3 +181,41 @@ def archived(rows):
         most = max((x for x in lead[html or ""] if x is not None), default=None)
         out.append((i, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "response" if i == most else "revisit", None if i == most else most))
     return out
+
+
+def near_copies(rows):
+    """(id is null, id) of the document that stays of each group of near copies, by comparing all pairs of sets."""
+    sets = [frozenset(runs(t, 5)) for _, t in rows]
+    group = list(range(len(rows)))
+
+    def root(k):
+        while group[k] != k:
+            k = group[k]
+        return k
+
+    for a in range(len(rows)):
+        for b in range(a):
+            if sets[a] == sets[b] or len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                group[root(a)] = root(b)
+    least = {}
+    for k, (i, _) in enumerate(rows):
+        r = root(k)
+        least[r] = min(least.get(r, (True, 0)), (i is None, i or 0))
+    return sorted(least.values())
+
+
+def repeated_runs(rows, long=50):
+    """(doc_id, text left): every run of lines, of every length, is looked up among all runs that start before."""
+    seen, out = set(), []
+    for i, t in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0)):
+        lines, gone = (t or "").split("\n"), set()
+        for a in range(len(lines)):
+            for b in range(a + 1, len(lines) + 1):
+                run = tuple(lines[a:b])
+                if (b - a == 1 and len(lines[a].split()) <= long) or any(not x.strip() and not y.strip() for x, y in zip(run, run[1:], strict=False)):
+                    continue
+                if run in seen:
+                    gone.update(range(a, b))
+                seen.add(run)
+        out.append((i, None if t is None else "\n".join(x for k, x in enumerate(lines) if k not in gone)))
+    return out

@@ -81,9 +81,46 @@ def test_popcount_cells_lose_no_link(spark):
         simhash.hamming_links(spark.range(1).toDF("fp"), 3)
 
 
-def test_components_of_a_long_chain(spark):
-    edges = spark.range(300).selectExpr("id AS u", "id + 1 AS v")
-    assert {r.root for r in common.components(edges).collect()} == {0}
+def union_find(edges):
+    up = {}
+
+    def root(x):
+        up.setdefault(x, x)
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        a, b = root(a), root(b)
+        up[max(a, b)] = min(a, b)
+    return {x: root(x) for x in list(up)}
+
+
+@pytest.mark.parametrize("shape", ["rising", "falling", "random", "stars", "loops"])
+def test_components_of_deep_graphs(spark, shape):
+    n = 5000
+    mixed = random.Random(4).sample(range(n), n)
+    edges = {
+        "rising": [(k, k + 1) for k in range(300)],
+        "falling": [(0, n), *((k, k - 1) for k in range(n, 1, -1))],
+        "random": [*zip(mixed[:2500], mixed[1:2500], strict=False), *zip(mixed[2500:], mixed[2501:], strict=False)],
+        "stars": [(10_000 * c + k, 10_000 * c + k // 40 if k else 10_000 * (c + 1)) for c in range(12) for k in range(400)],
+        "loops": [(3, 3), (5, 4), (4, 5), (5, 5)],
+    }[shape]
+    got = common.components(spark.createDataFrame(edges, "u long, v long")).collect()
+    assert {r.node: r.root for r in got} == union_find(edges)
+    assert len({r.node for r in got}) == len(got)
+
+
+def test_long_chain_of_fingerprints_is_one_component(spark):
+    f, chain = 0, []
+    for k in range(300):  # each a bit away from the one before
+        f ^= 1 << (k * 7 % 64)
+        chain.append(f)
+    signed = lambda x: x - (1 << 64) if x >= 1 << 63 else x
+    links = simhash.hamming_links(spark.createDataFrame([(signed(x),) for x in set(chain)], "fp long"), 1)
+    assert len({r.root for r in common.components(links).collect()}) == 1
 
 
 def test_multi_index_finds_all_within_the_radius():
@@ -149,3 +186,28 @@ def test_warc_reader_frames_and_checks():
         with pytest.raises((ValueError, KeyError)):
             for r in warc.RecordReader(io.BytesIO(broken)):
                 warc.page_row(r)
+
+
+#: Different strings that share their polynomial name modulo 2**64: blocks of Thue-Morse order cancel.
+SAME_NAME = (
+    "bpnbdlgikofgbff pidnfaompjklieanc biehokjkejlmcag fhhnlmblmbfncifnpoabo jnbmgcealm agaapdgdgjifdolcaindiepkdeiabbgi kbonmkfgljaeei  kc b%||%|%%||%%|%||%~++~+~~++~~+~++~!mm!m!!mm!!m!mm!i##i#ii##ii#i##i",
+    "bpnbdlgikofgbff pidnfaompjklieanc biehokjkejlmcag fhhnlmblmbfncifnpoabo jnbmgcealm agaapdgdgjifdolcaindiepkdeiabbgi kbonmkfgljaeei  kc b|%%|%||%%||%|%%|+~~+~++~~++~+~~+m!!m!mm!!mm!m!!m#ii#i##ii##i#ii#",
+)
+
+
+def test_equal_names_of_different_bytes_remove_nothing(spark):
+    a, b = SAME_NAME
+    whole = [suffix_dedup.names(suffix_dedup.prefix_sums(x.encode()), np.array([0]), np.array([200]))[0] for x in (a, b)]
+    assert len(a) == len(b) == 200
+    assert whole[0] == whole[1]
+    rows = [(1, a), (2, b), (3, f"{a}. And more"), (4, f"Other {b}")]
+    for some in (rows[:2], rows):
+        got = suffix_dedup.remove_repeats(spark.createDataFrame(some, "doc_id long, text string"), 200)
+        assert sorted(map(repr, (tuple(r)[:5] for r in got.collect()))) == sorted(map(repr, brute.repeats(some, 200)))
+
+
+def test_windows_of_one_name_are_told_apart_by_bytes():
+    text = np.array([[1, 2, 3, 4], [1, 2, 3, 4], [1, 9, 3, 4], [1, 9, 3, 4], [1, 8, 3, 4]], np.uint8)
+    zero = np.zeros(5, np.int64)
+    assert sorted(suffix_dedup.equal_windows(text, np.arange(5), zero, [zero], 0, 4)) == [0, 1, 2, 3]
+    assert sorted(suffix_dedup.equal_windows(text, np.arange(5), zero + 1, [zero], 3, 2)) == [0, 1, 2, 3, 4]

@@ -30,8 +30,8 @@ def test_run_is_what_the_plain_stages_give(spark, small):
         if model.exceed([x])[0, 0] < toxicity.THRESHOLD:
             clean.append((i, t))
     assert len(clean) < len(rows)
-    lined = [(i, t) for i, _, t in brute.line_dedup(clean)]
-    stay = {r[2] for r in brute.near(lined)}
+    lined = brute.repeated_runs(clean)
+    stay = {i for _, i in brute.near_copies(lined)}
     unique = [r for r in lined if r[0] in stay]
     assert len(unique) < len(lined)
     bench = [(r.item_id, r.text) for r in items.collect()]
