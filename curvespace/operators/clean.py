@@ -39,7 +39,7 @@ def tag(raw: DataFrame, rules: CleanRules = CleanRules()) -> DataFrame:
     trajectory with fewer than ``min_points`` rows left goes whole.
     """
     ts = local_to_utc(F.col("date"), F.col("time"), rules.zone)
-    rows = raw.withColumn("ts", ts).withColumn("dt_s", F.unix_seconds("ts"))
+    rows = raw.repartition("traj_id").withColumn("ts", ts).withColumn("dt_s", F.unix_seconds("ts"))  # the one shuffle: all windows are within a trajectory
     first = (
         F.when(F.col("lat").isNull() | F.col("lon").isNull() | F.col("date").isNull() | F.col("time").isNull(), "bad_format")
         .when((F.col("lat") == 0) & (F.col("lon") == 0), "zero_coord")

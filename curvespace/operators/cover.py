@@ -30,23 +30,52 @@ def boxes(windows: DataFrame, p: SfcParams) -> DataFrame:
     return windows.select("name", *[c.alias(f"{a}{i}") for i, corner in enumerate((low, high)) for a, c in zip("xyz", corner, strict=True)])
 
 
+#: Most blocks of one window's cover; windows that need more are covered by coarser blocks.
+MAX_BLOCKS = 20_000
+
+
+def _sides(p: SfcParams, shift: int) -> list[Column]:
+    """Blocks of side ``2**shift`` cells that a box of :func:`boxes` meets, along each axis (buckets stay single)."""
+    wide = lambda a, s: (F.shiftright(f"{a}1", s) - F.shiftright(f"{a}0", s) + 1).cast("long")
+    return [wide("x", shift), wide("y", shift), wide("z", 0 if p.bucketed else shift)]
+
+
+def block_count(p: SfcParams, shift: int) -> Column:
+    """How many blocks of side ``2**shift`` a box meets."""
+    x, y, z = _sides(p, shift)
+    return x * y * (F.lit(1).cast("long") if p.bucketed and shift >= p.bits else z)
+
+
 def blocks(windows: DataFrame, p: SfcParams, block_bits: int = 6) -> DataFrame:
     """``name, block``: the aligned blocks of ``2**block_bits`` keys whose cells meet the window's box.
 
     ``block_bits`` is a multiple of 3 (of 2 for bucketed keys): a block is then a cube (square) of cells.
     """
+    return _explode(boxes(windows, p).withColumn("s", F.lit(_shift(p, block_bits))), p).select("name", F.shiftrightunsigned("lo", block_bits).alias("block"))
+
+
+def _shift(p: SfcParams, block_bits: int) -> int:
     dims = 2 if p.bucketed else 3
     if block_bits % dims:
         raise ValueError(f"block_bits must be a multiple of {dims}")
-    s = block_bits // dims
-    b = boxes(windows, p)
+    return block_bits // dims
+
 
-    def axis(df: DataFrame, a: str, shift: int) -> DataFrame:
-        return df.withColumn(a, F.explode(F.sequence(F.shiftright(f"{a}0", shift), F.shiftright(f"{a}1", shift))))
+def _explode(boxed: DataFrame, p: SfcParams) -> DataFrame:
+    """``name, lo, hi``: the keys of every block of side ``2**s`` that a box meets, ``s`` a column."""
+    def axis(df: DataFrame, a: str, shift: str) -> DataFrame:
+        return df.withColumn(a, F.explode(F.sequence(F.expr(f"shiftright({a}0, {shift})"), F.expr(f"shiftright({a}1, {shift})"))))
 
-    cubes = axis(axis(axis(b, "x", s), "y", s), "z", 0 if p.bucketed else s)
-    x, y, z, bits = F.col("x"), F.col("y"), F.col("z"), p.bits - s
-    return cubes.select("name", (F.shiftleft(z, 2 * bits) + morton2(x, y, bits) if p.bucketed else morton3(x, y, z, bits)).alias("block"))
+    df = axis(axis(boxed, "x", "s"), "y", "s")
+    x, y, z = F.expr("shiftleft(x, s)"), F.expr("shiftleft(y, s)"), F.expr("shiftleft(z, s)")
+    if not p.bucketed:
+        lo = morton3(x, y, z, p.bits)
+        return axis(df, "z", "s").select("name", lo.alias("lo"), (lo + F.expr("shiftleft(1L, 3 * s)") - 1).alias("hi"))
+    # squares as large as the plane are the same for all buckets, so one range holds them all
+    whole = F.col("s") >= p.bits
+    df = df.withColumn("z", F.explode(F.when(whole, F.array("z0")).otherwise(F.sequence("z0", "z1"))))
+    lo = F.shiftleft("z", 2 * p.bits) + morton2(x, y, p.bits)
+    return df.select("name", lo.alias("lo"), F.when(whole, F.shiftleft(F.col("z1") + 1, 2 * p.bits) - 1).otherwise(lo + F.expr("shiftleft(1L, 2 * s)") - 1).alias("hi"))
 
 
 def merge_ranges(ranges: DataFrame, by: Sequence[str] = ("name",), gap: int = 1) -> DataFrame:
@@ -62,14 +91,12 @@ def merge_keys(keys: DataFrame, by: Sequence[str] = ("name",), gap: int = 4) ->
     return merge_ranges(keys.select(*by, F.col("key").alias("lo"), F.col("key").alias("hi")), by, gap)
 
 
-def block_ranges(blocks_: DataFrame, block_bits: int) -> DataFrame:
-    lo = F.shiftleft("block", block_bits)
-    return blocks_.select("name", lo.alias("lo"), (lo + (2**block_bits - 1)).alias("hi"))
-
-
-def cover(windows: DataFrame, p: SfcParams, block_bits: int = 6) -> DataFrame:
-    """``name, lo, hi``: the disjoint closed key ranges of each window's blocks."""
-    return merge_ranges(block_ranges(blocks(windows, p, block_bits), block_bits))
+def cover(windows: DataFrame, p: SfcParams, block_bits: int = 6, most: int = MAX_BLOCKS) -> DataFrame:
+    """``name, lo, hi``: the disjoint closed key ranges of the blocks that meet each window, of ``2**block_bits`` keys or
+    as coarse as at most ``most`` blocks a window demand (so no window's ranges outgrow a task)."""
+    fine = _shift(p, block_bits)
+    level = F.coalesce(*[F.when(block_count(p, s) <= most, F.lit(s)) for s in range(fine, p.bits)], F.lit(max(fine, p.bits)))
+    return merge_ranges(_explode(boxes(windows, p).withColumn("s", level), p))
 
 
 def coalesce_ranges(ranges: DataFrame, prefix_bits: int, total_bits: int, by: Sequence[str] = ("name",)) -> DataFrame:
@@ -117,6 +144,15 @@ def split_wrapping(ranges: DataFrame, top: int) -> DataFrame:
     return ranges.withColumn("r_", F.explode(parts)).withColumn("lo", F.col("r_.lo")).withColumn("hi", F.col("r_.hi")).drop("r_")
 
 
+def meeting(a: DataFrame, b: DataFrame, bits: int) -> DataFrame:
+    """Pairs of rows of ``a(lo, hi, ...)`` and ``b(b_lo, b_hi, ...)`` whose closed ranges of keys meet. Ranges are dealt to the
+    aligned blocks of ``2**bits`` keys they touch and joined by block, each pair once: in the first block both touch."""
+    each = lambda df, lo, hi, to: df.withColumn(to, F.explode(F.sequence(F.shiftright(lo, bits), F.shiftright(hi, bits))))
+    both = each(a, "lo", "hi", "at_").join(each(b, "b_lo", "b_hi", "b_at_"), F.col("at_") == F.col("b_at_"))
+    first = F.greatest(F.shiftright("lo", bits), F.shiftright("b_lo", bits))
+    return both.filter((F.col("lo") <= F.col("b_hi")) & (F.col("b_lo") <= F.col("hi")) & (F.col("at_") == first)).drop("at_", "b_at_")
+
+
 def covered_hours(windows: DataFrame, ranges: DataFrame, p: SfcParams, step: int = 3600) -> DataFrame:
     """``name, n_samples, n_covered``: of times every ``step`` seconds, those whose key at the window's centre is in a
     range."""

@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from curvespace.operators.ranking import with_place
 from curvespace.params import Placement, SfcParams
+from curvespace.sources.shared import keep
+
+#: Different keys whose counts one task of the packing holds at once.
+RUNS = 1 << 22
 
 
 def spacing(n: int, ring_bits: int) -> int:
@@ -34,19 +44,102 @@ def ring(spark: SparkSession, place: Placement, ring_bits: int) -> DataFrame:
     )
 
 
+@dataclass
+class Packing:
+    """Contiguous packing of runs of equal keys: places where nodes end, found run by run in the order of keys.
+
+    ``low`` and ``high`` are the rows that a node should have at least and at most. A node takes whole runs until it has
+    ``low``; a run that would lead past ``high`` meanwhile is cut there. Then it takes one run more if that fits into
+    ``high``, else what fits of it, and one row at least. The last node takes all that is left. The state between two
+    calls of :meth:`take` is small, so runs can be packed range by range.
+    """
+
+    nodes: int
+    low: int
+    high: int
+    start: int = 0
+    full: int | None = None  # where the node in work reached ``low``, once it has
+    ends: list[int] = field(default_factory=list)
+
+    @classmethod
+    def of(cls, nodes: int, total: int, low_ratio: float, high_ratio: float) -> Packing:
+        mean = total / nodes
+        return cls(nodes, max(1, math.floor(mean * low_ratio)), math.ceil(mean * high_ratio))
+
+    def take(self, runs: np.ndarray) -> None:
+        """Go on with runs that end before the places ``runs`` (rising)."""
+        while len(runs) and len(self.ends) < self.nodes:
+            if self.full is None:
+                at = int(np.searchsorted(runs, self.start + min(self.low, self.high)))
+                if at == len(runs):
+                    return
+                reached = int(runs[at])
+                if reached > self.start + self.high or self.high < self.low:
+                    self.close(self.start + self.high)
+                    continue
+                self.full = reached
+            at = int(np.searchsorted(runs, self.full, "right"))
+            if at == len(runs):
+                return
+            after = int(runs[at])
+            self.close(after if after <= self.start + self.high else max(self.full + 1, self.start + self.high))
+
+    def close(self, end: int) -> None:
+        self.ends.append(end)
+        self.start, self.full = end, None
+
+
+def packed_ends(keys: DataFrame, place: Placement, key: str = "key") -> list[int]:
+    """The places, in the order of keys, before which the nodes of a packed placement end; nodes after the last full one
+    take no row or what is left. At most ``place.nodes`` numbers.
+
+    Keys are counted by Spark and dealt into ranges of ``RUNS`` keys; the ranges are packed one after another, each in a
+    task that reads no other range and hands the state on.
+    """
+    counts = keep(keys.groupBy(F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("n")))
+    total, n_keys = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    state = Packing.of(place.nodes, total, place.low_ratio, place.high_ratio)
+    parts = -(-n_keys // RUNS)
+    if parts > 1:
+        counts = keep(counts.repartitionByRange(parts, "key").withColumn("part", F.spark_partition_id().cast("long")), "part")
+        sizes = dict(counts.groupBy("part").agg(F.sum("n")).collect())  # a number for each RUNS keys
+    else:
+        sizes = {0: total}
+    before = 0
+    for part in sorted(sizes):
+        own = counts.filter(F.col("part") == part) if parts > 1 else counts
+
+        def step(batches: Iterator[pd.DataFrame], state=state, before=before) -> Iterator[pd.DataFrame]:
+            got = [b for b in batches if len(b)]
+            runs = pd.concat(got).sort_values("key") if got else pd.DataFrame({"n": []})
+            state.take(before + np.cumsum(runs["n"].to_numpy(np.int64)))
+            yield pd.DataFrame({"start": [state.start], "full": [state.full], "ends": [state.ends]}).astype({"full": "Int64"})
+
+        done = own.select("key", "n").coalesce(1).mapInPandas(step, "start long, full long, ends array<long>").first()
+        state = Packing(state.nodes, state.low, state.high, done.start, done.full, list(done.ends))
+        before += sizes[part]
+    return state.ends
+
+
 def assign(points: DataFrame, p: SfcParams, place: Placement, order: list[Column] | None = None, key: str = "key") -> DataFrame:
     """``points`` with ``pnode_idx`` and ``vnode_idx``.
 
-    ``snode`` packs contiguous key ranges: by key and then ``order``, every node takes one more than ``low_ratio``
-    of the mean, the last takes the rest. Keys of equal value may straddle two nodes, as no node waits for a run to
-    end; so the place of a row alone decides, and no task walks the whole histogram.
+    ``snode`` packs contiguous key ranges by both ratios of the mean load (:class:`Packing`): whole runs of equal keys
+    stay together as far as the upper ratio lets them. Where a run is cut, its rows go by ``order``. A row finds its node
+    by its place: nodes, cut at multiples of the mean load, are twice their number at most and go to all tasks.
     """
     if place.mode == "snode":
+        spark = points.sparkSession
         ranked = with_place(points, [F.col(key), *(order or [])], "place_")
-        each = points.count() / place.nodes
-        low = max(1, int(each * place.low_ratio))
-        node = F.least(F.floor(F.col("place_") / F.lit(low + 1)), F.lit(place.nodes - 1)).cast("long")
-        return ranked.withColumn("pnode_idx", node).withColumn("vnode_idx", node).drop("place_")
+        total = ranked.count()
+        ends = packed_ends(ranked, place, key)
+        firsts = [0, *ends[: place.nodes - 1]]
+        lasts = [*firsts[1:], total]
+        step = max(1, -(-total // place.nodes))
+        cut = [(b, k, x, y) for k, (x, y) in enumerate(zip(firsts, lasts, strict=True)) for b in range(x // step, (y - 1) // step + 1) if x < y]
+        nodes = spark.createDataFrame(cut, "block_ long, node_ long, from_ long, to_ long")
+        on = (F.floor(F.col("place_") / step) == F.col("block_")) & (F.col("place_") >= F.col("from_")) & (F.col("place_") < F.col("to_"))
+        return ranked.join(F.broadcast(nodes), on).select(*points.columns, F.col("node_").alias("pnode_idx"), F.col("node_").alias("vnode_idx"))
     n = place.nodes * (place.vnodes if place.mode == "vnode" else 1)
     v = successor(F.col(key), n, p.ring_bits)
     return points.withColumn("vnode_idx", v).withColumn("pnode_idx", F.col("vnode_idx") % place.nodes)

@@ -2,26 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` as written to the checkpoint folder, so that later uses see one and the same evaluation. The folder is
-    the session's; one is made only where none is set."""
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="curvespace-"))
-    return df.checkpoint()
+from curvespace.sources.shared import keep
 
 
 def with_place(df: DataFrame, order: list[Column], name: str = "place") -> DataFrame:
     """``df`` with ``name``: its row's place from 0 by ``order``. Rows are dealt into ranges, numbered within them,
     and the ranges' counts (one row a partition) are summed."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = settled(df.repartitionByRange(n, *order).withColumn("range_", F.spark_partition_id()))
+    ranged = keep(df.repartitionByRange(n, *order).withColumn("range_", F.spark_partition_id()))
     counts = ranged.groupBy("range_").agg(F.count(F.lit(1)).alias("n_"))
     base = counts.select(F.col("range_").alias("r_"), (F.sum("n_").over(Window.orderBy("range_")) - F.col("n_")).alias("base_"))
     within = F.row_number().over(Window.partitionBy("range_").orderBy(*order)) - 1

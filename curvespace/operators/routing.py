@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from curvespace.operators.placement import spacing
-from curvespace.operators.ranking import settled
+from curvespace.sources.shared import keep
 
 
 def hops(key: Column, n: int, ring_bits: int) -> Column:
@@ -44,24 +44,24 @@ def _at_or_after(rows: DataFrame, ring: DataFrame, key: str, carry: list[str]) -
     return met.select(*carry, F.coalesce("idx", F.lit(0)).cast("long").alias("idx"))
 
 
-def hops_on(ring: DataFrame, keys: DataFrame, ring_bits: int, rounds: int = 64) -> DataFrame:
+def hops_on(ring: DataFrame, keys: DataFrame, ring_bits: int) -> DataFrame:
     """``key, node_idx, hops`` of ``keys(key)`` from node 0 of any ring, by following fingers with joins; a step per
     round for all keys at once."""
     ids = ring.select("vnode_idx", "node_id")
     start = ids.filter("vnode_idx = 0").agg(F.coalesce(F.min("node_id"), F.lit(0))).first()[0]
     table = fingers(ring, ring_bits).join(ids.select(F.col("vnode_idx").alias("finger_idx"), F.col("node_id").alias("finger_id")), "finger_idx").join(ids, "vnode_idx")
     table = table.filter(F.col("finger_id") > F.col("node_id")).groupBy("vnode_idx").agg(F.array_sort(F.collect_set(F.struct("finger_id", "finger_idx"))).alias("f"))
-    table = settled(table)
+    table = keep(table)
     end = _at_or_after(keys.distinct(), ring, "key", ["key"]).withColumnRenamed("idx", "node_idx")
     # the last node before the key is where the greedy walk ends; the hop after it reaches the key's node
     walk = end.select("key", "node_idx", F.lit(0).cast("long").alias("at"), F.lit(1).cast("long").alias("hops"))
-    for _ in range(rounds):
+    while True:  # every step moves on along the ring, so the walks end
         reach = F.when(F.col("key") <= start, F.lit(2**62)).otherwise(F.col("key"))  # node 0's own keys lie a whole turn ahead
         best = F.element_at(F.filter("f", lambda x: x["finger_id"] < reach), -1)
         stepped = walk.join(table, F.col("at") == F.col("vnode_idx"), "left").withColumn("next", F.when(F.size(F.filter("f", lambda x: x["finger_id"] < reach)) > 0, best["finger_idx"]))
         moved = F.col("next").isNotNull()
         walk = stepped.select("key", "node_idx", F.coalesce("next", "at").alias("at"), (F.col("hops") + moved.cast("long")).alias("hops"), moved.alias("moved"))
-        walk = settled(walk)
+        walk = keep(walk)
         if not walk.filter("moved").limit(1).count():
             break
         walk = walk.drop("moved")

@@ -7,60 +7,82 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curvespace.operators.cover import blocks, coalesce_ranges, merge_ranges, plan_windows, windows_frame
+from curvespace.functions.curves import encode
+from curvespace.operators.cover import block_count, blocks, boxes, coalesce_ranges, cover, meeting, merge_ranges, plan_windows, windows_frame
 from curvespace.operators.placement import spacing
 from curvespace.operators.routing import hops
 from curvespace.params import Placement, SfcParams, Window
 
-#: Most blocks looked up one by one, and most ranges put into one filter.
-MAX_BLOCKS, MAX_RANGES = 20_000, 100
+#: Most ranges put into one filter, and most rows of a table that goes to all tasks.
+MAX_RANGES, MAX_ROWS = 100, 100_000
 
 
 def inside(w: Window) -> Column:
-    """The exact box: closed in latitude, longitude and time. Reaches the Parquet scan."""
+    """The exact box: closed in latitude, longitude and time."""
     return F.col("lat").between(w.lat_min, w.lat_max) & F.col("lon").between(w.lon_min, w.lon_max) & F.col("t").between(w.t_start, w.t_end)
 
 
-def n_blocks(p: SfcParams, w: Window, block_bits: int = 6) -> int:
-    """At most how many blocks the window's cover has, from its extent alone."""
-    part = lambda a, b, bounds: int((b - a) / max(1e-12, bounds[1] - bounds[0]) * (2**p.bits - 1)) + 2
-    s = block_bits // (2 if p.bucketed else 3)
-    z = (w.t_end - w.t_start) // p.bucket_s + 2 if p.bucketed else (part(w.t_start - p.time_pad, w.t_end + p.time_pad, p.time) >> s) + 2
-    return ((part(w.lat_min, w.lat_max, p.lat) >> s) + 2) * ((part(w.lon_min, w.lon_max, p.lon) >> s) + 2) * z
+def few_ranges(ranges: DataFrame, total_bits: int) -> list[tuple[int, int]]:
+    """All ``ranges`` of all windows as at most ``MAX_RANGES`` disjoint ones, as fine as that allows."""
+    every = merge_ranges(ranges.select(F.lit(0).alias("all_"), "lo", "hi"), ("all_",))
+    for prefix in range(total_bits, -1, -3):  # the coarsest leaves 8 at most
+        got = merge_ranges(coalesce_ranges(every, prefix, total_bits, ("all_",)), ("all_",)).limit(MAX_RANGES + 1).collect()
+        if len(got) <= MAX_RANGES:
+            break
+    return sorted((r.lo, r.hi) for r in got)
 
 
-def key_filter(points: DataFrame, p: SfcParams, w: Window, key: str = "key", block_bits: int | None = None) -> DataFrame:
-    """``points`` whose key the window's cover holds: a semi-join on the number of the key's block. Blocks are as
-    coarse as at most ``MAX_BLOCKS`` of them demand, so the side that is sent to all tasks has a known bound."""
-    dims = 2 if p.bucketed else 3
-    bits = block_bits if block_bits is not None else 2 * dims
-    while n_blocks(p, w, bits) > MAX_BLOCKS and bits + dims <= p.bits * dims:
-        bits += dims
-    own = blocks(windows_frame(points.sparkSession, [w]), p, bits).select(F.col("block").alias("b_"))
-    own = F.broadcast(own) if n_blocks(p, w, bits) <= MAX_BLOCKS else own
-    return points.join(own, F.shiftright(F.col(key), bits) == F.col("b_"), "left_semi")
+def stored_key_filter(points: DataFrame, ranges: DataFrame, total_bits: int, key: str = "key") -> DataFrame:
+    """``points`` whose key lies in ``ranges``, or near: a disjunction of at most ``MAX_RANGES`` ranges. Over a table that
+    stores its keys sorted (:func:`write_keyed`) it prunes files and Parquet row groups."""
+    return points.filter(reduce(lambda a, b: a | b, [F.col(key).between(lo, hi) for lo, hi in few_ranges(ranges, total_bits)], F.lit(False)))
 
 
-def stored_key_filter(points: DataFrame, ranges: DataFrame, total_bits: int, key: str = "key") -> DataFrame:
-    """The same for tables that store the key, sorted: a disjunction of at most ``MAX_RANGES`` ranges, which prunes
-    Parquet row groups. More ranges are coalesced first."""
-    for prefix in range(total_bits, 0, -3):
-        got = coalesce_ranges(ranges, prefix, total_bits).limit(MAX_RANGES + 1).collect()  # at most MAX_RANGES + 1 rows
-        if len(got) <= MAX_RANGES:
-            break
-    return points.filter(reduce(lambda a, b: a | b, [F.col(key).between(r.lo, r.hi) for r in got], F.lit(False)))
+def write_keyed(points: DataFrame, path: str, key: str = "key", files: int | None = None) -> None:
+    """Write ``points`` as Parquet, dealt into files by ranges of the key and sorted by it within each."""
+    n = files or int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    points.repartitionByRange(n, key).sortWithinPartitions(key).write.parquet(path)
 
 
 def window_query(points: DataFrame, p: SfcParams, w: Window, key: str = "key") -> DataFrame:
-    """The points of a window: the exact box decides, the key only prunes."""
-    return key_filter(points.filter(inside(w)), p, w, key)
+    """The points of a window: the exact box decides, the ranges of keys only prune."""
+    ranges = cover(windows_frame(points.sparkSession, [w]), p, 4 if p.bucketed else 6)
+    return stored_key_filter(points, ranges, p.ring_bits, key).filter(inside(w))
+
+
+def multi_window(points: DataFrame, windows: DataFrame, p: SfcParams) -> DataFrame:
+    """``name`` and the points of each of many windows. Windows are dealt to the blocks of cells that they meet and joined
+    with the points by block; the exact box decides. Blocks are as fine as ``MAX_ROWS`` rows of windows and blocks
+    allow; that table goes to all tasks, unless there are more windows than that: then it is dealt by block."""
+    box = boxes(windows, p)
+    levels = range(2, p.bits + 1)
+    sums = box.agg(*[F.coalesce(F.sum(block_count(p, s)), F.lit(0)).alias(f"n{s}") for s in levels]).first()
+    s = next((s for s in levels if sums[f"n{s}"] <= MAX_ROWS), p.bits)
+    bits = (2 if p.bucketed else 3) * s
+    bounds = windows.select(F.col("name").alias("n_"), *[F.col(c).alias(f"w_{c}") for c in ("lat_min", "lat_max", "lon_min", "lon_max", "t_start", "t_end")])
+    if p.bucketed and s >= p.bits:  # whole planes: the exact box alone decides
+        dealt = windows.select("name", F.lit(0).cast("long").alias("block")).distinct()
+        own = F.lit(0).cast("long")
+    else:
+        dealt, own = blocks(windows, p, bits), F.shiftright(encode(p, F.col("lat"), F.col("lon"), F.col("t")), bits)
+    side = dealt.join(F.broadcast(bounds), F.col("name") == F.col("n_")).drop("n_") if sums[f"n{s}"] <= MAX_ROWS else dealt.join(bounds, F.col("name") == F.col("n_")).drop("n_")
+    side = F.broadcast(side) if sums[f"n{s}"] <= MAX_ROWS else side
+    on = F.col("lat").between(F.col("w_lat_min"), F.col("w_lat_max")) & F.col("lon").between(F.col("w_lon_min"), F.col("w_lon_max")) & F.col("t").between(F.col("w_t_start"), F.col("w_t_end"))
+    return points.join(side, (own == F.col("block")) & on).select("name", *points.columns)
 
 
-def multi_window(points: DataFrame, windows: DataFrame) -> DataFrame:
-    """``name`` and the points of each of many windows; the table of windows is the small side."""
-    w = windows.select("name", *[F.col(c).alias(f"w_{c}") for c in ("lat_min", "lat_max", "lon_min", "lon_max", "t_start", "t_end")])
-    on = F.col("lat").between(F.col("w_lat_min"), F.col("w_lat_max")) & F.col("lon").between(F.col("w_lon_min"), F.col("w_lon_max")) & F.col("t").between(F.col("w_t_start"), F.col("w_t_end"))
-    return points.join(w, on).select("name", *points.columns)
+def fetch(placed: DataFrame, windows: DataFrame, plan: DataFrame, p: SfcParams, key: str = "key") -> DataFrame:
+    """``name`` and the points of each window, as the nodes of ``plan`` (see :func:`fetch_plan`) return them: of what a
+    planned node holds, the points inside the box whose key lies in one of the node's ranges."""
+    found = multi_window(placed, windows, p)
+    slices = plan.select(F.col("name").alias("n_"), F.col("vnode_idx").alias("v_"), "lo", "hi")
+    on = (F.col("name") == F.col("n_")) & (F.col("vnode_idx") == F.col("v_")) & F.col(key).between(F.col("lo"), F.col("hi"))
+    return found.join(slices, on, "left_semi")
+
+
+def distinct_hits(hits: DataFrame, by: tuple[str, ...] = ("traj_id", "segment_id", "key")) -> DataFrame:
+    """``name, distinct_hits``: different points of each window."""
+    return hits.groupBy("name").agg(F.countDistinct(*by).alias("distinct_hits"))
 
 
 def fetch_plan(ranges: DataFrame, place: Placement, ring_bits: int) -> DataFrame:
@@ -76,30 +98,33 @@ def fetch_plan(ranges: DataFrame, place: Placement, ring_bits: int) -> DataFrame
     return merge_ranges(cut, ("name", "vnode_idx")).select("name", (F.col("vnode_idx") % place.nodes).alias("pnode_idx"), "vnode_idx", "lo", "hi")
 
 
-def fetch_plan_on(ranges: DataFrame, ring: DataFrame) -> DataFrame:
-    """The same on any ring whose nodes' ranges do not wrap."""
-    r = ring.select("pnode_idx", "vnode_idx", "resp_start", "resp_end")
-    met = ranges.join(r, (F.col("lo") <= F.col("resp_end")) & (F.col("resp_start") <= F.col("hi")))
-    cut = met.select("name", "pnode_idx", "vnode_idx", F.greatest("lo", "resp_start").alias("lo"), F.least("hi", "resp_end").alias("hi"))
+def fetch_plan_on(ranges: DataFrame, ring: DataFrame, ring_bits: int) -> DataFrame:
+    """The same on any ring whose nodes' ranges do not wrap; nodes and ranges are joined by blocks of keys."""
+    r = ring.select("pnode_idx", "vnode_idx", F.col("resp_start").alias("b_lo"), F.col("resp_end").alias("b_hi"))
+    met = meeting(ranges.select("name", "lo", "hi"), r, max(0, ring_bits - 13))
+    cut = met.select("name", "pnode_idx", "vnode_idx", F.greatest("lo", "b_lo").alias("lo"), F.least("hi", "b_hi").alias("hi"))
     return merge_ranges(cut, ("name", "pnode_idx", "vnode_idx"))
 
 
 def pnode_report(plan: DataFrame, hits: DataFrame, place: Placement, ring_bits: int) -> DataFrame:
     """``name, pnode_idx, returned_count, route_hops`` of every planned node; ``hits`` has the windows' points with
-    ``name`` and ``pnode_idx``. One route per node, from node 0 to its least planned key."""
+    ``name`` and ``pnode_idx``. One route per node, from node 0 to its least planned key; packed rings are not
+    uniform, so their hops are null."""
     n = place.nodes * (place.vnodes if place.mode == "vnode" else 1)
-    planned = plan.groupBy("name", "pnode_idx").agg(F.min("lo").alias("key")).withColumn("route_hops", hops(F.col("key"), n, ring_bits))
+    route = F.lit(None).cast("long") if place.mode == "snode" else hops(F.col("key"), n, ring_bits)
+    planned = plan.groupBy("name", "pnode_idx").agg(F.min("lo").alias("key")).withColumn("route_hops", route)
     found = hits.groupBy(F.col("name").alias("n_"), F.col("pnode_idx").alias("p_")).agg(F.count(F.lit(1)).alias("c_"))
     rows = planned.join(found, (F.col("name") == F.col("n_")) & (F.col("pnode_idx") == F.col("p_")), "left")
     return rows.select("name", "pnode_idx", F.coalesce("c_", F.lit(0)).cast("long").alias("returned_count"), "route_hops")
 
 
 def query_summary(report: DataFrame) -> DataFrame:
-    """``name, total_hits, hit_pnodes, total_hops, avg_hops``."""
+    """``name, total_hits, hit_pnodes, total_hops, avg_hops``; hops of packed rings stay null."""
     return report.groupBy("name").agg(
-        F.sum("returned_count").alias("total_hits"), F.count(F.lit(1)).alias("hit_pnodes"), F.sum("route_hops").alias("total_hops"),
-        F.round(F.coalesce(F.avg("route_hops"), F.lit(0.0)), 3).alias("avg_hops"),
-    )
+        F.sum("returned_count").alias("total_hits"), F.count(F.lit(1)).alias("hit_pnodes"), F.sum("route_hops").alias("total_hops"), F.round(F.avg("route_hops"), 3).alias("avg_hops")
+    )
 
 
-__all__ = ["fetch_plan", "fetch_plan_on", "inside", "key_filter", "multi_window", "n_blocks", "plan_windows", "pnode_report", "query_summary", "stored_key_filter", "window_query"]
+__all__ = [
+    "distinct_hits", "fetch", "fetch_plan", "fetch_plan_on", "few_ranges", "inside", "multi_window", "plan_windows", "pnode_report", "query_summary", "stored_key_filter", "window_query", "write_keyed",
+]

@@ -98,7 +98,20 @@ class Config:
     stop_tail_bits: int = 6
 
 
-_KNOWN = {"experiment", "sfc", "placement", "smart", "query", "dataset", "input", "output", "windows", "params"}
+# Names of the configuration file's keys. Those that only print or that bound a search by visits have no
+# effect here and are accepted silently.
+_BLOCKS = {
+    "dataset": {"lat_range", "lon_range", "time_range"},
+    "sfc": {"algorithm", "center_lat", "time_bucket_s", "max_depth", "max_nodes", "max_ranges", "tail_bits_guard", "bits", "bucket_s", "lat", "lon", "time"},
+    "data": {"csv_path", "max_ingest"},
+    "output": {"result_dir"},
+    "network": {"num_nodes"},
+    "placement": {"mode", "vnodes_per_node", "vnode_bits", "online_counting", "guard_last_bucket", "smart", "nodes", "vnodes"},
+    "experiment": {"stop_tail_bits", "print_first", "debug", "prefix_bits", "metrics", "queries", "max_ingest"},
+    "smart": {"low_ratio", "high_ratio"},
+    "input": {"path"},
+    "windows": set(),
+}
 
 
 def load_config(source: str | Path | dict) -> Config:
@@ -113,17 +126,31 @@ def load_config(source: str | Path | dict) -> Config:
             import yaml
 
             source = yaml.safe_load(text)
-    for k in set(source) - _KNOWN:
-        log.warning("configuration key without effect: %s", k)
-    get = lambda block, key, default=None: (source.get(block) or {}).get(key, default)
+    for k, own in source.items():
+        if k not in _BLOCKS:
+            log.warning("configuration key without effect: %s", k)
+        elif isinstance(own, dict):
+            for inner in set(own) - _BLOCKS[k]:
+                log.warning("configuration key without effect: %s.%s", k, inner)
+
+    def get(*paths: str, default=None):
+        """The first value given under one of ``paths`` (block.key); nulls count as not given."""
+        for path in paths:
+            at = source
+            for part in path.split("."):
+                at = at.get(part) if isinstance(at, dict) else None
+            if at is not None:
+                return at
+        return default
+
     base = SfcParams()
     params = SfcParams(
-        get("sfc", "algorithm", base.algorithm), tuple(get("sfc", "lat", base.lat)), tuple(get("sfc", "lon", base.lon)),
-        tuple(get("sfc", "time", base.time)), get("sfc", "bits", base.bits), get("sfc", "bucket_s", base.bucket_s),
+        get("sfc.algorithm", default=base.algorithm), tuple(map(float, get("dataset.lat_range", "sfc.lat", default=base.lat))), tuple(map(float, get("dataset.lon_range", "sfc.lon", default=base.lon))),
+        tuple(map(int, get("dataset.time_range", "sfc.time", default=base.time))), get("sfc.bits", default=base.bits), max(1, get("sfc.time_bucket_s", "sfc.bucket_s", default=base.bucket_s)),
     )
     place = Placement(
-        get("placement", "mode", "baseline"), get("placement", "nodes", 128), get("placement", "vnodes", 1),
-        get("smart", "low_ratio", 0.95), get("smart", "high_ratio", 1.10),
+        get("placement.mode", default="baseline"), get("network.num_nodes", "placement.nodes", default=128), get("placement.vnodes_per_node", "placement.vnodes", default=8),
+        get("placement.smart.low_ratio", "smart.low_ratio", default=0.95), get("placement.smart.high_ratio", "smart.high_ratio", default=1.10),
     )
 
     def bound(text: object, default: int) -> int:
@@ -131,8 +158,8 @@ def load_config(source: str | Path | dict) -> Config:
         return default if got is None else got
 
     windows = tuple(
-        Window(w.get("name") or f"window_{i}", float(w["lat_min"]), float(w["lat_max"]), float(w["lon_min"]), float(w["lon_max"]), bound(w.get("t_start"), params.time[0]), bound(w.get("t_end"), params.time[1]))
-        for i, w in enumerate(source.get("windows") or [])
+        Window(w.get("name") or f"window_{i:02}", float(w["lat_min"]), float(w["lat_max"]), float(w["lon_min"]), float(w["lon_max"]), bound(w.get("t_start"), params.time[0]), bound(w.get("t_end"), params.time[1]))
+        for i, w in enumerate(get("experiment.queries", "windows", default=[]))
     )
-    cap = get("experiment", "max_ingest")
-    return Config(params, place, windows, get("input", "path", ""), get("output", "result_dir", "results"), cap or None, get("experiment", "prefix_bits"), get("experiment", "stop_tail_bits", 6))
+    cap = get("data.max_ingest", "experiment.max_ingest")
+    return Config(params, place, windows, get("data.csv_path", "input.path", default=""), get("output.result_dir", default="results"), cap or None, get("experiment.prefix_bits"), get("experiment.stop_tail_bits", default=6))

@@ -76,6 +76,27 @@ def ingest_bounds(points: DataFrame) -> DataFrame:
     return points.agg(F.count(F.lit(1)).alias("n"), *[f(c).alias(f"{c}_{n}") for c in ("lat", "lon", "t") for n, f in (("min", F.min), ("max", F.max))])
 
 
+def output_bounds(kept: DataFrame) -> DataFrame:
+    """Least and greatest latitude, longitude and time of cleaned points."""
+    return kept.agg(*[f(c).alias(f"{c}_{n}") for c in ("lat", "lon", "ts") for n, f in (("min", F.min), ("max", F.max))])
+
+
+def observed_nodes(distribution: DataFrame) -> DataFrame:
+    """``n_nodes``: how many different nodes a distribution names."""
+    return distribution.agg(F.countDistinct("pnode_idx").alias("n_nodes"))
+
+
+def point_sample(points: DataFrame, n: int, ident: str = "ordinal") -> DataFrame:
+    """``n`` points chosen by the hash of their id: the same ones in every run. The limit is the feature."""
+    return points.orderBy(F.md5(F.col(ident).cast("string")), ident).limit(n)
+
+
+def run_matrix(runs: DataFrame, metric: str) -> DataFrame:
+    """``query`` by run, of :func:`curvespace.sources.run_dir.read_runs`: a cell for every run and query, null where one
+    is missing."""
+    return scheme_matrix(runs.select("run", "query", metric), runs.select("run").distinct(), runs.select("query").distinct(), metric)
+
+
 def sampled_keys(points: DataFrame, every: int = 50_000, key: str = "key", ordinal: str = "ordinal") -> DataFrame:
     """The keys of every ``every``-th row in order of arrival."""
     return points.filter(F.col(ordinal) % every == 0).select(ordinal, key)

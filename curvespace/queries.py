@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from curvespace.functions import curves, fnv1a64, hilbert_xy, parse_seconds, rfc3339, trajectory_id, unsigned_text
 from curvespace.operators import clean, cover, placement, routing, window_query
 from curvespace.params import Placement, SfcParams, Window
-from curvespace.plans import analytics
+from curvespace.plans import analytics, cleaning
 from curvespace.sources.points import pts_events, pts_lineitem
+from curvespace.sources.shared import keep
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -138,8 +139,21 @@ held AS (SELECT {sql_node('key', nodes * vnodes)} AS v, count(*) AS c, min(key /
 dist AS (SELECT ring.*, coalesce(c, 0) AS total_count, a AS min_key, b AS max_key FROM ring LEFT JOIN held ON v = vnode_idx)"""
 
 
-SQL_SNODE = f"""{sql_keyed()}, placed AS (
-  SELECT key, least((row_number() OVER (ORDER BY key, ordinal) - 1) // (1 + greatest(1, CAST(floor((SELECT count(*) FROM keyed) / {D(64)} * {D(0.99)}) AS BIGINT))), 63) AS node FROM keyed)"""
+def sql_packed(keyed: str, nodes: int, low: float, high: float, order: str) -> str:
+    """Packing row by row: ``quota`` counts the rows that a node which has enough still takes (-1: it has not enough)."""
+    mean = f"((SELECT count(*) FROM {keyed}) / {D(nodes)})"
+    return f"""lim AS (SELECT greatest(1, CAST(floor({mean} * {D(low)}) AS BIGINT)) AS lo, CAST(ceil({mean} * {D(high)}) AS BIGINT) AS hi),
+line AS MATERIALIZED (SELECT row_number() OVER (ORDER BY key, {order}) AS i, key, {order}, row_number() OVER (PARTITION BY key ORDER BY {order}) = 1 AS opens, count(*) OVER (PARTITION BY key) - row_number() OVER (PARTITION BY key ORDER BY {order}) + 1 AS rest FROM {keyed}),
+walk AS (
+  SELECT CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS node, CAST(0 AS BIGINT) AS cur, CAST(0 AS BIGINT) AS acc, CAST(-1 AS BIGINT) AS quota
+  UNION ALL
+  SELECT i, cur, CASE WHEN q = 1 OR (q < 0 AND acc + 1 >= hi AND rest > 1) THEN cur + 1 ELSE cur END, CASE WHEN q = 1 OR (q < 0 AND acc + 1 >= hi AND rest > 1) THEN 0 ELSE acc + 1 END, CASE WHEN q > 1 THEN q - 1 ELSE -1 END
+  FROM (SELECT line.i, line.rest, walk.cur, walk.acc, lim.hi, CASE WHEN walk.quota > 0 THEN walk.quota WHEN line.opens AND walk.acc >= lim.lo THEN CASE WHEN walk.acc + line.rest <= lim.hi THEN line.rest ELSE least(greatest(lim.hi - walk.acc, 1), line.rest) END ELSE -1 END AS q
+        FROM walk JOIN line ON line.i = walk.i + 1, lim) s),
+placed AS (SELECT line.key, line.{order}, least(walk.node, {nodes - 1}) AS node FROM walk JOIN line USING (i))"""
+
+
+SQL_SNODE = f"""{sql_keyed()}, {sql_packed('keyed', 64, 0.99, 1.05, 'ordinal')}"""
 SQL_LOAD = f"WITH {sql_distribution(64, 1)}, ld AS (SELECT pnode_idx, CAST(sum(total_count) AS BIGINT) AS total_count FROM dist GROUP BY 1)"
 
 
@@ -182,7 +196,9 @@ def fnv_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pts_events(spark, sf_dir).select("traj_id").distinct().select("traj_id", unsigned_text(fnv1a64(F.col("traj_id"))).alias("hash"))
 
 
-@register("trajectory_ids", None)
+@register("trajectory_ids", f"""WITH {PTS}, n AS (SELECT ordinal, CASE WHEN ordinal % 4 = 0 THEN traj_id ELSE "user" || '_' || strftime(make_timestamp(t * 1000000), '%Y-%m-%dT%H:%M:%S+00:00') END AS s FROM pts)
+SELECT ordinal, CAST(list_reduce(list_prepend(CAST(14695981039346656037 AS HUGEINT), list_transform(string_split(s, ''), lambda c: CAST(ascii(c) AS HUGEINT))),
+  lambda h, b: (xor(h, b) * 1099511628211) % 18446744073709551616) AS VARCHAR) AS traj_hash FROM n""")
 def trajectory_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     pts = pts_events(spark, sf_dir)
     named = F.when(F.col("ordinal") % 4 == 0, F.col("traj_id")).otherwise("")
@@ -214,16 +230,33 @@ for _w in WINDOWS.values():
 
 @register("multi_window", f"WITH {PTS}, {sql_windows(tuple(WINDOWS.values()))} SELECT name, ordinal, lat, lon FROM pts JOIN win ON lat BETWEEN lat_min AND lat_max AND lon BETWEEN lon_min AND lon_max AND t BETWEEN t_start AND t_end")
 def multi_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return window_query.multi_window(pts_events(spark, sf_dir), cover.windows_frame(spark, list(WINDOWS.values()))).select("name", "ordinal", "lat", "lon")
+    return window_query.multi_window(pts_events(spark, sf_dir), cover.windows_frame(spark, list(WINDOWS.values())), Z3).select("name", "ordinal", "lat", "lon")
+
+
+@register("window_stored_keys", f"WITH {sql_keyed()} SELECT ordinal, key FROM keyed WHERE {sql_inside(SMALL[1])}")
+def window_stored_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A window over a table that stores its keys sorted: the ranges reach the Parquet scan."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = keep(keyed(spark, sf_dir).repartitionByRange(n, "key").sortWithinPartitions("key"))
+    return window_query.window_query(table, Z3, SMALL[1]).select("ordinal", "key")
+
+
+@register("distinct_hits", f"WITH {sql_keyed()}, {sql_windows(tuple(WINDOWS.values()))} SELECT name, count(DISTINCT (traj_id, t, key)) AS distinct_hits FROM keyed JOIN win ON lat BETWEEN lat_min AND lat_max AND lon BETWEEN lon_min AND lon_max AND t BETWEEN t_start AND t_end GROUP BY name")
+def distinct_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = window_query.multi_window(keyed(spark, sf_dir), cover.windows_frame(spark, list(WINDOWS.values())), Z3)
+    return window_query.distinct_hits(hits, ("traj_id", "t", "key"))
 
 
 @register("window_hits_by_placement", "WITH " + PTS + ", modes(mode) AS (VALUES ('baseline'), ('vnode'), ('snode')) SELECT mode, name, n_hits FROM modes, (" + " UNION ALL ".join(f"SELECT '{w.name}' AS name, count(*) AS n_hits FROM pts WHERE {sql_inside(w)}" for w in WINDOWS.values()) + ")")
 def hits_by_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every placement answers by the nodes of its own fetch plan."""
     pts, wins = keyed(spark, sf_dir), cover.windows_frame(spark, list(WINDOWS.values()))
+    plan = keep(cover.plan_windows(wins, Z3))
     out = None
     for mode, place in MODES.items():
         placed = placement.assign(pts, Z3, place, [F.col("ordinal")])
-        got = window_query.multi_window(placed.filter(F.col("pnode_idx").isNotNull()), wins).groupBy("name").agg(F.count(F.lit(1)).alias("n_hits")).select(F.lit(mode).alias("mode"), "name", "n_hits")
+        nodes = window_query.fetch_plan_on(plan, placement.snode_ring(placed, place), RING) if mode == "snode" else window_query.fetch_plan(plan, place, RING)
+        got = window_query.fetch(placed, wins, nodes, Z3).groupBy("name").agg(F.count(F.lit(1)).alias("n_hits")).select(F.lit(mode).alias("mode"), "name", "n_hits")
         out = got if out is None else out.unionByName(got)
     return out
 
@@ -241,7 +274,13 @@ for _k in (18, 12):
     register(f"cover_coalesced_p{_k}", f"WITH {sql_coalesced(_k)} SELECT name, lo, hi FROM coal")(lambda spark, sf, k=_k: cover.coalesce_ranges(cover.cover(small(spark), Z3), k, RING))
 register("anchor_blocks", f"WITH {sql_windows(SMALL)}, {SQL_ANCHORS} SELECT name, lo, hi FROM anc")(lambda spark, sf: cover.anchor_blocks(small(spark), Z3))
 register("plan_ranges", f"WITH {sql_cover()}, {SQL_ANCHORS}, bth AS (SELECT name, lo, hi FROM cov UNION ALL SELECT name, lo, hi FROM anc), {sql_merge('bth', 'plan')} SELECT name, lo, hi FROM plan")(lambda spark, sf: cover.plan_windows(small(spark), Z3))
-register("cover_z2t", None)(lambda spark, sf: cover.cover(small(spark), PARAMS["z2t"], 4))
+_Z2T = PARAMS["z2t"]
+register("cover_z2t", f"""WITH {sql_windows(SMALL)},
+box(name, x0, y0, z0, x1, y1, z1) AS (SELECT name, {sql_cell('lat_min', *Z3.lat, False)} // 4, {sql_cell('lon_min', *Z3.lon, False)} // 4, greatest(t_start - {TIME[0]}, 0) // 3600,
+  {sql_cell('lat_max', *Z3.lat, False)} // 4, {sql_cell('lon_max', *Z3.lon, False)} // 4, least((t_end - {TIME[0]}) // 3600, {_Z2T.num_buckets - 1}) FROM win),
+sq AS (SELECT name, z * {1 << 20} + 16 * ({sql_spread('x', 8, 2, 1)} + {sql_spread('y', 8, 2, 0)}) AS lo FROM box, range(256) a(x), range(256) b(y), range({_Z2T.num_buckets}) c(z)
+       WHERE x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 AND z BETWEEN z0 AND z1),
+rng AS (SELECT name, lo, lo + 15 AS hi FROM sq), {sql_merge('rng', 'cov')} SELECT name, lo, hi FROM cov""")(lambda spark, sf: cover.cover(small(spark), PARAMS["z2t"], 4))
 register("merge_keys_gap", f"WITH {sql_keyed()}, k AS (SELECT traj_id, key AS lo, key AS hi FROM keyed), {sql_merge('k', 'mk', 'traj_id', 100_000)} SELECT traj_id, lo, hi FROM mk")(lambda spark, sf: cover.merge_keys(keyed(spark, sf), ("traj_id",), 100_000))
 register("split_wrapping", f"""WITH {sql_ring(8, 1)}, r AS (SELECT vnode_idx, CASE WHEN wrapped THEN [[resp_start, {2**RING - 1}], [0, resp_end]] ELSE [[resp_start, resp_end]] END AS p FROM ring)
 SELECT vnode_idx, CAST(e[1] AS BIGINT) AS lo, CAST(e[2] AS BIGINT) AS hi FROM (SELECT vnode_idx, unnest(p) AS e FROM r)""")(lambda spark, sf: cover.split_wrapping(placement.ring(spark, Placement(nodes=8), RING).select("vnode_idx", F.col("resp_start").alias("lo"), F.col("resp_end").alias("hi")), 2**RING - 1))
@@ -257,7 +296,6 @@ register("ring_vnode", f"WITH {sql_ring(16, 8)} SELECT * FROM ring")(lambda spar
 def distribution(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
     placed = placement.assign(keyed(spark, sf_dir), Z3, MODES[mode], [F.col("ordinal")])
     if mode == "snode":
-        placed = placed.persist()
         return placement.node_distribution(placed, placement.snode_ring(placed, MODES[mode]), exact=True)
     return placement.node_distribution(placed, placement.ring(spark, MODES[mode], RING))
 
@@ -265,9 +303,11 @@ def distribution(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
 register("node_distribution_baseline", f"WITH {sql_distribution(64, 1)} SELECT * FROM dist")(lambda spark, sf: distribution(spark, sf, "baseline"))
 register("node_distribution_vnode", f"WITH {sql_distribution(16, 8)} SELECT * FROM dist")(lambda spark, sf: distribution(spark, sf, "vnode"))
 register("vnode_rollup", f"""WITH {sql_distribution(16, 8)} SELECT pnode_idx, min(node_id) AS node_id, CAST(sum(total_count) AS BIGINT) AS total_count, min(min_key) AS min_key, max(max_key) AS max_key FROM dist GROUP BY pnode_idx""")(lambda spark, sf: placement.roll_up(distribution(spark, sf, "vnode")))
-register("node_distribution_snode", f"""WITH {SQL_SNODE}, held AS (SELECT node, count(*) AS c, min(key) AS a, max(key) AS b FROM placed GROUP BY node),
+register("node_distribution_snode", f"""WITH RECURSIVE {SQL_SNODE}, held AS (SELECT node, count(*) AS c, min(key) AS a, max(key) AS b FROM placed GROUP BY node),
 f AS (SELECT CAST(i AS BIGINT) AS i, c, a, b, coalesce(max(b) OVER (ORDER BY i), 0) AS e FROM range(64) r(i) LEFT JOIN held ON node = i)
 SELECT i AS pnode_idx, i AS vnode_idx, e AS node_id, coalesce(lag(e) OVER (ORDER BY i), a, 0) AS resp_start, e AS resp_end, FALSE AS wrapped, coalesce(c, 0) AS total_count, a AS min_key, b AS max_key FROM f""")(lambda spark, sf: distribution(spark, sf, "snode"))
+register("packed_long_runs", f"""WITH RECURSIVE {sql_keyed()}, runs AS (SELECT key >> 15 AS key, ordinal FROM keyed), {sql_packed('runs', 64, 0.95, 1.10, 'ordinal')}
+SELECT CAST(node AS BIGINT) AS pnode_idx, count(*) AS n, min(key) AS min_key, max(key) AS max_key FROM placed GROUP BY node""")(lambda spark, sf: placement.assign(keyed(spark, sf).withColumn("key", F.shiftright("key", 15)), Z3, Placement("snode", 64), [F.col("ordinal")]).groupBy("pnode_idx").agg(F.count(F.lit(1)).alias("n"), F.min("key").alias("min_key"), F.max("key").alias("max_key")))
 register("bucket_probe", f"WITH {sql_keyed()} SELECT ordinal, key FROM keyed WHERE key // 4096 * 4096 <= 400000000 AND key // 4096 * 4096 + 4095 >= 300000000")(lambda spark, sf: placement.bucket_probe(keyed(spark, sf), 300_000_000, 400_000_000, 12).select("ordinal", "key"))
 
 
@@ -287,9 +327,9 @@ SELECT vnode_idx, k, target, {sql_node('target', 64)} AS finger_idx FROM t""")(l
 
 @register("hops_snode", None)
 def hops_snode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = placement.assign(keyed(spark, sf_dir), Z3, MODES["snode"], [F.col("ordinal")]).persist()
+    placed = placement.assign(keyed(spark, sf_dir), Z3, MODES["snode"], [F.col("ordinal")])
     ring = placement.snode_ring(placed, MODES["snode"])
-    reps = window_query.fetch_plan_on(cover.cover(small(spark), Z3), ring).groupBy("name", "pnode_idx").agg(F.min("lo").alias("key"))
+    reps = window_query.fetch_plan_on(cover.cover(small(spark), Z3), ring, RING).groupBy("name", "pnode_idx").agg(F.min("lo").alias("key"))
     return routing.hops_on(ring, reps.select("key"), RING)
 
 
@@ -307,7 +347,7 @@ register("fetch_plan", f"WITH {SQL_PLAN} SELECT name, pnode_idx, vnode_idx, lo,
 
 def report(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = window_query.fetch_plan(cover.plan_windows(small(spark), Z3), _BASE, RING)
-    hits = window_query.multi_window(placement.assign(keyed(spark, sf_dir), Z3, _BASE), small(spark))
+    hits = window_query.fetch(placement.assign(keyed(spark, sf_dir), Z3, _BASE), small(spark), plan, Z3)
     return window_query.pnode_report(plan, hits, _BASE, RING)
 
 
@@ -367,6 +407,12 @@ register("ingest_bounds", f"WITH {PTS} SELECT count(*) AS n, min(lat) AS lat_min
 register("sampled_keys", f"WITH {sql_keyed()} SELECT ordinal, key FROM keyed WHERE ordinal % 500 = 0")(lambda spark, sf: analytics.sampled_keys(keyed(spark, sf), 500))
 
 
+register("observed_nodes", f"""WITH {sql_keyed()} SELECT count(DISTINCT {sql_node('key', 64)}) AS n_nodes FROM keyed""")(lambda spark, sf: analytics.observed_nodes(distribution(spark, sf, "baseline").filter("total_count > 0")))
+register("point_sample", f"WITH {PTS} SELECT ordinal, lat, lon, t FROM pts ORDER BY md5(CAST(ordinal AS VARCHAR)), ordinal LIMIT 200")(lambda spark, sf: analytics.point_sample(pts_events(spark, sf), 200).select("ordinal", "lat", "lon", "t"))
+register("clean_account", f"""WITH {SQL_CLEAN}, e AS (SELECT traj_id, count(*) AS n, bool_or(reason IS NULL) AS k, bool_or(reason IS NULL OR reason IN ('speed', 'too_close', 'too_short')) AS late FROM tagged GROUP BY 1)
+SELECT (SELECT count(*) FROM e) AS files_total, (SELECT count(*) FROM e WHERE late) AS traj_total, (SELECT count(*) FROM e WHERE late AND NOT k) AS traj_too_short, count(*) AS rows_total, {', '.join(f"count(*) FILTER (reason = '{r}') AS {n}" for r, n in cleaning.COUNTERS.items())} FROM tagged""")(lambda spark, sf: cleaning.account(clean.tag(raw(spark, sf), RULES)))
+
+
 @register("scheme_matrix", """SELECT e.query, count(*) FILTER (run = 'op8') AS op8, count(*) FILTER (run = 'snode8') AS snode8, count(*) FILTER (run = 'p8v10') AS p8v10, NULL::BIGINT AS p16v10
 FROM (SELECT CASE user_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS query, ['op8', 'snode8', 'p8v10'][user_id % 5 % 3 + 1] AS run FROM events) e GROUP BY e.query""")
 def scheme_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:

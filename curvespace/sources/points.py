@@ -65,7 +65,17 @@ def ingest(rows: DataFrame, max_ingest: int | None = None, order: str | None = N
 
 
 def read_clean_csv(spark: SparkSession, path: str, max_ingest: int | None = None) -> DataFrame:
-    return ingest(spark.read.option("header", True).option("mode", "DROPMALFORMED").csv(path), max_ingest)
+    """Points of a CSV with a header. Rows are read as they are: what a line lacks is null, and such rows go where
+    :func:`ingest` says so; :func:`skipped` counts them. A cap takes rows in the order of the file."""
+    return ingest(spark.read.option("header", True).csv(path), max_ingest)
+
+
+def skipped(rows: DataFrame) -> DataFrame:
+    """``n_rows, n_skipped``: rows of a table of strings, and those that :func:`ingest` skips."""
+    c = resolve(rows.columns)
+    number = lambda f: F.trim(F.col(c[f]).cast("string")).try_cast("double")
+    bad = number("lat").isNull() | number("lon").isNull() | F.isnan(number("lat")) | F.isnan(number("lon"))
+    return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(bad).alias("n_skipped"))
 
 
 def read_plt(spark: SparkSession, root: str, header_lines: int = 6) -> DataFrame:
