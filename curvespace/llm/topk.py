@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,7 +10,9 @@ from pyspark.sql import functions as F
 from curvespace.llm.common import keep, ready
 
 #: Candidates of one block, queries of one group: what a task holds at once.
-BLOCK, QUERIES = 8192, 2048
+BLOCK, QUERIES = 8192, 8192
+#: By how much a bound computed in doubles may be too low, as a share of it.
+SLACK = 1e-9
 
 
 def whole(vectors: np.ndarray, scale: int) -> np.ndarray:
@@ -28,57 +28,78 @@ def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 
 
 class Lists:
-    """A block of candidates, ordered by id, with one list per dimension sorted from least to greatest component."""
+    """A block of candidates, ordered by id, with one list per dimension sorted from least to greatest component.
+
+    ``asked, stopped, scored`` count the queries, those that the bound ended before the lists did, and the candidates
+    scored for all of them.
+    """
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.x = ids[order], x[order]
         self.rank = np.argsort(self.x, axis=0, kind="stable")
         self.sorted = np.take_along_axis(self.x, self.rank, axis=0)
+        self.asked = self.stopped = self.scored = 0
 
-    def search(self, query_ids: np.ndarray, q: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """``(query number, candidate number, score)`` of each query's ``k`` best candidates of other ids.
+    def search(self, query_id: int, v: np.ndarray, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and scores of the candidates of other ids that can be among the ``k`` best of query ``v``, of which
+        ``k`` are known to score ``floor`` or more. All that are returned have their exact score.
 
         All lists are read in step, from their top where the query's component is positive and from their bottom
         where it is negative, to twice the depth each time. Candidates met are scored at once; a candidate not yet
-        met scores no more than the query with the last components read, so a query ends when that bound is below
-        its k-th score (not at it: an equal score may have a lesser id). Where the lists read hold most of the block
-        anyway, the rest of it is read in one step.
+        met scores no more than the query with the last components read, so the query ends when that bound is below
+        its k-th score or the floor (not at it: an equal score may have a lesser id), at the latest with the lists.
         """
-        n, dims = self.x.shape
-        alive, depth = np.arange(len(q)), max(4, k // max(1, dims))
-        while len(alive) and 2 * depth * dims < n:
-            low, high = self.sorted[depth - 1], self.sorted[n - depth]
-            bound = np.maximum(q[alive], 0) @ high + np.minimum(q[alive], 0) @ low
-            left = []
-            for at, b in zip(alive, bound, strict=True):
-                v = q[at]
-                met = np.unique(np.concatenate([self.rank[n - depth :, v > 0].ravel(), self.rank[:depth, v < 0].ravel()]))
-                met = met[self.ids[met] != query_ids[at]]
-                s = products(v[None], self.x[met])[0]
-                if len(s) >= k and np.partition(s, len(s) - k)[len(s) - k] > b:
-                    yield self.best(at, met, s, k)
-                else:
-                    left.append(at)
-            # the share of queries that this depth ends tells whether another step pays
-            if len(left) > 0.9 * len(alive):
-                alive = np.array(left, np.int64)
+        n = len(self.x)
+        self.asked += 1
+        up, down = np.flatnonzero(v > 0), np.flatnonzero(v < 0)
+        met = np.zeros(n, bool)
+        at, scores = [np.zeros(0, np.int64)], [np.zeros(0)]
+        kth, done, depth = floor, 0, min(4, n)
+        while done < n:
+            here = np.zeros(n, bool)
+            here[self.rank[n - depth : n - done, up].ravel()] = True
+            here[self.rank[done:depth, down].ravel()] = True
+            if depth == n:
+                here[:] = True
+            new = np.flatnonzero(here & ~met & (self.ids != query_id))
+            met |= here
+            if len(new):
+                at.append(new)
+                scores.append(products(v[None], self.x[new])[0])
+            done = depth
+            known = np.concatenate(scores)
+            if len(known) >= k:
+                kth = max(kth, np.partition(known, len(known) - k)[len(known) - k])
+            bound = v[up] @ self.sorted[n - depth, up] + v[down] @ self.sorted[depth - 1, down]
+            if kth > bound + abs(bound) * SLACK:
                 break
-            alive, depth = np.array(left, np.int64), depth * 2
-        for at in range(0, len(alive), 256):
-            part = alive[at : at + 256]
-            scores = products(q[part], self.x)
-            for row, i in enumerate(part):
-                met = np.flatnonzero(self.ids != query_ids[i])
-                s = scores[row][met]
-                if len(s) > 4 * k:  # every score that can be among the k best, ties included
-                    some = s >= np.partition(s, len(s) - k)[len(s) - k]
-                    met, s = met[some], s[some]
-                yield self.best(i, met, s, k)
-
-    def best(self, at: int, met: np.ndarray, s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        top = np.lexsort((self.ids[met], -s))[:k]
-        return np.full(len(top), at), met[top], s[top]
+            depth = min(n, 2 * depth)
+        self.stopped += done < n
+        at, known = np.concatenate(at), np.concatenate(scores)
+        self.scored += len(at)
+        if len(at) > k:
+            some = known >= np.partition(known, len(known) - k)[len(known) - k]
+            at, known = at[some], known[some]
+        best = np.lexsort((self.ids[at], -known))[:k]
+        return at[best], known[best]
+
+
+def _searched(candidates: pd.DataFrame, queries: pd.DataFrame, k: int, scale: int) -> pd.DataFrame:
+    """``query_id, qv, vec_id, score``: the threshold algorithm for ``queries(id, v, floor)`` over a block of ``candidates(id,
+    v)``, by lengths of vectors."""
+    out = []
+    own = candidates.groupby(candidates.v.map(len))
+    blocks = {n: Lists(c.id.to_numpy(), whole(np.stack(c.v.to_numpy()), scale).reshape(len(c), -1)) for n, c in own}
+    for query, v, floor in zip(queries.id, queries.v, queries.floor, strict=True):
+        if (lists := blocks.get(len(v))) is None:
+            continue
+        at, s = lists.search(query, whole(np.asarray(v), scale), k, floor)
+        if not len(at):
+            continue
+        held = [max(-(2**63), min(2**63 - 1, int(x))) for x in s]
+        out.append(pd.DataFrame({"query_id": np.full(len(at), query), "qv": [v] * len(at), "vec_id": lists.ids[at], "score": np.array(held, np.int64)}))
+    return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, np.int64), "qv": pd.Series([], dtype=object), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0, np.int64)})
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -90,37 +111,52 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, ve
     of one id are separate rows, and an id may then answer a query more than once. Scores beyond a long are held at
     its ends. No rows: no rows.
 
-    Candidates are dealt into blocks by hash and queries into groups; each task runs the threshold algorithm for
-    one group over the sorted lists of one block, and the blocks' best are merged.
+    Candidates are dealt into blocks by hash. Each query first searches the block it lies in, where nothing has to be
+    copied for it; its k-th score there is its floor. It then goes on, with its floor, to those blocks only whose
+    greatest and least components leave room for a score that reaches it, and only blocks that some query goes to
+    are copied, once for each group of ``QUERIES`` queries. Each search runs the threshold algorithm over the block's
+    sorted lists (:class:`Lists`); the blocks' best are merged.
     """
     spark = ready(vectors.sparkSession)
     v = F.col(embedding).cast("array<double>")
     sound = F.coalesce(F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))), F.lit(False))
     rows = vectors.filter(sound & F.col(vec_id).isNotNull()).select(F.col(vec_id).cast("long").alias("id"), F.col(embedding).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
     rows = keep(rows.dropDuplicates(["id", "v"]))
-    n, m = rows.agg(F.count(F.lit(1)), F.count_if("q")).first()
-    blocks, groups = -(-n // BLOCK) or 1, -(-m // QUERIES) or 1
-    h = lambda salt, many: F.pmod(F.xxhash64("id", "v", F.lit(salt)), F.lit(many)).cast("int")
-    cand = rows.select("id", "v", F.lit(False).alias("q"), h(1, blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group"))
-    ask = rows.filter("q").select("id", "v", "q", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), h(2, groups).alias("group"))
-
-    def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for _, same in pdf.groupby(pdf.v.map(len)):
-            c, a = same[~same.q], same[same.q]
-            if not len(c) or not len(a):
-                continue
-            lists = Lists(c.id.to_numpy(), whole(np.stack(c.v.to_numpy()), scale).reshape(len(c), -1))
-            ids = a.id.to_numpy()
-            for at, met, s in lists.search(ids, whole(np.stack(a.v.to_numpy()), scale).reshape(len(a), -1), k):
-                if len(at):
-                    held = [max(-(2**63), min(2**63 - 1, int(x))) for x in s]
-                    out.append(pd.DataFrame({"query_id": ids[at], "vec_id": lists.ids[met], "score": np.array(held, np.int64)}))
-        return pd.concat(out) if out else pd.DataFrame({c: np.zeros(0, np.int64) for c in ("query_id", "vec_id", "score")})
-
-    best = cand.unionByName(ask).groupBy("block", "group").applyInPandas(search, "query_id long, vec_id long, score long")
+    n = rows.count()
+    blocks = -(-n // BLOCK) or 1
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int"))
+    kind = rows.schema["v"].dataType.simpleString()
+    schema = f"query_id long, qv {kind}, vec_id long, score long"
+
+    def at_home(pdf: pd.DataFrame) -> pd.DataFrame:
+        return _searched(pdf, pdf[pdf.q].assign(floor=-np.inf), k, scale)
+
+    home = keep(rows.groupBy("block").applyInPandas(at_home, schema))
+    kth = home.groupBy("query_id", "qv").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
+    floor = kth.select(F.col("query_id").alias("id"), F.col("qv").alias("v"), F.when(F.col("n") >= k, F.col("least").cast("double")).alias("floor"))
+    lowest = F.lit(-float("inf"))
+    ask = rows.filter("q").join(floor, ["id", "v"], "left").select("id", "v", F.col("block").alias("home"), F.coalesce("floor", lowest).alias("floor"))
+
+    # a block's greatest and least component in each dimension, by length of vectors
+    parts = rows.select("block", F.size("v").alias("len"), F.posexplode(F.transform("v", lambda x: F.floor(x.cast("double") * scale).cast("double"))).alias("i", "x"))
+    ends = parts.groupBy("block", "len", "i").agg(F.max("x").alias("hi"), F.min("x").alias("lo"))
+    ends = ends.groupBy("block", "len").agg(F.array_sort(F.collect_list(F.struct("i", "hi", "lo"))).alias("ends"))  # as long as a vector
+    reach = F.aggregate(
+        F.zip_with(F.transform("v", lambda x: F.floor(x.cast("double") * scale).cast("double")), "ends", lambda x, e: F.greatest(x * e["hi"], x * e["lo"])), F.lit(0.0), lambda a, x: a + x
+    )
+    asked = ask.select("*", F.size("v").alias("len"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).filter("block <> home")
+    open_ = asked.join(ends, ["block", "len"]).filter(reach + F.abs(reach) * SLACK >= F.col("floor"))
+    groups = F.greatest(F.lit(1), F.ceil(F.lit(n) / QUERIES)).cast("long")  # at most; most stay without queries
+    todo = keep(open_.select("block", F.pmod(F.xxhash64("id", "v", F.lit(2)), groups).cast("int").alias("group"), "id", "v", "floor"))
+    visits = todo.select(F.col("block").alias("at"), F.col("group").alias("for")).distinct()
+    copies = rows.join(visits, F.col("block") == F.col("at")).select(F.col("at").alias("b"), F.col("for").alias("g"), "id", "v")
+
+    def elsewhere(candidates: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+        return _searched(candidates, queries, k, scale)
+
+    away = copies.groupBy("b", "g").cogroup(todo.groupBy("block", "group")).applyInPandas(elsewhere, schema)
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return home.union(away).select("query_id", "vec_id", "score").withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 #: DuckDB SQL for the registered query, over sound vectors of unique ids.

@@ -162,16 +162,40 @@ def test_threshold_algorithm_in_blocks(spark, monkeypatch):
 def test_threshold_algorithm_stops_before_the_end_of_the_lists():
     rng = np.random.default_rng(4)
     x = np.floor(rng.standard_normal((4000, 3)) * [640, 6, 6])
-    read = []
+    lists = topk.Lists(np.arange(4000), x)
+    for v in np.floor(rng.standard_normal((10, 3)) * [640, 6, 6]):
+        assert lists.search(-1, v, 5)[1].tolist() == sorted((x @ v).tolist(), reverse=True)[:5]
+    assert lists.stopped == lists.asked
+    assert lists.scored < 0.25 * lists.asked * 4000
+
+
+def test_threshold_algorithm_on_the_embeddings_reads_to_its_bound(small):
+    """In 64 dimensions the bound falls too slowly: most queries read their lists to where all candidates are met. What
+    is read and stopped is told in the README; here, that the count is honest and the answers are right."""
+    import pyarrow.parquet as pq
+
+    t = pq.read_table(f"{small}/embeddings.parquet")
+    ids, x = np.array(t["vec_id"]), topk.whole(np.stack(t["embedding"].to_numpy(zero_copy_only=False)), 64)
+    lists = topk.Lists(ids, x)
+    for i in np.flatnonzero(ids % 20 == 0):
+        at, s = lists.search(ids[i], x[i], 20)
+        others = np.delete(x, i, 0) @ x[i]
+        assert s.tolist() == sorted(others.tolist(), reverse=True)[:20]
+    assert lists.scored <= lists.asked * (len(ids) - 1)
+
+
+def test_blocks_out_of_reach_are_not_searched(spark, monkeypatch):
+    monkeypatch.setattr(topk, "BLOCK", 50)
+    rows = [(k, [float(k % 7 + 100 * (k % 40 == 0)), 1.0]) for k in range(300)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, df.vec_id % 20 == 0, k=3).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(map(tuple, got)) == sorted(brute.top(rows, 3))
 
-    class Counted(topk.Lists):
-        def best(self, at, met, s, k):
-            read.append(len(s))
-            return super().best(at, met, s, k)
 
-    out = list(Counted(np.arange(4000), x).search(np.arange(4000, 4010), np.floor(rng.standard_normal((10, 3)) * [640, 6, 6]), 5))
-    assert len(out) == 10
-    assert min(read) < 1000
+def test_vectors_of_no_component(spark):
+    df = spark.createDataFrame([(0, []), (1, []), (2, []), (20, [0.0]), (21, [1.0]), (22, [-1.0])], "vec_id long, embedding array<double>")
+    got = topk.top_k(df, df.vec_id % 20 == 0).select("query_id", "rank", "vec_id", "score").collect()
+    assert sorted(map(tuple, got)) == [(0, 1, 1, 0), (0, 2, 2, 0), (20, 1, 21, 0), (20, 2, 22, 0)]
 
 
 def test_warc_reader_frames_and_checks():
