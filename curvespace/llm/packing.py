@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import random
 import re
 import zlib
@@ -43,9 +44,9 @@ class _Marks(dict):
 class WordIds(dict):
     """Token ids (little-endian unsigned 32-bit bytes) of pieces of text that start with a space.
 
-    A text may be cut before any space that follows a character other than white space: the tokenizer's
+    For byte-level BPE without a normalizer, a text may be cut before any space that follows a character other than white space: the tokenizer's
     pre-token pattern never crosses such a place and looks at nothing before it. So the ids of a text are those
-    of its pieces, and a piece met before need not be encoded again.
+    of its pieces, and a piece met before need not be encoded again. Texts of any other tokenizer are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -54,6 +55,9 @@ class WordIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.marks = _Marks(self)
+        made = json.loads(self.tokenizer.to_str())
+        cut = made["pre_tokenizer"] or {}
+        self.by_pieces = made["model"]["type"] == "BPE" and made["normalizer"] is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut["add_prefix_space"]
 
     def encode(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
@@ -76,6 +80,8 @@ class WordIds(dict):
         return ids
 
     def of(self, text: str) -> bytes:
+        if not self.by_pieces:
+            return self.encode(text)
         first, *rest = text.split(" ")
         if first and first[-1].isspace():
             return self.slow(text)
@@ -257,13 +263,13 @@ def evolve(population: list[Solution], items: dict[int, int], size: int, rng: ra
     return population
 
 
-def pack_lengths(spark, items: dict[int, int], size: int, islands: int = 4, members: int = 4, epochs: int = 3, rounds: int | None = None, seed: int = 1) -> Solution:
+def pack_lengths(spark, items: dict[int, int], size: int, islands: int = 4, members: int = 4, epochs: int = 3, rounds: int = 60, seed: int = 1) -> Solution:
     """Bins for ``items`` (length: count, lengths up to ``size``), as few as the islands find.
 
     What evolves is the histogram of lengths, at most ``size`` numbers however many documents there are; like
     bins are one pattern with a count. Every island is one Spark task; after each epoch its best member also moves
-    to the next island. Nothing evolves once best fit reaches the least possible number of bins. ``rounds`` an epoch:
-    if not given, the more the fewer patterns there are, so that small inputs are searched long at no great cost.
+    to the next island. Nothing evolves once best fit reaches the least possible number of bins. The effort is the same
+    at every size: ``epochs`` of ``rounds`` crossovers on each island.
     """
     if not items:
         return {}
@@ -271,7 +277,6 @@ def pack_lengths(spark, items: dict[int, int], size: int, islands: int = 4, memb
     if bins_of(first) <= -(-sum(n * c for n, c in items.items()) // size):
         return first
     lengths = sorted(items.items())
-    rounds = rounds or max(6, 4000 // len(first))
 
     def start(pdf: pd.DataFrame) -> pd.DataFrame:
         island = int(pdf.island.iloc[0])
@@ -316,9 +321,10 @@ def pack_pieces(pieces: DataFrame, size: int = 2048, length: str = "length", **h
     Lengths are 1 to ``size`` (others raise). Pieces of equal length are interchangeable, so only the histogram of
     lengths is packed (:func:`pack_lengths`); each piece finds its slot by its place among those of its length,
     counted in blocks, so a length that a third of the pieces share is no hot task. Repeated rows are separate
-    pieces. No rows: no rows.
+    pieces. Columns of the result's names are replaced. No rows: no rows.
     """
     spark = ready(pieces.sparkSession)
+    pieces = pieces.select(*[c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")])
     rid, place = free_name(pieces, "rid"), free_name(pieces, "place")
     rows = tagged(pieces, rid)
     items = {int(r[0]): int(r[1]) for r in rows.groupBy(length).count().collect()}  # at most `size` rows
