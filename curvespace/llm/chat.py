@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from curvespace.llm.common import forget, keep, ranked, tagged
 
 START, END = "<|im_start|>", "<|im_end|>"
-#: Messages rendered into one row; a longer dialogue comes in consecutive parts.
+#: Messages rendered into one row. One dialogue may hold a third of all messages, so a row has to have a bound; a longer
+#: dialogue comes in consecutive parts, whose texts joined are the whole.
 PART = 64
 #: Speakers of this role stay what they are and take no perspective of their own.
 SYSTEM = "system"
@@ -19,18 +20,26 @@ def _harmless(text: Column) -> Column:
     return F.regexp_replace(F.coalesce(text, F.lit("")), r"<\|im_(start|end)\|>", "<|im_$1 |>")
 
 
+def _speaker(role: Column) -> Column:
+    """A role as a name: markers broken up as in texts, each run of white space or control characters one space, none at
+    the ends; ``unknown`` if nothing is left. So no name can end a header or begin another message."""
+    plain = F.regexp_replace(F.regexp_replace(_harmless(role), r"[\x00-\x20\x7f]+", " "), "^ | $", "")
+    return F.when(plain == "", "unknown").otherwise(plain)
+
+
 def perspectives(conversations: DataFrame, part: int = PART, conv_id: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """``conv_id, speaker, part, n_turns, text, mask``: for every participant, the dialogue with that speaker as
     assistant and the others as named users.
 
-    Participants are the distinct roles other than ``system``; null or blank roles are one participant, ``unknown``.
+    Participants are the distinct roles (as :func:`_speaker` names them) other than ``system``; null or blank roles are one
+    participant, ``unknown``.
     ``mask`` lists the character spans of ``text`` to learn from, ``start-end`` joined by commas: the speaker's own
     messages with their end markers. Messages go by turn (null last), then role and text; repeated rows stay. A
     dialogue of more than ``part`` messages comes in parts of that many, numbered from 0, whose texts joined are the
     whole; spans count from each part's start. Null ``conv_id``: one dialogue. Null text: empty. Dialogues of system
     messages alone, or no rows: no rows. Other columns are ignored.
     """
-    name = F.when(F.coalesce(F.trim(role), F.lit("")) == "", "unknown").otherwise(F.col(role))
+    name = _speaker(F.col(role))
     rows = tagged(conversations.select(F.col(conv_id).alias("conv_id"), F.col(turn).alias("turn"), name.alias("role"), _harmless(F.col(text)).alias("text")), "rid")
     numbered = keep(ranked(rows, ["conv_id"], "rid", "place", [F.col("turn").isNull(), F.col("turn"), F.col("role"), F.col("text")]))
     forget(rows)
@@ -63,9 +72,11 @@ def perspectives(conversations: DataFrame, part: int = PART, conv_id: str = "con
 def oracle(part: int = PART) -> str:
     """DuckDB SQL for :func:`perspectives` over ``conversations`` of non-null ids."""
     return rf"""
-WITH n AS (
-  SELECT conv_id, turn, CASE WHEN coalesce(trim(role), '') = '' THEN 'unknown' ELSE role END AS role,
+WITH r0 AS (
+  SELECT conv_id, turn, trim(regexp_replace(regexp_replace(coalesce(role, ''), '<\|im_(start|end)\|>', '<|im_\1 |>', 'g'), '[\x00-\x20\x7f]+', ' ', 'g')) AS role,
          regexp_replace(coalesce(text, ''), '<\|im_(start|end)\|>', '<|im_\1 |>', 'g') AS text FROM conversations
+), n AS (
+  SELECT conv_id, turn, CASE WHEN role = '' THEN 'unknown' ELSE role END AS role, text FROM r0
 ), p AS (
   SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn IS NULL, turn, role, text) - 1 AS place FROM n
 ), w AS (
