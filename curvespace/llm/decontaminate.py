@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import functools
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StructField, StructType
 
 from curvespace.llm.common import free_name, keep, ready
 from curvespace.llm.simhash import shingle_hashes, words_of
+from curvespace.llm.warc import file_system
 
-#: Benchmark items are sent to the tasks in slices of at most this many bytes of text; more slices, more passes.
+#: Benchmark items go to the tasks in slices of about this many bytes of text, through files in the shared folder; more
+#: slices, more passes.
 SLICE_BYTES = 32 << 20
 
 LEAK = StructType([StructField("item_id", LongType()), StructField("similarity", DoubleType()), StructField("start", IntegerType()), StructField("n_words", IntegerType()), StructField("distance", IntegerType())])
@@ -152,17 +156,18 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, into: str, words: int = 5,
     """
     ready(docs.sparkSession)
     carry = docs.columns if carry is None else carry
-    src, part, got = free_name(docs, "src_text"), "part", free_name(docs, "leaks_")
-    items = keep(benchmark.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("body")).dropna())
+    src = free_name(docs, "src_text", into)
+    items = benchmark.select(F.col(item_id).cast("long").alias("item"), F.col(item_text).alias("body")).dropna()
     slices = int(items.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0)) / SLICE_BYTES).first()[0]) + 1
-    items = items.withColumn(part, F.pmod(F.xxhash64("body"), F.lit(slices)))
     rows = docs.select(*carry, F.col(text).alias(src))
+    found = []
     for k in range(slices):
-        own = sorted((r.item, r.body) for r in items.filter(F.col(part) == k).collect())  # about SLICE_BYTES
-        name = into if slices == 1 else f"{got}{k}"
+        own = keep(items.filter(F.pmod(F.xxhash64("body"), F.lit(slices)) == k).coalesce(1))  # about SLICE_BYTES
+        files, name = own.inputFiles(), into if slices == 1 else free_name(rows, f"leaks_{k}", into)
+        found.append(name)
 
-        def run(batches: Iterator[pa.RecordBatch], own=own, name=name) -> Iterator[pa.RecordBatch]:
-            bench = Benchmark(own, words, radius, similarity)
+        def run(batches: Iterator[pa.RecordBatch], files=files, name=name) -> Iterator[pa.RecordBatch]:
+            bench = prepared(tuple(files), words, radius, similarity)
             for b in batches:
                 at = b.schema.get_field_index(src)
                 leaks = pa.array([bench.search(t.as_py()) for t in b.column(at)], LEAKS)
@@ -170,10 +175,21 @@ def with_leaks(docs: DataFrame, benchmark: DataFrame, into: str, words: int = 5,
 
         rows = rows.mapInArrow(run, StructType([*rows.schema.fields, StructField(name, ArrayType(LEAK))]))
     if slices > 1:
-        rows = rows.withColumn(into, F.concat(*[F.col(f"{got}{k}") for k in range(slices)]))
+        rows = rows.withColumn(into, F.concat(*found))
     return rows.select(*carry, into)
 
 
+@functools.lru_cache(1)
+def prepared(files: tuple[str, ...], words: int, radius: int, similarity: float) -> Benchmark:
+    """The items in files of the shared folder, prepared once for a worker, not once for each task."""
+    items = []
+    for file in files:
+        folder, _, name = file.rpartition("/")
+        fs, root = file_system(folder)
+        items += pq.read_table(f"{root}/{name}", filesystem=fs).to_pylist()
+    return Benchmark(sorted((r["item"], r["body"]) for r in items), words, radius, similarity)
+
+
 LEAKS = pa.list_(pa.struct([("item_id", pa.int64()), ("similarity", pa.float64()), ("start", pa.int32()), ("n_words", pa.int32()), ("distance", pa.int32())]))
 
 

@@ -19,6 +19,8 @@ from curvespace.llm.common import keep, ready, shared_dir
 CHUNK = 1 << 16
 #: An archive is closed and another begun once it holds this many bytes.
 ARCHIVE_BYTES = 32 << 20
+#: Archives that one task reads.
+TASK_BYTES = 256 << 20
 #: A record's header block may not be longer.
 HEADER_BYTES = 1 << 20
 
@@ -168,7 +170,10 @@ class RecordReader:
             rest = next(pieces, b"")
             if not rest:
                 raise ValueError("record shorter than its Content-Length")
-        tail += b"".join(pieces)
+        for piece in pieces:
+            tail += piece
+            if len(tail) > 4:
+                break
         if tail != b"\r\n\r\n":
             raise ValueError("record not followed by two line ends")
         own = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in http.decode("latin-1").split("\r\n")[1:])}
@@ -201,9 +206,11 @@ def page_row(r: dict) -> tuple:
 
 def read_archives(archives: DataFrame, opener: Callable[[str], BinaryIO] | None = None) -> DataFrame:
     """``page_id, url, payload_bytes, payload_digest, record_type, refers_to`` of every record of ``archives(path)``,
-    one archive a task. Broken framing or a digest that differs raises; no archives: no rows."""
+    dealt to tasks of about ``TASK_BYTES``. Broken framing or a digest that differs raises; no archives: no rows."""
     spark = ready(archives.sparkSession)
-    todo = archives.select("path").repartition(max(1, archives.count()), "path")
+    size = archives.agg(F.coalesce(F.sum("bytes"), F.lit(0))).first()[0] if "bytes" in archives.columns else 0
+    tasks = max(spark.sparkContext.defaultParallelism, -(-size // TASK_BYTES))
+    todo = archives.select("path").repartition(tasks)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -227,6 +234,13 @@ def read_archives(archives: DataFrame, opener: Callable[[str], BinaryIO] | None
     return todo.mapInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long")
 
 
+def broken_revisits(records: DataFrame) -> DataFrame:
+    """Of ``records`` (see :func:`read_archives`) the revisits whose response is missing or has another digest or length."""
+    own = records.filter("record_type = 'revisit'")
+    lead = records.filter("record_type = 'response'").select(F.col("page_id").alias("at"), F.col("payload_digest").alias("told"), F.col("payload_bytes").alias("long"))
+    return own.join(lead, (F.col("refers_to") == F.col("at")) & (F.col("payload_digest") == F.col("told")) & (F.col("payload_bytes") == F.col("long")), "left_anti")
+
+
 def archive_pages(pages: DataFrame, **how) -> DataFrame:
     """Write archives of ``pages`` and read them back: see :func:`write_archives` and :func:`read_archives`."""
     return read_archives(write_archives(pages, **how))
