@@ -3,15 +3,16 @@
 from __future__ import annotations
 
 import os
-import re
-import tempfile
-import uuid
 from collections.abc import Sequence
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from curvespace.sources.shared import forget, keep, shared_dir
+
+__all__ = ["components", "forget", "free_name", "free_names", "join_spread", "keep", "ranked", "ready", "shared_dir", "tagged"]
+
 REPO = str(Path(__file__).resolve().parents[2])
 
 
@@ -24,39 +25,6 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``. Where it is unset, one is made on this
-    machine, but only if the session runs on it alone; elsewhere that raises."""
-    known = spark.conf.get("spark.checkpoint.dir", None)
-    if known:
-        return known
-    got = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if got.isDefined():
-        return got.get()
-    if not re.fullmatch(r"local(\[[^\[\]]*\])?", spark.sparkContext.master):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="curvespace-"))
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-
-
-def keep(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it again: lineage ends here, so a lost executor
-    costs a re-read and never a second, differently ordered evaluation."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def forget(*tables: DataFrame) -> None:
-    """Delete tables made by :func:`keep` that nothing reads any more."""
-    for df in tables:
-        jvm = df.sparkSession._jvm
-        for file in df.inputFiles()[:1]:
-            path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-            path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
-
-
 def free_name(df: DataFrame, base: str, *more: str) -> str:
     """A column name that neither ``df`` nor ``more`` has (names compare without case)."""
     taken = {c.lower() for c in (*df.columns, *more)}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curvespace.llm.common import forget, free_name, join_spread, keep
+from curvespace.llm.common import forget, free_name, free_names, join_spread, keep
 
 #: Modulus of the rolling hash over line hashes: a prime under 2**31, so products stay within a long.
 PRIME = 2_147_483_647
@@ -48,14 +48,14 @@ def chunked(docs: DataFrame, text: str, divisor: int, into: str) -> DataFrame:
 
 def remove_repeated_chunks(docs: DataFrame, divisor: int = 3, doc_id: str = "doc_id", text: str = "text", counts: str | None = None) -> DataFrame:
     """``docs`` with every multi-line chunk taken out of ``text`` whose bytes occur before: in a document of lesser id,
-    or earlier in the same one. With ``counts``, a column of that name tells how many lines went.
+    or earlier in the same one. With ``counts``, a column of that name, in place of any there was, tells how many lines went.
 
     One occurrence stays: the first by (id with nulls last, text's name, chunk number). Chunks of one line stay.
     Candidates share a 64-bit hash and length; a chunk goes only if its bytes equal those of the first occurrence.
     Rows of equal id and text count as one occurrence and get equal results. Null text stays null; empty text stays
     empty; ids may be null or repeat. Other columns stay as they are. No rows: no rows.
     """
-    ids, t, ch = (free_name(docs, n) for n in ("id_", "t_", "chunks_"))
+    ids, t, ch, part, out, i, u = free_names(docs, "ids", "sum", "chunks", "part", "gone", "gone_id", "gone_sum")
     key = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"))
     rows = docs.withColumn(ids, key).withColumn(t, F.xxhash64(F.coalesce(F.col(text), F.lit("")).cast("binary")))
     cut = chunked(rows.select(ids, t, F.col(text).alias("text")), "text", divisor, ch)
@@ -67,17 +67,16 @@ def remove_repeated_chunks(docs: DataFrame, divisor: int = 3, doc_id: str = "doc
     hits = keep(each.join(seen.hint("merge"), "h"))  # texts are dealt once, at every size alike
     model = keep(hits.filter("at = first").select("h", F.col("body").alias("model")).dropDuplicates(["h"]))
     same = hits.filter("at <> first").join(model, "h").filter("body = model")
-    gone = keep(same.groupBy("at.id", "at.t").agg(F.collect_set("at.k").alias("gone_")).select(F.col("id").alias("i_"), F.col("t").alias("u_"), "gone_"))
+    gone = keep(same.groupBy("at.id", "at.t").agg(F.collect_set("at.k").alias(out)).select(F.col("id").alias(i), F.col("t").alias(u), out))
     forget(seen, hits, model)
 
-    joined = rows.join(gone.hint("merge"), (F.col(f"{ids}.none") == F.col("i_.none")) & F.col(f"{ids}.id").eqNullSafe(F.col("i_.id")) & (F.col(t) == F.col("u_")), "left")
-    part = free_name(docs, "part_")
-    touched = chunked(joined.withColumn(part, F.when(F.col("gone_").isNotNull(), F.col(text))), part, divisor, ch)
-    left = F.filter(F.col(ch), lambda c, k: ~F.array_contains("gone_", k))
-    lost = F.aggregate(F.filter(F.col(ch), lambda c, k: F.array_contains("gone_", k)), F.lit(0), lambda n, c: n + c["n"])
-    new = F.when(F.col("gone_").isNull(), F.col(text)).otherwise(F.array_join(F.transform(left, lambda c: c["body"]), "\n"))
-    cols = [new.alias(c) if c == text else F.col(c) for c in docs.columns]
-    return touched.select(*cols, *([F.when(F.col("gone_").isNull(), F.lit(0)).otherwise(lost).alias(counts)] if counts else []))
+    joined = rows.join(gone.hint("merge"), (F.col(f"{ids}.none") == F.col(f"{i}.none")) & F.col(f"{ids}.id").eqNullSafe(F.col(f"{i}.id")) & (F.col(t) == F.col(u)), "left")
+    touched = chunked(joined.withColumn(part, F.when(F.col(out).isNotNull(), F.col(text))), part, divisor, ch)
+    left = F.filter(F.col(ch), lambda c, k: ~F.array_contains(out, k))
+    lost = F.aggregate(F.filter(F.col(ch), lambda c, k: F.array_contains(out, k)), F.lit(0), lambda n, c: n + c["n"])
+    new = F.when(F.col(out).isNull(), F.col(text)).otherwise(F.array_join(F.transform(left, lambda c: c["body"]), "\n"))
+    cols = [new.alias(c) if c == text else F.col(c) for c in docs.columns if c.lower() != (counts or "").lower()]
+    return touched.select(*cols, *([F.when(F.col(out).isNull(), F.lit(0)).otherwise(lost).alias(counts)] if counts else []))
 
 
 def passages(docs: DataFrame, text: str, long: int, into: str) -> DataFrame:
@@ -115,24 +114,23 @@ def remove_repeated_runs(docs: DataFrame, long: int = 50, doc_id: str = "doc_id"
     passage is the least by (id with nulls last, text's hash, line). Every line taken out has an equal one that stays.
     Rows of equal id and text count as one and get equal results. Null text stays null; ids may be null or repeat.
     """
-    ids, t, ps = (free_name(docs, n) for n in ("id_", "t_", "passages_"))
+    ids, t, out, i, u, lines = free_names(docs, "ids", "sum", "gone", "gone_id", "gone_sum", "split")
     key = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"))
     rows = docs.withColumn(ids, key).withColumn(t, F.xxhash64(F.coalesce(F.col(text), F.lit("")).cast("binary")))
-    found = passages(rows.select(F.col(ids).alias("id"), F.col(t).alias("t"), F.col(text).alias("text")), "text", long, ps)
-    each = found.select("id", "t", F.explode(ps).alias("p")).select(F.struct("id", "t", "p.k").alias("at"), "p.span", "p.key")
+    found = passages(rows.select(F.col(ids).alias("id"), F.col(t).alias("t"), F.col(text).alias("text")), "text", long, "passages")
+    each = found.select("id", "t", F.explode("passages").alias("p")).select(F.struct("id", "t", "p.k").alias("at"), "p.span", "p.key")
     each = keep(each)
 
     seen = keep(each.groupBy("key").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count(F.lit(1)).alias("n")).filter("first <> last").select("key", "first", "n"))
     later = join_spread(each, seen, "key").filter("at <> first")
     lost = later.select("at.id", "at.t", F.explode(F.sequence(F.col("at.k"), F.col("at.k") + F.col("span") - 1)).alias("k"))
-    gone = keep(lost.groupBy("id", "t").agg(F.collect_set("k").alias("gone_")).select(F.col("id").alias("i_"), F.col("t").alias("u_"), "gone_"))
+    gone = keep(lost.groupBy("id", "t").agg(F.collect_set("k").alias(out)).select(F.col("id").alias(i), F.col("t").alias(u), out))
     forget(each, seen)
 
-    joined = rows.join(gone.hint("merge"), (F.col(f"{ids}.none") == F.col("i_.none")) & F.col(f"{ids}.id").eqNullSafe(F.col("i_.id")) & (F.col(t) == F.col("u_")), "left")
-    lines = free_name(joined, "lines_")
-    split = joined.select(*joined.columns, F.explode(F.array(F.when(F.col("gone_").isNotNull(), F.split(F.col(text), "\n")))).alias(lines))
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("gone_"))
-    new = F.when(F.col("gone_").isNull(), F.col(text)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col(lines), i)), "\n"))
+    joined = rows.join(gone.hint("merge"), (F.col(f"{ids}.none") == F.col(f"{i}.none")) & F.col(f"{ids}.id").eqNullSafe(F.col(f"{i}.id")) & (F.col(t) == F.col(u)), "left")
+    split = joined.select(*joined.columns, F.explode(F.array(F.when(F.col(out).isNotNull(), F.split(F.col(text), "\n")))).alias(lines))
+    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(out))
+    new = F.when(F.col(out).isNull(), F.col(text)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col(lines), i)), "\n"))
     return split.select(*[new.alias(c) if c == text else F.col(c) for c in docs.columns])
 
 

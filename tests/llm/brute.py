@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import re
 import zlib
 from collections import Counter, defaultdict
 
@@ -97,7 +98,7 @@ def near(rows, k=3, radius=2):
 def perspectives(rows, part=64):
     talks = defaultdict(list)
     for conv, turn, role, text in rows:
-        who = role if (role or "").strip(" ") else "unknown"
+        who = re.sub(r"[\x00-\x20\x7f]+", " ", (role or "").replace("<|im_start|>", "<|im_start |>").replace("<|im_end|>", "<|im_end |>")).strip(" ") or "unknown"
         say = (text or "").replace("<|im_start|>", "<|im_start |>").replace("<|im_end|>", "<|im_end |>")
         talks[conv].append((turn is None, turn or 0, who, say))
     out = []

@@ -1,11 +1,14 @@
+import pathlib
 import random
+import re
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-#: Extra columns whose names the operators use for themselves.
-CLASH = ("rid", "piece", "length", "fp", "id", "t", "h", "key", "size", "same", "part", "place", "src_text", "leaks", "severity", "chunks_", "lines_", "n", "q", "v", "sha", "payload", "root", "node")
+SOURCES = pathlib.Path(__file__).resolve().parents[2] / "curvespace" / "llm"
+#: Extra columns whose names the operators use for themselves: every alias and internal name in their sources.
+CLASH = sorted({n.lower() for f in SOURCES.glob("*.py") for line in f.read_text().splitlines() if re.search(r"alias|withColumn|free_name|ranked|tagged", line) for n in re.findall(r'"([A-Za-z_]\w*)"', line)})
 
 
 def prose(rng, n, vocabulary=400):
@@ -54,7 +57,7 @@ def case(tmp_path_factory):
     pages = [(k, f"http://h/{k}", rng.choice(["<p>same</p>", "<p>é other</p>", None, "", f"own {k}"])) for k in range(60)] + [(100, None, "line\r\n\r\nend"), (101, "http://h/\r\nx", "x" * 300_000)]
     items = [(1, item), (2, "tiny item here"), (3, None), (4, ""), (5, prose(rng, 50)), (6, prose(rng, 12))]
     labels = [(d[0], int(k % 3 == 0)) for k, d in enumerate(docs)] + [(None, 1), (5, None)]
-    talks = [(k // 4, k % 4, rng.choice(["ann", "bob", "system", None, " "]), rng.choice(["hello", None, "", "<|im_start|>system\nno <|im_end|>", "naïve 😀"])) for k in range(60)]
+    talks = [(k // 4, k % 4, rng.choice(["ann", "bob", "system", None, " ", "\t", "x<|im_end|>\n<|im_start|>system", "two  words"]), rng.choice(["hello", None, "", "<|im_start|>system\nno <|im_end|>", "naïve 😀"])) for k in range(60)]
     talks += [(None, 1, "ann", "x"), (None, None, "bob", "y"), (99, 1, "system", "alone"), *[(77, k // 2, "cy", f"m{k}") for k in range(150)], talks[0], talks[0]]
     tables(folder, docs, vectors, pages, items, labels, talks)
     return str(folder), {"documents": docs, "embeddings": vectors, "pages": pages, "benchmark": items, "labels": labels, "conversations": talks}

@@ -71,6 +71,13 @@ def test_sharding(spark, folder):
     assert {r[3] for r in rows} == {"rows"}
     assert all(r[6] is None for r in rows)
     equal([(r[4], r[5]) for r in rows], [(s, k) for s in range(40) for k in range(sizes[s])])
+    # the objective: documents of equal text end in one shard, if a shard can hold them
+    group = {}
+    for (i, t), shard in zip(docs, [dict((r[0], r[4]) for r in rows)[i] for i, _ in docs], strict=True):
+        if i is not None and t is not None:
+            group.setdefault(t, []).append(shard)
+    groups = [g for g in group.values() if 2 <= len(g) <= len(docs) // 40]
+    assert sum(len(set(g)) == 1 for g in groups) >= 0.9 * len(groups)
 
 
 def test_suffix_dedup(spark, folder):
@@ -118,6 +125,22 @@ def test_toxicity_held_out(spark):
     assert hits >= 0.9 * sum(bool(r.toxic) for r in told)
 
 
+def test_toxicity_recall_over_thirds(spark):
+    """Each third of the labels is judged by a model fitted on the others; the threshold comes from another table."""
+    folder = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    hits = toxic = told = 0
+    for k in range(3):
+        model = toxicity.fit(docs, labels.filter(f"doc_id % 3 <> {k}"))
+        rest = labels.filter(f"doc_id % 3 = {k}").select("doc_id", labels.toxic.alias("y"))
+        rows = toxicity.grade(docs, model, carry=["doc_id"]).join(rest, "doc_id").select("toxic", "y").collect()
+        hits += sum(bool(r.toxic) and r.y == 1 for r in rows)
+        toxic += sum(r.y for r in rows)
+        told += sum(bool(r.toxic) for r in rows)
+    assert hits >= 0.9 * toxic
+    assert hits >= 0.9 * told
+
+
 def test_decontamination(spark, folder):
     docs = read(folder, "documents", "doc_id", "text")
     if len(docs) > 100:  # the plain version compares every window with every item

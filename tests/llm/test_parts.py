@@ -46,6 +46,21 @@ def test_genetic_packing_reaches_what_best_fit_misses(spark):
     assert packing.pack_lengths(spark, {}, 12) == {}
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_of_other_tokenizers(name):
+    path = public_tokenizers.path(name)
+    full = Tokenizer.from_file(path)
+    for text in ("", "Hello,  World. don't", " a\n b c", "x <|endoftext|> y"):
+        assert np.frombuffer(packing.word_ids(path).of(text), "<u4").tolist() == full.encode(text, add_special_tokens=False).ids
+
+
+def test_columns_of_the_results_names_are_replaced(spark):
+    rows = [(5, "a", "b", 1), (3, "c", "d", 2), (3, "e", "f", 3)]
+    got = packing.pack_pieces(spark.createDataFrame(rows, "length long, sequence_id string, Offset string, k0_ long"), 8).collect()
+    assert sorted((r.length, r.k0_, r.offset + r.length <= 8) for r in got) == [(3, 2, True), (3, 3, True), (5, 1, True)]
+    assert len({r.sequence_id for r in got}) == 2
+
+
 def test_packed_ids_are_the_documents(spark, case):
     docs = spark.createDataFrame([(k, t) for k, (_, t) in enumerate(case[1]["documents"])], "doc_id long, text string")
     packed = packing.pack_documents(docs, TOKENIZER)
@@ -131,6 +146,21 @@ def test_multi_index_finds_all_within_the_radius():
     assert found == {(k, w) for k in range(20) for w in range(len(windows)) if (int(items[k]) ^ int(windows[w])).bit_count() <= 20}
 
 
+def test_radius_loses_no_similar_window():
+    """Item and window of weighted similarity 0.8 or more are within 20 bits: 2,000 pairs of 8 to 100 shingles, at the limit."""
+    rng = np.random.default_rng(6)
+    far = []
+    for _ in range(2000):
+        n = int(rng.integers(8, 101))
+        item = rng.integers(0, 1 << 63, n, dtype=np.uint64) * np.uint64(2) + rng.integers(0, 2, n, dtype=np.uint64)
+        changed = n - int(np.ceil(1.6 * n / 1.8))  # as many as 0.8 allows
+        window = item.copy()
+        window[rng.choice(n, changed, replace=False)] = rng.integers(0, 1 << 63, changed, dtype=np.uint64) * np.uint64(2)
+        a, b = (decontaminate.window_fingerprints(x, n)[0] for x in (item, window))
+        far.append(int(a ^ b).bit_count())
+    assert max(far) <= 20
+
+
 def test_many_slices_of_the_benchmark_give_the_same(spark, case, monkeypatch):
     docs, items = (spark.read.parquet(f"{case[0]}/{t}.parquet") for t in ("documents", "benchmark"))
     rows = lambda: sorted(map(repr, decontaminate.leaks(docs, items).collect()))
@@ -139,6 +169,38 @@ def test_many_slices_of_the_benchmark_give_the_same(spark, case, monkeypatch):
     assert rows() == one
 
 
+def objective(theta, rows, grades, width, levels, penalty):
+    """Mean penalised log-likelihood, grade by grade, of weights and cuts side by side."""
+    w, cuts = theta[:width], [-np.inf, *theta[width:], np.inf]
+    under = lambda z: 1 / (1 + np.exp(-z)) if np.isfinite(z) else float(z > 0)
+    total = 0.0
+    for r, g in zip(rows, grades, strict=True):
+        x = w[r].sum()
+        total += np.log(max(1e-12, under(cuts[g + 1] - x) - under(cuts[g] - x)))
+    return total / len(rows) - penalty / 2 * (w**2).sum()
+
+
+def test_ordinal_regression_is_at_its_optimum():
+    rng = np.random.default_rng(3)
+    width, levels, penalty = 5, 4, 0.01
+    true = np.array([1.5, -1.0, 0.5, 0.0, 2.0])
+    rows = [np.flatnonzero(rng.random(width) < 0.5) for _ in range(150)]
+    grades = np.array([int(np.searchsorted([0.0, 1.0, 2.5], true[r].sum() + rng.logistic())) for r in rows])
+    w, cuts = toxicity.fit_ordinal(rows, grades, width, levels, steps=3000, penalty=penalty, rate=0.02)
+    best = np.concatenate([w, cuts])
+    f = lambda t: objective(t, rows, grades, width, levels, penalty)
+    slope = [(f(best + e) - f(best - e)) / 2e-4 for e in np.eye(len(best)) * 1e-4]
+    assert np.abs(slope).max() < 2e-3
+    plain, step = np.concatenate([np.zeros(width), [-0.5, 0.5, 1.5]]), 1.0  # climbing by numeric slopes
+    for _ in range(400):
+        g = np.array([(f(plain + e) - f(plain - e)) / 2e-4 for e in np.eye(len(plain)) * 1e-4])
+        while step > 1e-6 and f(plain + step * g) < f(plain):
+            step /= 2
+        plain = plain + step * g
+    assert abs(f(plain) - f(best)) < 1e-3
+    assert np.abs(plain - best).max() < 0.1
+
+
 def test_ordinal_regression_keeps_its_cuts_in_order():
     rng = np.random.default_rng(0)
     rows = [np.flatnonzero(rng.random(12) < 0.3) for _ in range(400)]
@@ -235,3 +297,23 @@ def test_windows_of_one_name_are_told_apart_by_bytes():
     zero = np.zeros(5, np.int64)
     assert sorted(suffix_dedup.equal_windows(text, np.arange(5), zero, [zero], 0, 4)) == [0, 1, 2, 3]
     assert sorted(suffix_dedup.equal_windows(text, np.arange(5), zero + 1, [zero], 3, 2)) == [0, 1, 2, 3, 4]
+
+
+def test_warc_reader_bounds_what_follows_a_record():
+    one = warc.record(1, "http://a/", b"x", None, "2024-01-01T00:00:00Z")
+    padded = io.BytesIO(warc._gzip(one + b"\0" * (64 << 20)))
+    with pytest.raises(ValueError, match="line ends"):
+        next(iter(warc.RecordReader(padded)))
+
+
+def test_revisits_are_held_against_their_responses(spark):
+    rows = [(1, 5, "A", "response", None), (2, 5, "A", "revisit", 1), (3, 5, "B", "revisit", 1), (4, 5, "A", "revisit", 9), (5, 6, "A", "revisit", 1)]
+    records = spark.createDataFrame(rows, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long")
+    assert sorted(r.page_id for r in warc.broken_revisits(records).collect()) == [3, 4, 5]
+
+
+def test_archives_are_read_by_bytes(spark, case):
+    pages = spark.read.parquet(f"{case[0]}/pages.parquet")
+    made = warc.write_archives(pages)
+    assert warc.read_archives(made).count() == pages.count()
+    assert warc.broken_revisits(warc.read_archives(made)).isEmpty()
