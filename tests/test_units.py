@@ -87,7 +87,7 @@ def test_a_whole_run(spark, tmp_path, mode):
     config = Config(SfcParams(), Placement(mode, 8, 4), (w,), str(tmp_path / "in.csv"), str(tmp_path / "out"))
     experiment.run(spark, config)
     names = {f for _, d, fs in os.walk(tmp_path / "out") for f in [*d, *fs]}
-    assert {"node_distribution.csv", "node_ranges.csv", "node_dump.csv", "ingest_summary.txt", "w_window.txt", "w_query_results.csv"} <= names
+    assert {"node_distribution.csv", "node_ranges.csv", "node_dump.csv", "ingest_summary.txt", "window.txt", "query_results.csv", "pnode_report.csv", "summary.txt"} <= names
 
 
 def test_config():
