@@ -20,9 +20,9 @@ def whole(vectors: np.ndarray, scale: int) -> np.ndarray:
     return np.floor(scale * vectors.astype(np.float64))
 
 
-def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact inner products of whole-numbered vectors: in doubles where they cannot round, else in Python's integers."""
-    if not q.size or not x.size or np.abs(q).max() * np.abs(x).max() * x.shape[1] < 2**53:
+def products(q: np.ndarray, x: np.ndarray, most: float | None = None) -> np.ndarray:
+    """Exact inner products of whole-numbered vectors: in doubles where they cannot round, else in Python's integers. ``most``: the greatest absolute component of ``x``, if known."""
+    if not q.size or not x.size or np.abs(q).max() * (np.abs(x).max() if most is None else most) * x.shape[1] < 2**53:
         return q @ x.T
     return np.array([[sum(int(a) * int(b) for a, b in zip(u, v, strict=True)) for v in x] for u in q], object)
 
@@ -30,15 +30,17 @@ def products(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 class Lists:
     """A block of candidates, ordered by id, with one list per dimension sorted from least to greatest component.
 
-    ``asked, stopped, scored`` count the queries, those that the bound ended before the lists did, and the candidates
-    scored for all of them.
+    ``asked, stopped, scored`` count the queries, those that the bound ended before all candidates were met, and the
+    candidates scored for all of them.
     """
 
     def __init__(self, ids: np.ndarray, x: np.ndarray):
         order = np.argsort(ids, kind="stable")
         self.ids, self.x = ids[order], x[order]
-        self.rank = np.argsort(self.x, axis=0, kind="stable")
-        self.sorted = np.take_along_axis(self.x, self.rank, axis=0)
+        rank = np.argsort(self.x.T, axis=1, kind="stable")  # a line for each dimension
+        self.sorted = np.take_along_axis(self.x.T, rank, axis=1)
+        self.rank = rank
+        self.most = float(np.abs(self.x).max()) if self.x.size else 0.0
         self.asked = self.stopped = self.scored = 0
 
     def search(self, query_id: int, v: np.ndarray, k: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
@@ -48,34 +50,40 @@ class Lists:
         All lists are read in step, from their top where the query's component is positive and from their bottom
         where it is negative, to twice the depth each time. Candidates met are scored at once; a candidate not yet
         met scores no more than the query with the last components read, so the query ends when that bound is below
-        its k-th score or the floor (not at it: an equal score may have a lesser id), at the latest with the lists.
+        its k-th score or the floor (not at it: an equal score may have a lesser id), at the latest when all are met. The last hundredth of a
+        block is met in one step.
         """
         n = len(self.x)
         self.asked += 1
         up, down = np.flatnonzero(v > 0), np.flatnonzero(v < 0)
         met = np.zeros(n, bool)
         at, scores = [np.zeros(0, np.int64)], [np.zeros(0)]
-        kth, done, depth = floor, 0, min(4, n)
+        kth, done, depth = floor, 0, min(max(4, n // 128), n)
         while done < n:
             here = np.zeros(n, bool)
-            here[self.rank[n - depth : n - done, up].ravel()] = True
-            here[self.rank[done:depth, down].ravel()] = True
             if depth == n:
                 here[:] = True
+            else:
+                here[self.rank[up, n - depth : n - done].ravel()] = True
+                here[self.rank[down, done:depth].ravel()] = True
             new = np.flatnonzero(here & ~met & (self.ids != query_id))
             met |= here
             if len(new):
                 at.append(new)
-                scores.append(products(v[None], self.x[new])[0])
+                # where much of the block is met at once, one product over its lines is cheaper than picking them out
+                scores.append(products(v[None], self.x, self.most)[0][new] if 4 * len(new) > n else products(v[None], self.x[new], self.most)[0])
             done = depth
             known = np.concatenate(scores)
             if len(known) >= k:
                 kth = max(kth, np.partition(known, len(known) - k)[len(known) - k])
-            bound = v[up] @ self.sorted[n - depth, up] + v[down] @ self.sorted[depth - 1, down]
+            bound = v[up] @ self.sorted[up, n - depth] + v[down] @ self.sorted[down, depth - 1]
             if kth > bound + abs(bound) * SLACK:
+                self.stopped += not met.all()
                 break
-            depth = min(n, 2 * depth)
-        self.stopped += done < n
+            unmet = n - np.count_nonzero(met)
+            if not unmet:
+                break
+            depth = min(n, 2 * depth) if 100 * unmet > n else n
         at, known = np.concatenate(at), np.concatenate(scores)
         self.scored += len(at)
         if len(at) > k:
@@ -86,20 +94,23 @@ class Lists:
 
 
 def _searched(candidates: pd.DataFrame, queries: pd.DataFrame, k: int, scale: int) -> pd.DataFrame:
-    """``query_id, qv, vec_id, score``: the threshold algorithm for ``queries(id, v, floor)`` over a block of ``candidates(id,
-    v)``, by lengths of vectors."""
-    out = []
+    """``query_id, vec_id, score, mark, floor``: the threshold algorithm for ``queries(id, v, mark, floor)`` over a block of
+    ``candidates(id, v)``, by lengths of vectors; ``floor`` is now the query's k-th score, if it has as many."""
+    ids, found, scores, marks, floors = [], [], [], [], []
     own = candidates.groupby(candidates.v.map(len))
     blocks = {n: Lists(c.id.to_numpy(), whole(np.stack(c.v.to_numpy()), scale).reshape(len(c), -1)) for n, c in own}
-    for query, v, floor in zip(queries.id, queries.v, queries.floor, strict=True):
+    for query, v, mark, floor in zip(queries.id, queries.v, queries["mark"], queries.floor, strict=True):
         if (lists := blocks.get(len(v))) is None:
             continue
         at, s = lists.search(query, whole(np.asarray(v), scale), k, floor)
-        if not len(at):
-            continue
         held = [max(-(2**63), min(2**63 - 1, int(x))) for x in s]
-        out.append(pd.DataFrame({"query_id": np.full(len(at), query), "qv": [v] * len(at), "vec_id": lists.ids[at], "score": np.array(held, np.int64)}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": np.zeros(0, np.int64), "qv": pd.Series([], dtype=object), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0, np.int64)})
+        ids += [query] * len(at)
+        marks += [mark] * len(at)
+        floors += [float(s[-1]) if len(s) == k else -np.inf] * len(at)
+        found.append(lists.ids[at])
+        scores += held
+    long = lambda x: np.array(x, np.int64)
+    return pd.DataFrame({"query_id": long(ids), "vec_id": np.concatenate([long([]), *found]), "score": long(scores), "mark": long(marks), "floor": np.array(floors, np.float64)})
 
 
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
@@ -125,17 +136,15 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, ve
     n = rows.count()
     blocks = -(-n // BLOCK) or 1
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "v"), F.lit(blocks)).cast("int"))
-    kind = rows.schema["v"].dataType.simpleString()
-    schema = f"query_id long, qv {kind}, vec_id long, score long"
+    rows = rows.withColumn("mark", F.xxhash64("v"))  # tells queries of one id apart; where it should not, the lower floor holds
+    schema = "query_id long, vec_id long, score long, mark long, floor double"
 
     def at_home(pdf: pd.DataFrame) -> pd.DataFrame:
         return _searched(pdf, pdf[pdf.q].assign(floor=-np.inf), k, scale)
 
     home = keep(rows.groupBy("block").applyInPandas(at_home, schema))
-    kth = home.groupBy("query_id", "qv").agg(F.min("score").alias("least"), F.count(F.lit(1)).alias("n"))
-    floor = kth.select(F.col("query_id").alias("id"), F.col("qv").alias("v"), F.when(F.col("n") >= k, F.col("least").cast("double")).alias("floor"))
-    lowest = F.lit(-float("inf"))
-    ask = rows.filter("q").join(floor, ["id", "v"], "left").select("id", "v", F.col("block").alias("home"), F.coalesce("floor", lowest).alias("floor"))
+    floor = home.groupBy(F.col("query_id").alias("id"), "mark").agg(F.min("floor").alias("floor"))
+    ask = rows.filter("q").join(floor, ["id", "mark"], "left").select("id", "v", "mark", F.col("block").alias("home"), F.coalesce("floor", F.lit(-float("inf"))).alias("floor"))
 
     # a block's greatest and least component in each dimension, by length of vectors
     parts = rows.select("block", F.size("v").alias("len"), F.posexplode(F.transform("v", lambda x: F.floor(x.cast("double") * scale).cast("double"))).alias("i", "x"))
@@ -147,7 +156,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: int = 64, ve
     asked = ask.select("*", F.size("v").alias("len"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).filter("block <> home")
     open_ = asked.join(ends, ["block", "len"]).filter(reach + F.abs(reach) * SLACK >= F.col("floor"))
     groups = F.greatest(F.lit(1), F.ceil(F.lit(n) / QUERIES)).cast("long")  # at most; most stay without queries
-    todo = keep(open_.select("block", F.pmod(F.xxhash64("id", "v", F.lit(2)), groups).cast("int").alias("group"), "id", "v", "floor"))
+    todo = keep(open_.select("block", F.pmod(F.xxhash64("id", "v", F.lit(2)), groups).cast("int").alias("group"), "id", "v", "mark", "floor"))
     visits = todo.select(F.col("block").alias("at"), F.col("group").alias("for")).distinct()
     copies = rows.join(visits, F.col("block") == F.col("at")).select(F.col("at").alias("b"), F.col("for").alias("g"), "id", "v")
 
