@@ -263,7 +263,7 @@ def evolve(population: list[Solution], items: dict[int, int], size: int, rng: ra
     return population
 
 
-def pack_lengths(spark, items: dict[int, int], size: int, islands: int = 4, members: int = 4, epochs: int = 3, rounds: int = 60, seed: int = 1) -> Solution:
+def pack_lengths(spark, items: dict[int, int], size: int, islands: int = 4, members: int = 4, epochs: int = 3, rounds: int = 10, seed: int = 1) -> Solution:
     """Bins for ``items`` (length: count, lengths up to ``size``), as few as the islands find.
 
     What evolves is the histogram of lengths, at most ``size`` numbers however many documents there are; like
