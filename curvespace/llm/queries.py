@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curvespace.llm import chat, decontaminate, line_dedup, packing, sharding, simhash, suffix_dedup, topk, toxicity, warc
+from curvespace.llm import chat, decontaminate, lexical, line_dedup, nearest, packing, phrases, sharding, simhash, suffix_dedup, topk, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"), min_bytes=0).drop("url")
 
 
+def op11_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+def op12_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), words=3, least=10, top=2000)
+
+
+def op13_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=20)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_packing": op1_packing,
     "op2_topk": op2_topk,
@@ -71,10 +83,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_toxicity": op8_toxicity,
     "op9_decontamination": op9_decontamination,
     "op10_warc": op10_warc,
+    "op11_nearest": op11_nearest,
+    "op12_phrases": op12_phrases,
+    "op13_lexical": op13_lexical,
 }
 
 ORACLE: dict[str, str] = {
     "op2_topk": topk.ORACLE,
     "op6_chat": chat.oracle(),
     "op7_line_dedup": line_dedup.oracle(),
+    "op11_nearest": nearest.ORACLE,
+    "op12_phrases": phrases.oracle(),
+    "op13_lexical": lexical.oracle(),
 }
