@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from curvespace.functions.curves import cells, encode, morton2, morton3
+from curvespace.operators.ranking import scanned
 from curvespace.params import SfcParams, Window
 
 WINDOW_SCHEMA = "name string, lat_min double, lat_max double, lon_min double, lon_max double, t_start long, t_end long"
@@ -105,12 +108,89 @@ def coalesce_ranges(ranges: DataFrame, prefix_bits: int, total_bits: int, by: Se
     if prefix_bits >= total_bits:
         return ranges.select(*by, "lo", "hi")
     s = total_bits - prefix_bits
-    parts = ranges.withColumn("prefix_", F.explode(F.sequence(F.shiftright("lo", s), F.shiftright("hi", s))))
-    first = F.shiftleft("prefix_", s)
-    hulls = parts.groupBy(*by, "prefix_").agg(F.min(F.greatest("lo", first)).alias("lo"), F.max(F.least("hi", first + (2**s - 1))).alias("hi"))
+    a, b, size = F.shiftright("lo", s), F.shiftright("hi", s), 2**s
+    piece = lambda at, lo, hi: F.struct(at.alias("prefix_"), lo.alias("lo"), hi.alias("hi"))
+    lo, hi = F.col("lo"), F.col("hi")
+    # blocks between a range's first and last are full: they need no row each
+    parts = F.when(a == b, F.array(piece(a, lo, hi))).otherwise(
+        F.array(piece(a, lo, (a + 1) * size - 1), piece(a + 1, (a + 1) * size, b * size - 1), piece(b, b * size, hi))
+    )
+    hulls = ranges.select(*by, F.explode(F.filter(parts, lambda r: r["lo"] <= r["hi"])).alias("r_")).groupBy(*by, "r_.prefix_").agg(F.min("r_.lo").alias("lo"), F.max("r_.hi").alias("hi"))
     return merge_ranges(hulls, by)
 
 
+def best_ranges(ranges: DataFrame, most: int, by: Sequence[str] = ("name",)) -> DataFrame:
+    """``by, lo, hi``: at most ``most`` ranges that hold all of ``ranges``, of the least total length there is: of the gaps
+    between the merged ranges the ``most`` - 1 widest stay (the first of equals), the others are closed. A group of ``by`` is
+    one task's; :func:`union_ranges` has no such bound."""
+    merged = merge_ranges(ranges, by)
+    line = W.partitionBy(*by).orderBy("lo")
+    gap = merged.withColumn("gap_", F.col("lo") - F.lag("hi").over(line))
+    wide = F.row_number().over(W.partitionBy(*by).orderBy(F.desc_nulls_last("gap_"), "lo"))
+    cut = gap.withColumn("cut_", ((wide < most) & F.col("gap_").isNotNull()).cast("int")).withColumn("run_", F.sum("cut_").over(line))
+    return cut.groupBy(*by, "run_").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("run_")
+
+
+def union_ranges(ranges: DataFrame, most: int) -> list[tuple[int, int]]:
+    """All ``ranges`` as at most ``most`` disjoint ones of the least total length, on the driver. Ranges are dealt by their
+    start; what the ones before reach to is carried over from part to part, and of the gaps only the widest return."""
+    starts = scanned(ranges.select("lo", "hi"), ["lo", "hi"], F.col("hi"), "top_", "max", inclusive=False)
+    gaps = starts.filter(F.col("lo") > F.col("top_") + 1).select("lo", "top_").orderBy(F.desc(F.col("lo") - F.col("top_")), "lo").limit(max(0, most - 1))
+    ends = ranges.agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).first()
+    if ends.lo is None:
+        return []
+    cuts = sorted((r.top_, r.lo) for r in gaps.collect())  # at most `most`
+    return list(zip([ends.lo, *[b for _, b in cuts]], [*[a for a, _ in cuts], ends.hi], strict=True))
+
+
+def fine_cover(windows: DataFrame, p: SfcParams, most: int | None = None, block_bits: int = 0, budget: int = MAX_BLOCKS) -> DataFrame:
+    """``name, lo, hi``: a cover by blocks of mixed size, refined breadth first, in at most ``most`` ranges a window.
+
+    One block holds all cells at first. In every round the blocks that lie in the window's box are done at their size, those
+    that do not meet it are gone, and those on its border are split, the ones with most keys outside the box first, as long as
+    the window's blocks stay within ``budget``; what cannot be split stays whole. Rounds end at blocks of ``2**block_bits`` keys; with 0 and
+    room enough the cover is the box, key by key. All rounds are one plan with one shuffle, by window. Bucketed
+    keys start from a square for each bucket, or from one range where the box holds the plane or more buckets than ``budget``.
+    """
+    axes, fine = ("xy" if p.bucketed else "xyz"), _shift(p, block_bits)
+    c = F.col
+    rows = boxes(windows, p).withColumns({"x": F.lit(0).cast("long"), "y": F.lit(0).cast("long")})
+    if p.bucketed:
+        side = 2**p.bits - 1
+        whole = ((c("x0") <= 0) & (c("y0") <= 0) & (c("x1") >= side) & (c("y1") >= side)) | (c("z1") - c("z0") >= budget)
+        rows = rows.withColumn("whole", whole).withColumn("z", F.explode(F.when(c("whole"), F.array("z0")).otherwise(F.sequence("z0", "z1")))).withColumn("last", F.when(c("whole"), c("z1")).otherwise(c("z")))
+    else:
+        rows = rows.withColumns({"z": F.lit(0).cast("long"), "last": F.lit(0).cast("long"), "whole": F.lit(False)})
+
+    def met(a: str, size: int) -> Column:
+        """Cells of the axis that block and box share."""
+        return F.least(c(a) + size - 1, c(f"{a}1")) - F.greatest(c(a), c(f"{a}0")) + 1
+
+    def halves(a: str, size: int) -> Column:
+        h = size // 2
+        return ((c(f"{a}0") < c(a) + h) & (c(f"{a}1") >= c(a))).cast("long") + ((c(f"{a}1") >= c(a) + h) & (c(f"{a}0") < c(a) + size)).cast("long")
+
+    rows = rows.withColumns({"s": F.lit(p.bits), "open": ~c("whole")})
+    line = W.partitionBy("name").orderBy(F.desc("open"), F.desc("excess"), "z", "x", "y")
+    for s in range(p.bits, fine, -1):
+        size = 1 << s
+        shared, kids = reduce(lambda a, b: a * b, [met(a, size) for a in axes]), reduce(lambda a, b: a * b, [halves(a, size) for a in axes])
+        excess = F.lit(size ** len(axes)).cast("long") - shared
+        rows = rows.withColumn("excess", F.when(c("open"), excess).otherwise(F.lit(0).cast("long"))).withColumn("open", c("open") & (c("excess") > 0))
+        rows = rows.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("name"))).withColumn("n", c("n") + F.sum(F.when(c("open"), kids - 1).otherwise(F.lit(0).cast("long"))).over(line.rowsBetween(W.unboundedPreceding, 0)))
+        split = c("open") & (c("n") <= budget)
+        place = lambda *d: F.struct(*[(c(a) + v * (size // 2)).alias(a) for a, v in zip("xyz", (*d, *[0] * (3 - len(d))), strict=True)])  # noqa: B023, E731
+        into = F.filter(F.array(*[place(*d) for d in product((0, 1), repeat=len(axes))]), lambda b: reduce(lambda u, v: u & v, [(b[a] + (size // 2 - 1) >= c(f"{a}0")) & (b[a] <= c(f"{a}1")) for a in axes]))  # noqa: B023
+        kept_ = [c(f"{a}{i}") for a in "xyz" for i in (0, 1)]
+        rows = rows.select("name", *kept_, "last", split.alias("open"), F.when(split, s - 1).otherwise(c("s")).alias("s"), F.explode(F.when(split, into).otherwise(F.array(place(0)))).alias("b"))
+        rows = rows.select("name", *kept_, "last", "open", "s", "b.x", "b.y", "b.z")
+    lo = F.shiftleft("z", 2 * p.bits) + morton2(c("x"), c("y"), p.bits) if p.bucketed else morton3(c("x"), c("y"), c("z"), p.bits)
+    hi = c("lo") + F.expr(f"shiftleft(1L, {len(axes)} * s)") - 1
+    hi = F.when(c("last") > c("z"), F.shiftleft(c("last") + 1, 2 * p.bits) - 1).otherwise(hi) if p.bucketed else hi
+    got = rows.withColumn("lo", lo).withColumn("hi", hi).select("name", "lo", "hi")
+    return merge_ranges(got) if most is None else best_ranges(got, most)
+
+
 def anchor_blocks(windows: DataFrame, p: SfcParams, stop_tail_bits: int = 6) -> DataFrame:
     """``name, lo, hi``: the aligned blocks around the keys of the window's centre and corners at its first second and
     the one before its last."""

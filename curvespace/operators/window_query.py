@@ -1,15 +1,14 @@
-"""Window queries: key predicates for pruning, the exact box for the answer, and the cost of fetching it."""
+"""Window queries: the exact box for the answer, blocks of keys for many windows, and the cost of fetching it."""
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curvespace.functions.curves import encode
-from curvespace.operators.cover import block_count, blocks, boxes, coalesce_ranges, cover, meeting, merge_ranges, plan_windows, windows_frame
+from curvespace.operators.cover import block_count, blocks, boxes, meeting, merge_ranges, plan_windows
 from curvespace.operators.placement import spacing
+from curvespace.operators.range_join import in_ranges
 from curvespace.operators.routing import hops
 from curvespace.params import Placement, SfcParams, Window
 
@@ -22,32 +21,10 @@ def inside(w: Window) -> Column:
     return F.col("lat").between(w.lat_min, w.lat_max) & F.col("lon").between(w.lon_min, w.lon_max) & F.col("t").between(w.t_start, w.t_end)
 
 
-def few_ranges(ranges: DataFrame, total_bits: int) -> list[tuple[int, int]]:
-    """All ``ranges`` of all windows as at most ``MAX_RANGES`` disjoint ones, as fine as that allows."""
-    every = merge_ranges(ranges.select(F.lit(0).alias("all_"), "lo", "hi"), ("all_",))
-    for prefix in range(total_bits, -1, -3):  # the coarsest leaves 8 at most
-        got = merge_ranges(coalesce_ranges(every, prefix, total_bits, ("all_",)), ("all_",)).limit(MAX_RANGES + 1).collect()
-        if len(got) <= MAX_RANGES:
-            break
-    return sorted((r.lo, r.hi) for r in got)
-
-
-def stored_key_filter(points: DataFrame, ranges: DataFrame, total_bits: int, key: str = "key") -> DataFrame:
-    """``points`` whose key lies in ``ranges``, or near: a disjunction of at most ``MAX_RANGES`` ranges. Over a table that
-    stores its keys sorted (:func:`write_keyed`) it prunes files and Parquet row groups."""
-    return points.filter(reduce(lambda a, b: a | b, [F.col(key).between(lo, hi) for lo, hi in few_ranges(ranges, total_bits)], F.lit(False)))
-
-
-def write_keyed(points: DataFrame, path: str, key: str = "key", files: int | None = None) -> None:
-    """Write ``points`` as Parquet, dealt into files by ranges of the key and sorted by it within each."""
-    n = files or int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    points.repartitionByRange(n, key).sortWithinPartitions(key).write.parquet(path)
-
-
-def window_query(points: DataFrame, p: SfcParams, w: Window, key: str = "key") -> DataFrame:
-    """The points of a window: the exact box decides, the ranges of keys only prune."""
-    ranges = cover(windows_frame(points.sparkSession, [w]), p, 4 if p.bucketed else 6)
-    return stored_key_filter(points, ranges, p.ring_bits, key).filter(inside(w))
+def window_query(points: DataFrame, w: Window) -> DataFrame:
+    """The points of a window, by the exact box. Over stored coordinates it reaches the scan; keys that would have to be computed
+    prune nothing. A table that stores its keys is read by :class:`curvespace.sources.keyed_store.KeyedStore`."""
+    return points.filter(inside(w))
 
 
 def multi_window(points: DataFrame, windows: DataFrame, p: SfcParams) -> DataFrame:
@@ -73,11 +50,14 @@ def multi_window(points: DataFrame, windows: DataFrame, p: SfcParams) -> DataFra
 
 def fetch(placed: DataFrame, windows: DataFrame, plan: DataFrame, p: SfcParams, key: str = "key") -> DataFrame:
     """``name`` and the points of each window, as the nodes of ``plan`` (see :func:`fetch_plan`) return them: of what a
-    planned node holds, the points inside the box whose key lies in one of the node's ranges."""
+    planned node holds, the points inside the box whose key lies in one of the node's ranges. Plans of up to ``MAX_ROWS`` ranges go to
+    all tasks; larger ones are merged with the points in the order of keys (:func:`curvespace.operators.range_join.in_ranges`)."""
     found = multi_window(placed, windows, p)
     slices = plan.select(F.col("name").alias("n_"), F.col("vnode_idx").alias("v_"), "lo", "hi")
+    if slices.limit(MAX_ROWS + 1).count() > MAX_ROWS:
+        return in_ranges(found, plan.select("name", "vnode_idx", "lo", "hi"), ("name", "vnode_idx"), key)
     on = (F.col("name") == F.col("n_")) & (F.col("vnode_idx") == F.col("v_")) & F.col(key).between(F.col("lo"), F.col("hi"))
-    return found.join(slices, on, "left_semi")
+    return found.join(F.broadcast(slices), on, "left_semi")
 
 
 def distinct_hits(hits: DataFrame, by: tuple[str, ...] = ("traj_id", "segment_id", "key")) -> DataFrame:
@@ -125,6 +105,4 @@ def query_summary(report: DataFrame) -> DataFrame:
     )
 
 
-__all__ = [
-    "distinct_hits", "fetch", "fetch_plan", "fetch_plan_on", "few_ranges", "inside", "multi_window", "plan_windows", "pnode_report", "query_summary", "stored_key_filter", "window_query", "write_keyed",
-]
+__all__ = ["MAX_RANGES", "MAX_ROWS", "distinct_hits", "fetch", "fetch_plan", "fetch_plan_on", "inside", "multi_window", "plan_windows", "pnode_report", "query_summary", "window_query"]

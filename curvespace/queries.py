@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curvespace.functions import curves, fnv1a64, hilbert_xy, parse_seconds, rfc3339, trajectory_id, unsigned_text
-from curvespace.operators import clean, cover, placement, routing, window_query
+from curvespace.operators import clean, cover, placement, range_join, routing, window_query
 from curvespace.params import Placement, SfcParams, Window
 from curvespace.plans import analytics, cleaning
+from curvespace.sources.keyed_store import KeyedStore
 from curvespace.sources.points import pts_events, pts_lineitem
-from curvespace.sources.shared import keep
+from curvespace.sources.shared import keep, shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -85,20 +87,25 @@ def sql_windows(windows: tuple[Window, ...]) -> str:
     return f"win(name, lat_min, lat_max, lon_min, lon_max, t_start, t_end) AS (VALUES {rows})"
 
 
+#: A window around the first point of every user.
+SQL_WIN = f"""{PTS.replace("pts AS", "first AS", 1)}, win AS (SELECT 'u' || traj_id AS name, lat - {D(0.02)} AS lat_min, lat + {D(0.02)} AS lat_max, lon - {D(0.03)} AS lon_min, lon + {D(0.03)} AS lon_max, t - 1800 AS t_start, t + 5400 AS t_end
+  FROM first QUALIFY row_number() OVER (PARTITION BY traj_id ORDER BY ordinal) = 1)"""
+
+
 def sql_merge(source: str, into: str, by: str = "name", gap: int = 1) -> str:
     return f"""{into}_m AS (SELECT *, max(hi) OVER (PARTITION BY {by} ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM {source}),
 {into}_i AS (SELECT *, sum(CASE WHEN top IS NULL OR lo > top + {gap} THEN 1 ELSE 0 END) OVER (PARTITION BY {by} ORDER BY lo, hi) AS island FROM {into}_m),
 {into} AS (SELECT {by}, CAST(min(lo) AS BIGINT) AS lo, CAST(max(hi) AS BIGINT) AS hi FROM {into}_i GROUP BY {by}, island)"""
 
 
-def sql_cover(windows: tuple[Window, ...] = SMALL) -> str:
-    pad = Z3.time_pad
-    corner = lambda a, b, c: f"{sql_cell(a, *Z3.lat, True)} // 4, {sql_cell(b, *Z3.lon, True)} // 4, {sql_cell(c, *Z3.time, True)} // 4"
-    return f"""{sql_windows(windows)},
+def sql_cover(side: int = 4) -> str:
+    """``cov(name, lo, hi)``: the blocks of ``side`` cells a side that meet each window of ``win``, one by one, and joined."""
+    pad, n = Z3.time_pad, side**3
+    corner = lambda a, b, c: f"{sql_cell(a, *Z3.lat, True)} // {side}, {sql_cell(b, *Z3.lon, True)} // {side}, {sql_cell(c, *Z3.time, True)} // {side}"
+    return f"""{SQL_WIN},
 box(name, x0, y0, z0, x1, y1, z1) AS (SELECT name, {corner('lat_min', 'lon_min', f't_start - {pad}')}, {corner('lat_max', 'lon_max', f't_end + {pad - 1}')} FROM win),
-blk AS (SELECT name, {sql_morton3('x', 'y', 'z', 8)} AS block FROM box, range(256) a(x), range(256) b(y), range(256) c(z)
-        WHERE x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 AND z BETWEEN z0 AND z1),
-rng AS (SELECT name, block * 64 AS lo, block * 64 + 63 AS hi FROM blk),
+blk AS (SELECT name, {sql_morton3('x', 'y', 'z')} AS block FROM box, unnest(range(x0, x1 + 1)) a(x), unnest(range(y0, y1 + 1)) b(y), unnest(range(z0, z1 + 1)) c(z)),
+rng AS (SELECT name, block * {n} AS lo, block * {n} + {n - 1} AS hi FROM blk),
 {sql_merge('rng', 'cov')}"""
 
 
@@ -221,7 +228,7 @@ def parse_time_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _window(w: Window) -> Query:
-    return lambda spark, sf: window_query.window_query(keyed(spark, sf), Z3, w).select("ordinal", "traj_id", "lat", "lon", rfc3339(F.col("t")).alias("datetime"))
+    return lambda spark, sf: window_query.window_query(pts_events(spark, sf), w).select("ordinal", "traj_id", "lat", "lon", rfc3339(F.col("t")).alias("datetime"))
 
 
 for _w in WINDOWS.values():
@@ -233,12 +240,30 @@ def multi_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_query.multi_window(pts_events(spark, sf_dir), cover.windows_frame(spark, list(WINDOWS.values())), Z3).select("name", "ordinal", "lat", "lon")
 
 
-@register("window_stored_keys", f"WITH {sql_keyed()} SELECT ordinal, key FROM keyed WHERE {sql_inside(SMALL[1])}")
-def window_stored_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A window over a table that stores its keys sorted: the ranges reach the Parquet scan."""
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = keep(keyed(spark, sf_dir).repartitionByRange(n, "key").sortWithinPartitions("key"))
-    return window_query.window_query(table, Z3, SMALL[1]).select("ordinal", "key")
+def stored(spark: SparkSession, sf_dir: str) -> KeyedStore:
+    """``events``, placed, in a keyed store of its own."""
+    placed = placement.assign(keyed(spark, sf_dir), Z3, MODES["baseline"])
+    return KeyedStore(spark, f"{shared_dir(spark)}/stores/{uuid.uuid4().hex}", Z3).append(placed)
+
+
+for _w in WINDOWS.values():
+    register(f"window_stored_{_w.name}", f"WITH {sql_keyed()} SELECT ordinal, key FROM keyed WHERE {sql_inside(_w)}")(lambda spark, sf, w=_w: stored(spark, sf).window(w).select("ordinal", "key"))
+
+
+@register("windows_stored", f"WITH {SQL_WIN}, {PTS} SELECT name, ordinal FROM pts JOIN win ON lat BETWEEN lat_min AND lat_max AND lon BETWEEN lon_min AND lon_max AND t BETWEEN t_start AND t_end")
+def windows_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stored(spark, sf_dir).windows(windows(spark, sf_dir)).select("name", "ordinal")
+
+
+register("node_stored", f"WITH {sql_keyed()} SELECT ordinal, key, CAST(key // 64 * 64 AS BIGINT) AS bucket FROM keyed WHERE {sql_node('key', 64)} = 17")(lambda spark, sf: stored(spark, sf).node(17).select("ordinal", "key", "bucket"))
+register("buckets_stored", f"WITH {sql_keyed()} SELECT ordinal, key FROM keyed WHERE key // 64 * 64 <= 400000000 AND key // 64 * 64 + 63 >= 300000000")(lambda spark, sf: stored(spark, sf).buckets(300_000_000, 400_000_000).select("ordinal", "key"))
+
+
+@register("points_in_ranges", f"WITH {sql_cover()}, {sql_keyed()} SELECT ordinal, key FROM keyed SEMI JOIN cov ON name = 'u' || traj_id AND key BETWEEN lo AND hi")
+def points_in_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every user's points whose keys lie in the cover of the user's window, by merging."""
+    points = keyed(spark, sf_dir).withColumn("name", F.concat(F.lit("u"), "traj_id"))
+    return range_join.in_ranges(points, cover.cover(windows(spark, sf_dir), Z3)).select("ordinal", "key")
 
 
 @register("distinct_hits", f"WITH {sql_keyed()}, {sql_windows(tuple(WINDOWS.values()))} SELECT name, count(DISTINCT (traj_id, t, key)) AS distinct_hits FROM keyed JOIN win ON lat BETWEEN lat_min AND lat_max AND lon BETWEEN lon_min AND lon_max AND t BETWEEN t_start AND t_end GROUP BY name")
@@ -264,27 +289,33 @@ def hits_by_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- covers ----------------------------------------------------------------------------------------------------------
 
 
-def small(spark: SparkSession) -> DataFrame:
-    return cover.windows_frame(spark, SMALL)
+def windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A window around the first point of every user."""
+    first = pts_events(spark, sf_dir).groupBy("traj_id").agg(*[F.min_by(c, "ordinal").alias(c) for c in ("lat", "lon", "t")])
+    around = lambda c, by: [(F.col(c) - by).alias(f"{c}_min"), (F.col(c) + by).alias(f"{c}_max")]
+    return first.select(F.concat(F.lit("u"), "traj_id").alias("name"), *around("lat", 0.02), *around("lon", 0.03), (F.col("t") - 1800).alias("t_start"), (F.col("t") + 5400).alias("t_end"))
 
 
-register("cover_ranges", f"WITH {sql_cover()} SELECT name, lo, hi FROM cov")(lambda spark, sf: cover.cover(small(spark), Z3))
-register("cover_stats", f"WITH {sql_cover()} SELECT name, count(*) AS n_ranges, CAST(sum(hi - lo + 1) AS BIGINT) AS n_keys FROM cov GROUP BY name")(lambda spark, sf: cover.plan_stats(cover.cover(small(spark), Z3)))
+register("cover_ranges", f"WITH {sql_cover()} SELECT name, lo, hi FROM cov")(lambda spark, sf: cover.cover(windows(spark, sf), Z3))
+register("cover_stats", f"WITH {sql_cover()} SELECT name, count(*) AS n_ranges, CAST(sum(hi - lo + 1) AS BIGINT) AS n_keys FROM cov GROUP BY name")(lambda spark, sf: cover.plan_stats(cover.cover(windows(spark, sf), Z3)))
+register("cover_mixed", f"WITH {sql_cover(1)} SELECT name, lo, hi FROM cov")(lambda spark, sf: cover.fine_cover(windows(spark, sf), Z3))
+register("cover_best", f"""WITH {sql_cover(1)}, gap AS (SELECT *, lo - lag(hi) OVER (PARTITION BY name ORDER BY lo) AS gap FROM cov),
+wide AS (SELECT *, CAST(gap IS NOT NULL AND row_number() OVER (PARTITION BY name ORDER BY gap DESC NULLS LAST, lo) < 8 AS INTEGER) AS cut FROM gap), run AS (SELECT *, sum(cut) OVER (PARTITION BY name ORDER BY lo) AS run FROM wide)
+SELECT name, CAST(min(lo) AS BIGINT) AS lo, CAST(max(hi) AS BIGINT) AS hi FROM run GROUP BY name, run""")(lambda spark, sf: cover.fine_cover(windows(spark, sf), Z3, most=8))
 for _k in (18, 12):
-    register(f"cover_coalesced_p{_k}", f"WITH {sql_coalesced(_k)} SELECT name, lo, hi FROM coal")(lambda spark, sf, k=_k: cover.coalesce_ranges(cover.cover(small(spark), Z3), k, RING))
-register("anchor_blocks", f"WITH {sql_windows(SMALL)}, {SQL_ANCHORS} SELECT name, lo, hi FROM anc")(lambda spark, sf: cover.anchor_blocks(small(spark), Z3))
-register("plan_ranges", f"WITH {sql_cover()}, {SQL_ANCHORS}, bth AS (SELECT name, lo, hi FROM cov UNION ALL SELECT name, lo, hi FROM anc), {sql_merge('bth', 'plan')} SELECT name, lo, hi FROM plan")(lambda spark, sf: cover.plan_windows(small(spark), Z3))
+    register(f"cover_coalesced_p{_k}", f"WITH {sql_coalesced(_k)} SELECT name, lo, hi FROM coal")(lambda spark, sf, k=_k: cover.coalesce_ranges(cover.cover(windows(spark, sf), Z3), k, RING))
+register("anchor_blocks", f"WITH {SQL_WIN}, {SQL_ANCHORS} SELECT name, lo, hi FROM anc")(lambda spark, sf: cover.anchor_blocks(windows(spark, sf), Z3))
+register("plan_ranges", f"WITH {sql_cover()}, {SQL_ANCHORS}, bth AS (SELECT name, lo, hi FROM cov UNION ALL SELECT name, lo, hi FROM anc), {sql_merge('bth', 'plan')} SELECT name, lo, hi FROM plan")(lambda spark, sf: cover.plan_windows(windows(spark, sf), Z3))
 _Z2T = PARAMS["z2t"]
-register("cover_z2t", f"""WITH {sql_windows(SMALL)},
+register("cover_z2t", f"""WITH {SQL_WIN},
 box(name, x0, y0, z0, x1, y1, z1) AS (SELECT name, {sql_cell('lat_min', *Z3.lat, False)} // 4, {sql_cell('lon_min', *Z3.lon, False)} // 4, greatest(t_start - {TIME[0]}, 0) // 3600,
   {sql_cell('lat_max', *Z3.lat, False)} // 4, {sql_cell('lon_max', *Z3.lon, False)} // 4, least((t_end - {TIME[0]}) // 3600, {_Z2T.num_buckets - 1}) FROM win),
-sq AS (SELECT name, z * {1 << 20} + 16 * ({sql_spread('x', 8, 2, 1)} + {sql_spread('y', 8, 2, 0)}) AS lo FROM box, range(256) a(x), range(256) b(y), range({_Z2T.num_buckets}) c(z)
-       WHERE x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 AND z BETWEEN z0 AND z1),
-rng AS (SELECT name, lo, lo + 15 AS hi FROM sq), {sql_merge('rng', 'cov')} SELECT name, lo, hi FROM cov""")(lambda spark, sf: cover.cover(small(spark), PARAMS["z2t"], 4))
+sq AS (SELECT name, z * {1 << 20} + 16 * ({sql_spread('x', 8, 2, 1)} + {sql_spread('y', 8, 2, 0)}) AS lo FROM box, unnest(range(x0, x1 + 1)) a(x), unnest(range(y0, y1 + 1)) b(y), unnest(range(z0, z1 + 1)) c(z)),
+rng AS (SELECT name, lo, lo + 15 AS hi FROM sq), {sql_merge('rng', 'cov')} SELECT name, lo, hi FROM cov""")(lambda spark, sf: cover.cover(windows(spark, sf), PARAMS["z2t"], 4))
 register("merge_keys_gap", f"WITH {sql_keyed()}, k AS (SELECT traj_id, key AS lo, key AS hi FROM keyed), {sql_merge('k', 'mk', 'traj_id', 100_000)} SELECT traj_id, lo, hi FROM mk")(lambda spark, sf: cover.merge_keys(keyed(spark, sf), ("traj_id",), 100_000))
 register("split_wrapping", f"""WITH {sql_ring(8, 1)}, r AS (SELECT vnode_idx, CASE WHEN wrapped THEN [[resp_start, {2**RING - 1}], [0, resp_end]] ELSE [[resp_start, resp_end]] END AS p FROM ring)
 SELECT vnode_idx, CAST(e[1] AS BIGINT) AS lo, CAST(e[2] AS BIGINT) AS hi FROM (SELECT vnode_idx, unnest(p) AS e FROM r)""")(lambda spark, sf: cover.split_wrapping(placement.ring(spark, Placement(nodes=8), RING).select("vnode_idx", F.col("resp_start").alias("lo"), F.col("resp_end").alias("hi")), 2**RING - 1))
-register("covered_hours", f"""WITH {sql_windows(SMALL)} SELECT name, CAST((t_end - t_start) // 600 + 1 AS BIGINT) AS n_samples, CAST((t_end - t_start) // 600 + 1 AS BIGINT) AS n_covered FROM win""")(lambda spark, sf: cover.covered_hours(small(spark), cover.cover(small(spark), Z3), Z3, 600))
+register("covered_hours", f"""WITH {SQL_WIN} SELECT name, CAST((t_end - t_start) // 600 + 1 AS BIGINT) AS n_samples, CAST((t_end - t_start) // 600 + 1 AS BIGINT) AS n_covered FROM win""")(lambda spark, sf: cover.covered_hours(windows(spark, sf), cover.cover(windows(spark, sf), Z3), Z3, 600))
 
 
 # ---- placement -------------------------------------------------------------------------------------------------------
@@ -329,7 +360,7 @@ SELECT vnode_idx, k, target, {sql_node('target', 64)} AS finger_idx FROM t""")(l
 def hops_snode(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = placement.assign(keyed(spark, sf_dir), Z3, MODES["snode"], [F.col("ordinal")])
     ring = placement.snode_ring(placed, MODES["snode"])
-    reps = window_query.fetch_plan_on(cover.cover(small(spark), Z3), ring, RING).groupBy("name", "pnode_idx").agg(F.min("lo").alias("key"))
+    reps = window_query.fetch_plan_on(cover.cover(windows(spark, sf_dir), Z3), ring, RING).groupBy("name", "pnode_idx").agg(F.min("lo").alias("key"))
     return routing.hops_on(ring, reps.select("key"), RING)
 
 
@@ -342,12 +373,12 @@ SQL_REPORT = f"""{SQL_PLAN}, {sql_keyed()}, hit AS (SELECT name, {sql_node('key'
 rep AS (SELECT name, pnode_idx, min(lo) AS key FROM slice GROUP BY 1, 2),
 report AS (SELECT rep.name, pnode_idx, (SELECT count(*) FROM hit WHERE hit.name = rep.name AND p = pnode_idx) AS returned_count, {sql_hops('key', 64)} AS route_hops FROM rep)"""
 
-register("fetch_plan", f"WITH {SQL_PLAN} SELECT name, pnode_idx, vnode_idx, lo, hi FROM slice")(lambda spark, sf: window_query.fetch_plan(cover.plan_windows(small(spark), Z3), _BASE, RING))
+register("fetch_plan", f"WITH {SQL_PLAN} SELECT name, pnode_idx, vnode_idx, lo, hi FROM slice")(lambda spark, sf: window_query.fetch_plan(cover.plan_windows(windows(spark, sf), Z3), _BASE, RING))
 
 
-def report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    plan = window_query.fetch_plan(cover.plan_windows(small(spark), Z3), _BASE, RING)
-    hits = window_query.fetch(placement.assign(keyed(spark, sf_dir), Z3, _BASE), small(spark), plan, Z3)
+def report(spark: SparkSession, sf: str) -> DataFrame:
+    plan = keep(window_query.fetch_plan(cover.plan_windows(windows(spark, sf), Z3), _BASE, RING))
+    hits = window_query.fetch(placement.assign(keyed(spark, sf), Z3, _BASE), windows(spark, sf), plan, Z3)
     return window_query.pnode_report(plan, hits, _BASE, RING)
 
 

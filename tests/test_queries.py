@@ -19,11 +19,6 @@ def test_hilbert_path_visits_every_cell_by_single_steps(spark, small):
     assert all(abs(a - c) + abs(b - e) == 1 for (a, b), (c, e) in zip(path, path[1:], strict=False))
 
 
-@pytest.mark.parametrize("name", ["trajectory_ids", "cover_z2t", "hops_snode"])
-def test_queries_without_sql_give_rows(spark, small, name):
-    assert queries.QUERIES[name](spark, small).count() > 0
-
-
 def test_packed_ring_has_the_hops_of_a_routing_walk(spark):
     from curvespace.operators import routing
 

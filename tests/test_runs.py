@@ -4,14 +4,13 @@ import math
 import random
 
 import numpy as np
-import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from curvespace.operators import clean, cover, placement, routing, window_query
 from curvespace.params import Config, Placement, SfcParams, Window, load_config
 from curvespace.plans import analytics, cleaning, experiment
-from curvespace.sources import points, run_dir
+from curvespace.sources import keyed_store, points, run_dir
 
 CONFIG = """
 dataset: {lat_range: [39.0, 41.0], lon_range: [115.0, 118.0], time_range: [1176268800, 1343433600]}
@@ -142,32 +141,12 @@ def test_many_windows_are_joined_by_block(spark, small):
         assert "NestedLoop" not in plan_of(found)
         got = sorted((r.name, r.ordinal) for r in found.collect())
         assert got == sorted((w.name, r.ordinal) for w in wins for r in pts.filter(window_query.inside(w)).select("ordinal").collect())
-    ranges = cover.cover(frame, queries.Z3)
-    assert len(window_query.few_ranges(ranges, 30)) <= window_query.MAX_RANGES
-    held = {r.ordinal for r in window_query.stored_key_filter(pts, ranges, 30).collect()}
+    ranges = cover.union_ranges(cover.cover(frame, queries.Z3), window_query.MAX_RANGES)
+    assert len(ranges) <= window_query.MAX_RANGES
+    held = {r.ordinal for r in pts.filter(keyed_store.between_any("key", ranges)).collect()}
     assert held >= {o for _, o in got}
 
 
-def test_stored_keys_prune_the_scan(spark, small, tmp_path):
-    from curvespace import queries
-
-    path = str(tmp_path / "keyed")
-    window_query.write_keyed(queries.keyed(spark, small), path, files=16)
-    table = spark.read.parquet(path)
-    found = window_query.window_query(table, queries.Z3, queries.SMALL[1])
-    assert "Or(Or(" in plan_of(found).partition("PushedFilters")[2]  # on the key: the box has no disjunction
-    assert "Join" not in plan_of(found)
-    assert found.count() == queries.keyed(spark, small).filter(window_query.inside(queries.SMALL[1])).count()
-    spans = sorted((m["min"], m["max"]) for f in tmp_path.glob("keyed/*.parquet") for m in [key_span(f)])
-    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:], strict=False))
-
-
-def key_span(file):
-    meta = pq.ParquetFile(file).metadata
-    stats = next(meta.row_group(0).column(c).statistics for c in range(meta.num_columns) if meta.row_group(0).column(c).path_in_schema == "key")
-    return {"min": stats.min, "max": stats.max}
-
-
 def test_ranges_meet_as_in_a_plain_join(spark):
     rng = random.Random(2)
     pair = lambda: sorted(rng.randrange(2000) for _ in range(2))
