@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from curvespace.llm.common import free_name, keep, ranked, ready, tagged
+from curvespace.llm.common import forget, free_name, keep, ranked, ready, tagged
 
 #: Words whose ids a worker remembers; beyond it the memory is emptied and fills again.
 REMEMBERED = 400_000
@@ -250,31 +250,35 @@ def from_row(flat: list[int]) -> Solution:
     return s
 
 
-def evolve(population: list[Solution], items: dict[int, int], size: int, rng: random.Random, rounds: int, keep_best: int) -> list[Solution]:
+def evolve(population: list[Solution], items: dict[int, int], size: int, rng: random.Random, patience: int, keep_best: int) -> list[Solution]:
+    """Crossovers until ``patience`` of them in a row have saved no bin, or the least possible number of bins is reached."""
     bound = -(-sum(n * c for n, c in items.items()) // size)
-    for _ in range(rounds):
+    best, idle = min(map(bins_of, population)), 0
+    while best > bound and idle < patience:
         population.sort(key=lambda s: score(s, size), reverse=True)
-        if bins_of(population[0]) <= bound:
-            break
         a, b = rng.sample(population[: max(2, len(population) // 2)], 2) if len(population) > 1 else population * 2
         child = crossover(a, b, items, size, rng)
         population.append(mutate(child, size, rng) if rng.random() < 0.5 else child)
         population = sorted(population, key=lambda s: score(s, size), reverse=True)[:keep_best]
-    return population
+        idle = idle + 1 if bins_of(population[0]) == best else 0
+        best = bins_of(population[0])
+    return sorted(population, key=lambda s: score(s, size), reverse=True)
 
 
-def pack_lengths(spark, items: dict[int, int], size: int, islands: int = 4, members: int = 4, epochs: int = 3, rounds: int = 10, seed: int = 1) -> Solution:
+def pack_lengths(spark, items: dict[int, int], size: int, islands: int = 4, members: int = 4, patience: int = 40, seed: int = 1) -> Solution:
     """Bins for ``items`` (length: count, lengths up to ``size``), as few as the islands find.
 
     What evolves is the histogram of lengths, at most ``size`` numbers however many documents there are; like
     bins are one pattern with a count. Every island is one Spark task; after each epoch its best member also moves
-    to the next island. Nothing evolves once best fit reaches the least possible number of bins. The effort is the same
-    at every size: ``epochs`` of ``rounds`` crossovers on each island.
+    to the next island. Nothing evolves once best fit reaches the least possible number of bins. The rule for the effort is the
+    same at every size: an island goes on until ``patience`` crossovers in a row have saved no bin, and epochs go on until one
+    has saved none on any island (two at least, so that each island meets a neighbour's best).
     """
     if not items:
         return {}
     first = best_fit(items, {}, size)
-    if bins_of(first) <= -(-sum(n * c for n, c in items.items()) // size):
+    bound = -(-sum(n * c for n, c in items.items()) // size)
+    if bins_of(first) <= bound:
         return first
     lengths = sorted(items.items())
 
@@ -282,21 +286,30 @@ def pack_lengths(spark, items: dict[int, int], size: int, islands: int = 4, memb
         island = int(pdf.island.iloc[0])
         rng = random.Random(seed * 1000 + island)
         own = [best_fit(dict(lengths), {}, size, sorted(dict(lengths), key=lambda n: n * (1 if k == 0 else rng.uniform(0.9, 1.1)), reverse=True)) for k in range(members)]
-        return pd.DataFrame({"island": island, "epoch": 0, "flat": [to_row(s) for s in own]})
+        return pd.DataFrame({"island": island, "epoch": 0, "bins": [bins_of(s) for s in own], "flat": [to_row(s) for s in own]})
 
     def step(pdf: pd.DataFrame) -> pd.DataFrame:
         island, epoch = int(pdf.island.iloc[0]), int(pdf.epoch.iloc[0])
         rng = random.Random(seed * 1000 + island + 100 * (epoch + 1))
-        own = evolve([from_row(f) for f in sorted(map(list, pdf.flat))], dict(lengths), size, rng, rounds, members)
-        out = pd.DataFrame({"island": island, "epoch": epoch + 1, "flat": [to_row(s) for s in own]})
+        own = evolve([from_row(f) for f in sorted(map(list, pdf.flat))], dict(lengths), size, rng, patience, members)
+        out = pd.DataFrame({"island": island, "epoch": epoch + 1, "bins": [bins_of(s) for s in own], "flat": [to_row(s) for s in own]})
         elite = out.head(1).assign(island=(island + 1) % islands)
         return pd.concat([out, elite], ignore_index=True)
 
-    schema = "island int, epoch int, flat array<int>"
+    schema = "island int, epoch int, bins long, flat array<long>"
     pop = spark.range(islands).select(F.col("id").cast("int").alias("island")).groupBy("island").applyInPandas(start, schema)
-    for _ in range(epochs):
-        pop = keep(pop.groupBy("island").applyInPandas(step, schema))
-    held = max((from_row(r.flat) for r in pop.filter("epoch > 0").toLocalIterator()), key=lambda s: score(s, size))
+    best, epoch = bins_of(first), 0
+    while True:
+        new = keep(pop.groupBy("island").applyInPandas(step, schema))
+        if epoch:
+            forget(pop)
+        pop, epoch = new, epoch + 1
+        fewest = pop.agg(F.min("bins")).first()[0]
+        if fewest <= bound or (epoch > 1 and fewest >= best):
+            break
+        best = min(best, fewest)
+    held = max((from_row(r.flat) for r in pop.filter(F.col("bins") == fewest).toLocalIterator()), key=lambda s: score(s, size))
+    forget(pop)
     return max(held, first, key=lambda s: score(s, size))
 
 
