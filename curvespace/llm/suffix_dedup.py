@@ -13,13 +13,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
 from curvespace.llm.common import forget, keep, ready
+from curvespace.operators.cover import merge_ranges
 
 _STEP = 0x9E3779B97F4A7C15
 _BYTE = (np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _POWERS: dict[bool, np.ndarray] = {}
 
-#: A document is read in pieces of this many bytes, so that memory stays bounded whatever its length.
+#: A document is read in pieces of this many bytes, and what a piece gives is handed on before the next one is read.
 CHUNK = 1 << 20
+#: Runs of sampled positions that a task holds before it hands them on.
+ROWS = 1 << 13
 #: Positions of one rank that are compared in one group; larger groups are ranked at more lengths first.
 GROUP = 200
 
@@ -68,17 +71,17 @@ def _slide(x: np.ndarray, w: int, of=np.minimum) -> np.ndarray:
     return of(x[: len(x) - (w - s)], x[w - s :]) if s < w else x
 
 
-def anchors(data: bytes, size: int, hulls: bool = True) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-    """Positions sampled by content, their ranks at length size / 2, and the digests of their hulls (if asked for).
+def anchors(data: bytes, size: int, hulls: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
+    """``first, last, times, rank, hull`` of positions sampled by content, piece by piece of ``CHUNK`` bytes: runs of ``times``
+    sampled positions, one after the other, of one rank at length size / 2 and one hull, whose digest is given if asked for.
 
     A position is sampled if its half-length name is least among those that lie in some ``size`` bytes with it, so
     every ``size`` bytes hold one, at the same place wherever these bytes occur. The hull of a position is the
     union of the ``size``-byte windows that hold its half-length string; where it is cut short by an end of the
-    document, the digest tells how.
+    document, the digest tells how. Bytes that repeat in short periods make long runs, which are one row each.
     """
     half = size // 2
     w = size - half + 1
-    at, core, hull = [], [], []
     n = len(data)
     for lo in range(0, max(1, n - size + 1), CHUNK):
         left, right = max(0, lo - 2 * size), min(n, lo + CHUNK + 3 * size)
@@ -89,12 +92,21 @@ def anchors(data: bytes, size: int, hulls: bool = True) -> tuple[np.ndarray, np.
         pad = np.zeros(w - 1, np.uint64)
         chosen = np.flatnonzero(h == _slide(np.concatenate([pad, low, pad]), w, np.maximum))
         chosen = chosen[(chosen + left >= lo) & (chosen + left < (lo + CHUNK if lo + CHUNK < n - size + 1 else n))]
-        a, b = np.maximum(chosen - (w - 1), 0), np.minimum(chosen + half + w - 1, right - left)
-        at.append(chosen + left)
-        core.append(h[chosen])
+        rank, hull = h[chosen], []
+        new = np.ones(len(chosen), bool)
+        new[1:] = rank[1:] != rank[:-1]
         if hulls:
-            hull += [digest(data[left + x : left + y] + (c - x).to_bytes(4)) for c, x, y in zip(chosen.tolist(), a.tolist(), b.tolist(), strict=True)]
-    return np.concatenate(at), np.concatenate(core), hull
+            a, b = np.maximum(chosen - (w - 1), 0), np.minimum(chosen + half + w - 1, right - left)
+            before = None
+            for k, (c, x, y) in enumerate(zip(chosen.tolist(), a.tolist(), b.tolist(), strict=True)):
+                own = digest(data[left + x : left + y] + (c - x).to_bytes(4))
+                if new[k] or own != before:
+                    new[k] = True
+                    hull.append(own)
+                before = own
+        first = np.flatnonzero(new)
+        ends = np.append(first[1:], len(chosen))[: len(first)]
+        yield chosen[first] + left, chosen[ends - 1] + left, ends - first, rank[first], hull
 
 
 def _row_key(docs: DataFrame) -> tuple[Column, Column]:
@@ -106,41 +118,60 @@ def _row_key(docs: DataFrame) -> tuple[Column, Column]:
 
 
 def _sampled(src: DataFrame, size: int) -> DataFrame:
-    """``id, t, pos, key, hull`` of every sampled position."""
+    """``id, t, pos, last, times, key, hull`` of every run of sampled positions."""
+    names_ = ["id", "t", "pos", "last", "times", "key", "hull"]
+
+    def out(held: list[tuple]) -> pa.RecordBatch:
+        many = [len(x[2]) for x in held]
+        ids = [np.repeat(np.array([x[k] for x in held], np.int64), many) for k in (0, 1)]
+        pos, last, times, key = (np.concatenate([x[k] for x in held]) for k in range(2, 6))
+        hull = pa.array([h for x in held for h in x[6]], pa.binary())
+        return pa.RecordBatch.from_arrays([*map(pa.array, ids), pa.array(pos.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(times), pa.array(key.view(np.int64)), hull], names=names_)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
         for b in batches:
-            for lo in range(0, b.num_rows, 128):
-                part = b.slice(lo, 128)
-                got = [anchors(x.as_py(), size) for x in part.column(2)]
-                rows = part.select([0, 1]).take(pa.array(np.repeat(np.arange(len(got)), [len(g[0]) for g in got])))
-                pos, core = (np.concatenate([g[k] for g in got]) for k in range(2))
-                hull = pa.array([h for g in got for h in g[2]], pa.binary())
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array(pos.astype(np.int32)), pa.array(core.view(np.int64)), hull], names=["id", "t", "pos", "key", "hull"])
+            for i, t, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+                for got in anchors(data.as_py(), size):
+                    held.append((i, t, *got))
+                    rows += len(got[0])
+                    if rows >= ROWS:
+                        yield out(held)
+                        held, rows = [], 0
+        if held:
+            yield out(held)
 
-    return src.mapInArrow(sample, "id long, t long, pos int, key long, hull binary")
+    return src.mapInArrow(sample, "id long, t long, pos int, last int, times long, key long, hull binary")
 
 
 def _ranks(src: DataFrame, size: int) -> DataFrame:
-    """``key`` of every sampled position."""
+    """``key, times`` of every run of sampled positions."""
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        out = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[3] for x in held]).view(np.int64)), pa.array(np.concatenate([x[2] for x in held]))], names=["key", "times"])
         for b in batches:
-            for lo in range(0, b.num_rows, 128):
-                core = np.concatenate([anchors(x.as_py(), size, False)[1] for x in b.column(0).slice(lo, 128)])
-                yield pa.RecordBatch.from_arrays([pa.array(core.view(np.int64))], names=["key"])
+            for data in b.column(0):
+                for got in anchors(data.as_py(), size, False):
+                    held.append(got)
+                    rows += len(got[0])
+                    if rows >= ROWS:
+                        yield out()
+                        held, rows = [], 0
+        if held:
+            yield out()
 
-    return src.select("bytes").mapInArrow(sample, "key long")
+    return src.select("bytes").mapInArrow(sample, "key long, times long")
 
 
 def _settle(rows: DataFrame, ranks: DataFrame) -> DataFrame:
-    """``rows(key, hull, id, t, pos, ...)`` without those whose ``key`` is unique in ``ranks``; with ``settled``, whether
+    """``rows(key, hull, id, t, pos, times, ...)`` without those whose ``key`` is unique in ``ranks(key, times)``; with ``settled``, whether
     the hull occurs again, ``first``, whether it is the first of its hull, and ``n``, the open rows and first ones of
     the key."""
-    keys = keep(ranks.groupBy("key").agg(F.count(F.lit(1)).alias("c")).filter("c > 1").select("key"))
+    keys = keep(ranks.groupBy("key").agg(F.sum("times").alias("c")).filter("c > 1").select("key"))
     alive = keep(rows.join(keys, "key"))
     at = F.struct("id", "t", "pos")
-    hulls = keep(alive.groupBy("hull").agg(F.count(F.lit(1)).alias("c"), F.min(at).alias("lead")).filter("c > 1").drop("c"))
+    hulls = keep(alive.groupBy("hull").agg(F.sum("times").alias("c"), F.min(at).alias("lead")).filter("c > 1").drop("c"))
     told = keep(alive.join(hulls, "hull", "left").withColumn("settled", F.col("lead").isNotNull()).withColumn("first", F.coalesce(F.col("lead") == at, F.lit(False))).drop("lead"))
     open_ = keep(told.filter("not settled or first").groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.expr("not settled")).alias("o")).filter("o > 0").select("key", "n"))
     out = keep(told.join(open_, "key", "left"))
@@ -169,7 +200,7 @@ def repeated_spans(docs: DataFrame, size: int = 200, doc_id: str = "doc_id", tex
     ranked = _settle(_sampled(src, size), _ranks(src, size))
     span = lambda lo, hi: F.struct(lo.cast("int").alias("lo"), hi.cast("int").alias("hi"))
     pos = F.col("pos")
-    done = [ranked.filter("settled").select("id", "t", span(F.greatest(pos - (w - 1), F.lit(0)), pos + (half + w - 1)).alias("s"))]
+    done = [ranked.filter("settled").select("id", "t", span(F.greatest(pos - (w - 1), F.lit(0)), F.col("last") + (half + w - 1)).alias("s"))]
 
     # what a window takes before and after the half-length string, for the positions still to be compared
     at = ranked.filter("n is not null and (first or not settled)").groupBy("id", "t").agg(F.collect_list(F.struct("pos", "key", "n", "settled")).alias("at"))
@@ -193,10 +224,10 @@ def repeated_spans(docs: DataFrame, size: int = 200, doc_id: str = "doc_id", tex
         head = lambda k: F.expr(f"substring(after, 1, {w - 1} - {k})")
         shape = F.concat_ws(",", "a", "b", F.length(tail("b")), F.length(head("a"))).cast("binary")
         hull = F.unhex(F.substring(F.sha2(F.concat(shape, "core", tail("b"), head("a")), 256), 1, 32))
-        parts = parts.filter(least <= most).withColumn("hull", hull).withColumn("key", F.xxhash64("key", "a", "b", tail("a"), head("b"))).drop("n")
+        parts = parts.filter(least <= most).withColumn("hull", hull).withColumn("key", F.xxhash64("key", "a", "b", tail("a"), head("b"))).drop("n").withColumn("times", F.lit(1).cast("long"))
         again = _settle(parts, parts)
         done.append(again.filter("settled and not rep").select("id", "t", span(pos - most, pos - least + size).alias("s")))
-        rows = again.filter("n is not null and (first or not settled)").withColumn("rep", F.col("rep") | F.col("settled")).drop("hull", "settled", "first")
+        rows = again.filter("n is not null and (first or not settled)").withColumn("rep", F.col("rep") | F.col("settled")).drop("hull", "settled", "first", "times")
 
     todo = small[0]
     for more in small[1:]:
@@ -218,7 +249,10 @@ def repeated_spans(docs: DataFrame, size: int = 200, doc_id: str = "doc_id", tex
     found = exact.select("id", "t", span(F.col("lo"), F.col("hi")).alias("s"))
     for more in done:
         found = found.unionByName(more)
-    return found.groupBy("id", "t").agg(F.collect_list("s").alias("spans"))
+    # spans that meet are joined within stretches of a document, so that few are left to gather
+    each = found.select("id", "t", F.col("s.lo").cast("long").alias("lo"), F.col("s.hi").cast("long").alias("hi")).withColumn("stretch", F.shiftright("lo", 20))
+    few = merge_ranges(each, ("id", "t", "stretch"), 0)
+    return few.groupBy("id", "t").agg(F.collect_list(span(F.col("lo"), F.col("hi"))).alias("spans"))
 
 
 def window_names(before: pd.Series, after: pd.Series, first: pd.Series, last: pd.Series, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
