@@ -42,6 +42,38 @@ def morton2(x: Column, y: Column, bits: int = 10) -> Column:
     return F.shiftleft(spread2(x, bits), 1) + spread2(y, bits)
 
 
+def _turns(bits: int) -> tuple[list[int], list[int]]:
+    """Digits and next state of the two-dimensional Hilbert curve over ``bits`` levels, for (state << 2 * bits) + (x << bits) + y. A state
+    says whether the axes are exchanged (1) and whether both run backwards (2) within a square."""
+    digits, after = [], []
+    for state in range(4):
+        for cell in range(1 << 2 * bits):
+            at, d = state, 0
+            for i in range(bits - 1, -1, -1):
+                x, y = cell >> bits + i & 1, cell >> i & 1
+                x, y = (y, x) if at & 1 else (x, y)
+                x, y = (1 - x, 1 - y) if at & 2 else (x, y)
+                d = 4 * d + (3 * x ^ y)
+                at = at if y else at ^ 1 ^ 2 * x
+            digits.append(d)
+            after.append(at)
+    return digits, after
+
+
+def hilbert2(x: Column, y: Column, bits: int = 10) -> Column:
+    """Place of cell (x, y) along the two-dimensional Hilbert curve of order ``bits``; :func:`hilbert_xy` is its inverse. The state of
+    the square passes down the levels, five at a time, so the first digits are the place of the square around the cell."""
+    state, d, left = F.lit(0).cast("long"), F.lit(0).cast("long"), bits
+    while left:
+        n = left % 5 or 5
+        left -= n
+        digits, after = (F.expr(f"array({', '.join(f'{v}L' for v in t)})") for t in _turns(n))
+        own = lambda v: F.shiftright(v, left).bitwiseAND(F.lit((1 << n) - 1).cast("long"))  # noqa: B023, E731
+        at = (F.shiftleft(state, 2 * n) + F.shiftleft(own(x), n) + own(y)).cast("int")
+        d, state = F.shiftleft(d, 2 * n) + F.get(digits, at), F.get(after, at)
+    return d
+
+
 def take_bits(key: Column, total: int, take: int) -> Column:
     """The first ``take`` of ``total`` bits of a key, the others zero."""
     return F.shiftleft(F.shiftright(key, total - take), total - take)
@@ -57,12 +89,17 @@ def cells(p: SfcParams, lat: Column, lon: Column, t: Column) -> tuple[Column, Co
 
 def key_of_cells(p: SfcParams, x: Column, y: Column, z: Column) -> Column:
     if p.bucketed:
-        return F.shiftleft(z, 2 * p.bits) + morton2(x, y, p.bits)
+        return F.shiftleft(z, 2 * p.bits) + plane_key(p, x, y)
     return morton3(x, y, z, p.bits)
 
 
+def plane_key(p: SfcParams, x: Column, y: Column) -> Column:
+    """The two-dimensional part of a bucketed key."""
+    return hilbert2(x, y, p.bits) if p.true_hilbert else morton2(x, y, p.bits)
+
+
 def encode(p: SfcParams, lat: Column, lon: Column, t: Column) -> Column:
-    """Curve key of a point; ``h3`` and ``h2t`` are Morton keys too, with rounded cells."""
+    """Curve key of a point; ``h3`` and ``h2t`` are Morton keys too, with rounded cells, unless ``true_hilbert`` is set."""
     return key_of_cells(p, *cells(p, lat, lon, t))
 
 
@@ -73,13 +110,18 @@ def block_id(key: Column, block_bits: int = 6) -> Column:
 
 def hilbert_xy(d: Column, bits: int) -> tuple[Column, Column]:
     """Cell (x, y) of step ``d`` along the two-dimensional Hilbert curve of order ``bits``."""
-    x = y = F.lit(0).cast("long")
-    one = F.lit(1).cast("long")
-    for i in range(bits):
-        side = 1 << i
-        rx = F.shiftright(d, 2 * i + 1).bitwiseAND(one)
-        ry = F.shiftright(d, 2 * i).bitwiseXOR(rx).bitwiseAND(one)
-        turn = (ry == 0) & (rx == 1)
-        fx, fy = F.when(turn, side - 1 - x).otherwise(x), F.when(turn, side - 1 - y).otherwise(y)
-        x, y = F.when(ry == 0, fy).otherwise(fx) + side * rx, F.when(ry == 0, fx).otherwise(fy) + side * ry
+    x = y = state = F.lit(0).cast("long")
+    left = bits
+    while left:
+        n = left % 5 or 5
+        left -= n
+        digits, after = _turns(n)
+        cell, turned = [0] * len(digits), [0] * len(digits)
+        for at, own in enumerate(digits):
+            place = (at >> 2 * n << 2 * n) + own
+            cell[place], turned[place] = at & (1 << 2 * n) - 1, after[at]
+        cells, states = (F.expr(f"array({', '.join(f'{v}L' for v in t)})") for t in (cell, turned))
+        at = (F.shiftleft(state, 2 * n) + F.shiftright(d, 2 * left).bitwiseAND(F.lit((1 << 2 * n) - 1).cast("long"))).cast("int")
+        got = F.get(cells, at)
+        x, y, state = F.shiftleft(x, n) + F.shiftright(got, n), F.shiftleft(y, n) + got.bitwiseAND(F.lit((1 << n) - 1).cast("long")), F.get(states, at)
     return x, y

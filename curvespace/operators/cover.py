@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from curvespace.functions.curves import cells, encode, morton2, morton3
+from curvespace.functions.curves import cells, encode, morton2, morton3, plane_key
 from curvespace.operators.ranking import scanned
 from curvespace.params import SfcParams, Window
 
@@ -77,6 +77,8 @@ def _explode(boxed: DataFrame, p: SfcParams) -> DataFrame:
     # squares as large as the plane are the same for all buckets, so one range holds them all
     whole = F.col("s") >= p.bits
     df = df.withColumn("z", F.explode(F.when(whole, F.array("z0")).otherwise(F.sequence("z0", "z1"))))
+    if p.true_hilbert:
+        raise ValueError("covers along the Hilbert curve are made by fine_cover")
     lo = F.shiftleft("z", 2 * p.bits) + morton2(x, y, p.bits)
     return df.select("name", lo.alias("lo"), F.when(whole, F.shiftleft(F.col("z1") + 1, 2 * p.bits) - 1).otherwise(lo + F.expr("shiftleft(1L, 2 * s)") - 1).alias("hi"))
 
@@ -184,9 +186,12 @@ def fine_cover(windows: DataFrame, p: SfcParams, most: int | None = None, block_
         kept_ = [c(f"{a}{i}") for a in "xyz" for i in (0, 1)]
         rows = rows.select("name", *kept_, "last", split.alias("open"), F.when(split, s - 1).otherwise(c("s")).alias("s"), F.explode(F.when(split, into).otherwise(F.array(place(0)))).alias("b"))
         rows = rows.select("name", *kept_, "last", "open", "s", "b.x", "b.y", "b.z")
-    lo = F.shiftleft("z", 2 * p.bits) + morton2(c("x"), c("y"), p.bits) if p.bucketed else morton3(c("x"), c("y"), c("z"), p.bits)
+    # a square's keys are one stretch of the curve, which its corner's key shows when the digits within the square are cut off
+    lo = F.shiftleft("z", 2 * p.bits) + F.expr("shiftleft(shiftright(plane, 2 * s), 2 * s)") if p.bucketed else morton3(c("x"), c("y"), c("z"), p.bits)
     hi = c("lo") + F.expr(f"shiftleft(1L, {len(axes)} * s)") - 1
     hi = F.when(c("last") > c("z"), F.shiftleft(c("last") + 1, 2 * p.bits) - 1).otherwise(hi) if p.bucketed else hi
+    if p.bucketed:
+        rows = rows.withColumn("plane", plane_key(p, c("x"), c("y")))
     got = rows.withColumn("lo", lo).withColumn("hi", hi).select("name", "lo", "hi")
     return merge_ranges(got) if most is None else best_ranges(got, most)
 

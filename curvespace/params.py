@@ -15,7 +15,8 @@ ALGORITHMS = ("z3", "h3", "z2t", "h2t")
 
 @dataclass(frozen=True)
 class SfcParams:
-    """What a curve key depends on: algorithm, bounds (lat, lon, seconds), bits per axis, time bucket length."""
+    """What a curve key depends on: algorithm, bounds (lat, lon, seconds), bits per axis, time bucket length. ``true_hilbert``: bucketed
+    keys follow the Hilbert curve in the plane."""
 
     algorithm: str = "z3"
     lat: tuple[float, float] = (39.0, 41.0)
@@ -23,6 +24,7 @@ class SfcParams:
     time: tuple[int, int] = (1_175_308_800, 1_346_457_600)
     bits: int = 10
     bucket_s: int = 3600
+    true_hilbert: bool = False
 
     def __post_init__(self) -> None:
         if self.algorithm not in ALGORITHMS:

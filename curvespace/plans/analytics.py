@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from curvespace.params import SfcParams
+
 
 def load_vector(distribution: DataFrame, nodes: int) -> DataFrame:
     """``pnode_idx, total_count`` of every node 0 to ``nodes`` - 1; missing ones hold 0."""
@@ -67,6 +69,24 @@ def scheme_matrix(metrics: DataFrame, runs: DataFrame, queries: DataFrame, metri
     return grid.groupBy("query").pivot("run", names).agg(F.first(metric))
 
 
+def density_pyramid(points: DataFrame, p: SfcParams, levels: tuple[int, ...], key: str = "key") -> DataFrame:
+    """``level, cell, n``: points in every cell of each level that holds any; a level is the bits of an axis that its cells keep.
+    Keys begin with their coarser cells, so one pass of grouping sets over prefixes counts all levels; rows without a key are in
+    none. Of bucketed keys the plane's part counts, over all buckets."""
+    step = 2 if p.bucketed else 3
+    k = F.col(key) % 2 ** (2 * p.bits) if p.bucketed else F.col(key)
+    at = sorted(set(levels))
+    names = [f"l{n}" for n in at]
+    cells = points.filter(F.col(key).isNotNull()).select(*[F.shiftright(k, step * (p.bits - n)).alias(c) for n, c in zip(at, names, strict=True)])
+    sums = cells.rollup(*names).agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("g_"))
+    # grouping_id has a bit for each prefix that is rolled up, the finest last
+    level, cell = F.lit(None).cast("int"), F.lit(None).cast("long")
+    for i, (n, c) in enumerate(zip(at, names, strict=True)):
+        own = F.col("g_") == 2 ** (len(at) - 1 - i) - 1
+        level, cell = F.when(own, n).otherwise(level), F.when(own, F.col(c)).otherwise(cell)
+    return sums.select(level.alias("level"), cell.alias("cell"), "n").filter("level IS NOT NULL")
+
+
 def key_histogram(points: DataFrame, key: str = "key") -> DataFrame:
     """``run_length, n_keys``: how many keys occur how often."""
     return points.groupBy(key).agg(F.count(F.lit(1)).alias("run_length")).groupBy("run_length").agg(F.count(F.lit(1)).alias("n_keys"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from curvespace.functions.timeparse import iso_utc
@@ -40,13 +41,39 @@ def clean_table(tagged: DataFrame) -> DataFrame:
     return kept(tagged).select("user", "traj_id", "lat", "lon", iso_utc(F.col("ts")).alias("datetime"))
 
 
-def clean_folder(spark: SparkSession, root: str, out: str, rules: CleanRules = CleanRules(), kind: str = "csv") -> DataFrame:
+def observed(tagged: DataFrame, name: str = "account") -> tuple[DataFrame, Observation]:
+    """``tagged`` and an observation that has the account (see :func:`account`) and the bounds of what stays once an action has read
+    all of it. ``tagged`` lies by trajectory, so what concerns whole trajectories is marked on their first row without a shuffle."""
+    own, line = W.partitionBy("traj_id"), W.partitionBy("traj_id").orderBy("ordinal")
+    reason = F.col("reason")
+    late = F.coalesce(reason, F.lit("")).isin("", "too_short", "speed", "too_close")
+    marked = tagged.withColumns({"first_": F.row_number().over(line) == 1, "reached_": F.max(late).over(own), "kept_": F.max(reason.isNull()).over(own)})
+    seen, count = Observation(name), lambda c, n: F.count_if(c).alias(n)
+    bounds = [f(F.when(reason.isNull(), F.col(c))).alias(f"{c}_{n}") for c in ("lat", "lon", "ts") for n, f in (("min", F.min), ("max", F.max))]
+    rows = marked.observe(
+        seen, count(F.col("first_"), "files_total"), F.count(F.lit(1)).alias("rows_total"), *[count(reason == r, n) for r, n in COUNTERS.items()],
+        count(F.col("first_") & F.col("reached_"), "traj_total"), count(F.col("first_") & F.col("reached_") & ~F.col("kept_"), "traj_too_short"), *bounds,
+    )
+    return rows.drop("first_", "reached_", "kept_"), seen
+
+
+def clean_folder(spark: SparkSession, root: str, out: str, rules: CleanRules = CleanRules(), kind: str = "csv", slice_s: int | None = None) -> DataFrame:
     """Clean ``root/<user>/Trajectory/*.plt`` into ``out/clean`` (CSV with header, or Parquet) and ``out/summary`` (a line
-    for each counter and bound, as text); the summary's row comes back. Raw files are read once."""
-    tagged = keep(tag(read_plt(spark, root), rules))
+    for each counter and bound, as text); the summary's row comes back. One job reads the raw files and writes the table; the
+    account is observed on the way. With ``slice_s`` (see :func:`clean.tag`) trajectories are cut, and the tagged rows are
+    written down first."""
+    tagged = tag(read_plt(spark, root), rules, slice_s)
+    if slice_s:
+        tagged = keep(tagged)
+        summary = keep(account(tagged).crossJoin(F.broadcast(output_bounds(kept(tagged)))))  # a row each
+    else:
+        tagged, seen = observed(tagged)
     table = clean_table(tagged)
     (table.write.option("header", True).csv if kind == "csv" else table.write.parquet)(f"{out}/clean")
-    summary = keep(account(tagged).crossJoin(F.broadcast(output_bounds(kept(tagged)))))  # a row each
+    if not slice_s:
+        kinds = {"lat": "double", "lon": "double", "ts": "timestamp"}
+        got = seen.get
+        summary = spark.createDataFrame([tuple(got.values())], ", ".join(f"{c} {kinds.get(c.rsplit('_', 1)[0], 'long')}" for c in got))
     lines = F.explode(F.array(*[F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in summary.columns]))
     summary.select(lines).write.text(f"{out}/summary")
     return summary

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from curvespace.functions import curves, fnv1a64, hilbert_xy, parse_seconds, rfc3339, trajectory_id, unsigned_text
+from curvespace.functions import curves, fnv1a64, hilbert_xy, parse_seconds, rfc3339, sql, trajectory_id, unsigned_text
 from curvespace.operators import clean, cover, placement, range_join, routing, window_query
 from curvespace.params import Placement, SfcParams, Window
 from curvespace.plans import analytics, cleaning
@@ -190,10 +190,32 @@ cells AS ({sql_cells(_LINE)}), keyed AS (SELECT *, {sql_morton3('x', 'y', 'z')}
 SELECT {sql_node('key', 128)} AS pnode_idx, count(*) AS n, min(key) AS min_key, max(key) AS max_key FROM keyed GROUP BY 1"""
 
 
-@register("hilbert_path", None)
+#: The cells of ``cell(id, x, y)``, walked down level by level: place so far, axes exchanged, axes backwards.
+SQL_HILBERT = """walk AS (
+  SELECT id, x, y, 9 AS i, CAST(0 AS BIGINT) AS d, 0 AS swap, 0 AS back FROM cell
+  UNION ALL
+  SELECT id, x, y, i - 1, d * 4 + xor(3 * p, q), CASE WHEN q = 0 THEN 1 - swap ELSE swap END, CASE WHEN q = 0 AND p = 1 THEN 1 - back ELSE back END
+  FROM (SELECT *, xor(CASE WHEN swap = 1 THEN (y >> i) & 1 ELSE (x >> i) & 1 END, back) AS p, xor(CASE WHEN swap = 1 THEN (x >> i) & 1 ELSE (y >> i) & 1 END, back) AS q FROM walk WHERE i >= 0)
+), hilbert AS (SELECT id, d FROM walk WHERE i = -1)"""
+HILBERT = SfcParams("h2t", time=TIME, true_hilbert=True)
+
+
+@register("hilbert_keys", f"""WITH RECURSIVE {PTS}, cells AS ({sql_cells(HILBERT)}), cell AS (SELECT ordinal AS id, x, y FROM cells), {SQL_HILBERT}
+SELECT ordinal, CAST(z * {1 << 20} + d AS BIGINT) AS key FROM cells JOIN hilbert ON id = ordinal""")
+def hilbert_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return keyed(spark, sf_dir, HILBERT).select("ordinal", "key")
+
+
+@register("hilbert_path", f"WITH {PTS}, cells AS ({sql_cells(HILBERT)}) SELECT ordinal, x, y FROM cells")
 def hilbert_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x, y = hilbert_xy(F.col("id"), 5)
-    return spark.range(1 << 10).select(F.col("id").alias("d"), x.alias("x"), y.alias("y"))
+    """The cells of all points, found again from their places along the curve."""
+    x, y = hilbert_xy(F.col("key") % (1 << 20), 10)
+    return keyed(spark, sf_dir, HILBERT).select("ordinal", x.alias("x"), y.alias("y"))
+
+
+@register("density_pyramid", f"WITH {sql_keyed()} " + " UNION ALL ".join(f"SELECT {n} AS level, CAST(key >> {30 - 3 * n} AS BIGINT) AS cell, count(*) AS n FROM keyed GROUP BY 2" for n in (1, 2, 4, 6, 8, 10)))
+def density_pyramid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.density_pyramid(keyed(spark, sf_dir), Z3, (1, 2, 4, 6, 8, 10))
 
 
 @register("fnv_hash", f"""WITH {PTS}, u AS (SELECT DISTINCT traj_id FROM pts)
@@ -235,6 +257,16 @@ for _w in WINDOWS.values():
     register(f"window_{_w.name}", f"WITH {PTS} SELECT ordinal, traj_id, lat, lon, strftime(make_timestamp(t * 1000000), '%Y-%m-%dT%H:%M:%S+00:00') AS datetime FROM pts WHERE {sql_inside(_w)}")(_window(_w))
 
 
+@register("window_sql", f"WITH {PTS} SELECT ordinal, traj_id, lat, lon FROM pts WHERE {sql_inside(WINDOWS['medium'])}")
+def window_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A window in plain SQL: the cover as a table function, keys as a scalar one."""
+    w = WINDOWS["medium"]
+    sql.register(spark, Z3)
+    box = f"{w.lat_min}D, {w.lat_max}D, {w.lon_min}D, {w.lon_max}D, {w.t_start}L, {w.t_end}L"
+    return spark.sql(f"""SELECT ordinal, traj_id, lat, lon FROM {{points}} p LEFT SEMI JOIN sfc_cover({box}, 18) c ON sfc_key(p.lat, p.lon, p.t) BETWEEN c.lo AND c.hi
+WHERE lat BETWEEN {w.lat_min}D AND {w.lat_max}D AND lon BETWEEN {w.lon_min}D AND {w.lon_max}D AND t BETWEEN {w.t_start} AND {w.t_end}""", points=pts_events(spark, sf_dir))
+
+
 @register("multi_window", f"WITH {PTS}, {sql_windows(tuple(WINDOWS.values()))} SELECT name, ordinal, lat, lon FROM pts JOIN win ON lat BETWEEN lat_min AND lat_max AND lon BETWEEN lon_min AND lon_max AND t BETWEEN t_start AND t_end")
 def multi_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return window_query.multi_window(pts_events(spark, sf_dir), cover.windows_frame(spark, list(WINDOWS.values())), Z3).select("name", "ordinal", "lat", "lon")
@@ -302,6 +334,11 @@ register("cover_mixed", f"WITH {sql_cover(1)} SELECT name, lo, hi FROM cov")(lam
 register("cover_best", f"""WITH {sql_cover(1)}, gap AS (SELECT *, lo - lag(hi) OVER (PARTITION BY name ORDER BY lo) AS gap FROM cov),
 wide AS (SELECT *, CAST(gap IS NOT NULL AND row_number() OVER (PARTITION BY name ORDER BY gap DESC NULLS LAST, lo) < 8 AS INTEGER) AS cut FROM gap), run AS (SELECT *, sum(cut) OVER (PARTITION BY name ORDER BY lo) AS run FROM wide)
 SELECT name, CAST(min(lo) AS BIGINT) AS lo, CAST(max(hi) AS BIGINT) AS hi FROM run GROUP BY name, run""")(lambda spark, sf: cover.fine_cover(windows(spark, sf), Z3, most=8))
+register("cover_hilbert", f"""WITH RECURSIVE {SQL_WIN},
+box(name, x0, y0, z0, x1, y1, z1) AS (SELECT name, {sql_cell('lat_min', *Z3.lat, False)}, {sql_cell('lon_min', *Z3.lon, False)}, greatest(t_start - {TIME[0]}, 0) // 3600,
+  {sql_cell('lat_max', *Z3.lat, False)}, {sql_cell('lon_max', *Z3.lon, False)}, least((t_end - {TIME[0]}) // 3600, {HILBERT.num_buckets - 1}) FROM win),
+sq AS (SELECT name, x, y, z0, z1 FROM box, unnest(range(x0, x1 + 1)) a(x), unnest(range(y0, y1 + 1)) b(y)), cell AS (SELECT DISTINCT x * 1024 + y AS id, x, y FROM sq), {SQL_HILBERT},
+rng AS (SELECT name, z * {1 << 20} + d AS lo, z * {1 << 20} + d AS hi FROM sq JOIN hilbert ON id = x * 1024 + y, unnest(range(z0, z1 + 1)) c(z)), {sql_merge('rng', 'cov')} SELECT name, lo, hi FROM cov""")(lambda spark, sf: cover.fine_cover(windows(spark, sf), HILBERT))
 for _k in (18, 12):
     register(f"cover_coalesced_p{_k}", f"WITH {sql_coalesced(_k)} SELECT name, lo, hi FROM coal")(lambda spark, sf, k=_k: cover.coalesce_ranges(cover.cover(windows(spark, sf), Z3), k, RING))
 register("anchor_blocks", f"WITH {SQL_WIN}, {SQL_ANCHORS} SELECT name, lo, hi FROM anc")(lambda spark, sf: cover.anchor_blocks(windows(spark, sf), Z3))
@@ -416,6 +453,7 @@ s3 AS (SELECT s2.* EXCLUDE (r), d, coalesce(r, CASE WHEN d / greatest(1.0, g) *
 tagged AS (SELECT * EXCLUDE (r), coalesce(r, CASE WHEN count(*) FILTER (r IS NULL) OVER (PARTITION BY traj_id) < 20 THEN 'too_short' END) AS reason FROM s3)"""
 
 register("clean_kept", f"WITH {SQL_CLEAN} SELECT traj_id, ordinal, lat, lon, round(d, 3) AS dist_m, strftime(make_timestamp(t * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS datetime FROM tagged WHERE reason IS NULL")(lambda spark, sf: clean.kept(clean.tag(raw(spark, sf), RULES)).select("traj_id", "ordinal", "lat", "lon", F.round("dist_m", 3).alias("dist_m"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("datetime")))
+register("clean_sliced", ORACLE["clean_kept"])(lambda spark, sf: clean.kept(clean.tag(raw(spark, sf), RULES, slice_s=6 * 3600)).select("traj_id", "ordinal", "lat", "lon", F.round("dist_m", 3).alias("dist_m"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("datetime")))
 register("clean_counters", f"WITH {SQL_CLEAN} SELECT coalesce(reason, 'kept') AS reason, count(*) AS n_rows, count(DISTINCT traj_id) AS n_trajectories FROM tagged GROUP BY 1")(lambda spark, sf: clean.counters(clean.tag(raw(spark, sf), RULES)))
 register("traj_ordinal", f"WITH {PTS} SELECT traj_id, ordinal, CAST(row_number() OVER (PARTITION BY traj_id ORDER BY ordinal) - 1 AS INTEGER) AS segment_id FROM pts")(lambda spark, sf: clean.with_ordinal(pts_events(spark, sf)).select("traj_id", "ordinal", "segment_id"))
 

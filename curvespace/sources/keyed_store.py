@@ -53,7 +53,7 @@ class KeyedStore:
         """The rows of ``files(file)``."""
         names = sorted(unquote(r.file) for r in files.select("file").distinct().collect())
         like = self.spark.read.parquet(f"{self.path}/columns")
-        return self.spark.read.schema(like.schema).option("basePath", f"{self.path}/points").parquet(*names) if names else like
+        return self.spark.read.schema(like.schema).option("basePath", f"{self.path}/points").parquet(*names).drop("batch") if names else like
 
     def table(self) -> DataFrame:
         """All rows of the batches that count."""

@@ -1,9 +1,12 @@
 """Every registered query of the trajectory operators: against DuckDB, or against a plain version where SQL has none."""
 
+import itertools
+
 import pytest
 from pyspark.sql import functions as F
 
 from curvespace import queries
+from curvespace.functions import hilbert2, hilbert_xy
 
 
 @pytest.mark.parametrize("name", sorted(queries.ORACLE))
@@ -11,12 +14,18 @@ def test_sql(spark, small, check_sql, name):
     check_sql(queries.QUERIES[name](spark, small), queries.ORACLE[name], small)
 
 
-def test_hilbert_path_visits_every_cell_by_single_steps(spark, small):
-    rows = queries.QUERIES["hilbert_path"](spark, small)
-    d = next(c for c in rows.columns if c not in ("x", "y"))
-    path = [(r.x, r.y) for r in rows.select("x", "y").orderBy(F.col(d)).collect()]
-    assert len(set(path)) == len(path) == 1024
-    assert all(abs(a - c) + abs(b - e) == 1 for (a, b), (c, e) in zip(path, path[1:], strict=False))
+@pytest.mark.parametrize("bits", [1, 3, 5, 7])
+def test_hilbert_curve_visits_every_cell_by_single_steps(spark, bits):
+    x, y = hilbert_xy(F.col("id"), bits)
+    rows = spark.range(1 << 2 * bits).select("id", x.alias("x"), y.alias("y")).select("*", hilbert2(F.col("x"), F.col("y"), bits).alias("d")).orderBy("id").collect()
+    path = [(r.x, r.y) for r in rows]
+    assert len(set(path)) == len(path)
+    assert all(abs(a - c) + abs(b - e) == 1 for (a, b), (c, e) in itertools.pairwise(path))
+    assert all(r.d == r.id for r in rows)
+    if bits > 1:  # a square's first digits are its own place
+        tops = [hilbert2(F.lit(x).cast("long"), F.lit(y).cast("long"), bits - 1).alias(f"c{x}_{y}") for x in range(2) for y in range(2)]
+        first = spark.range(1).select(*tops).first().asDict()
+        assert {(r.x >> 1, r.y >> 1): r.d >> 2 for r in rows if max(r.x, r.y) < 4} == {(int(k[1]), int(k[3])): v for k, v in first.items()}
 
 
 def test_packed_ring_has_the_hops_of_a_routing_walk(spark):

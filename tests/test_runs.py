@@ -197,6 +197,9 @@ def test_cleaning_a_folder(spark, tmp_path):
     write("001", "c", good[:3])
     write("001", "d", [(45.0, 116.3, day, "10:00:00")])
     row = cleaning.clean_folder(spark, str(tmp_path / "raw"), f"file://{tmp_path}/out").first().asDict()
+    cut = cleaning.clean_folder(spark, str(tmp_path / "raw"), f"file://{tmp_path}/cut", kind="parquet", slice_s=90).first().asDict()
+    assert cut == row
+    assert spark.read.parquet(f"file://{tmp_path}/cut/clean").count() == 13
     counts = {k: row[k] for k in row if k.startswith(("files", "rows", "traj"))}
     assert counts == {
         "files_total": 4, "rows_total": 25, "rows_bad_format": 1, "rows_bad_time": 1, "rows_zero_coord": 1, "rows_out_of_bbox": 2, "rows_out_of_timerange": 1, "rows_same_second_merged": 1,
@@ -222,6 +225,37 @@ def test_cleaning_takes_one_shuffle(spark):
     assert plan.count("Exchange hashpartitioning") == 1, plan
 
 
+def test_account_is_observed_in_the_job_that_writes(spark, small, tmp_path):
+    from curvespace import queries
+
+    tagged = clean.tag(queries.raw(spark, small), queries.RULES)
+    rows, seen = cleaning.observed(tagged)
+    rows.filter("reason is null").write.parquet(f"file://{tmp_path}/clean")
+    want = cleaning.account(tagged).first().asDict()
+    assert {k: seen.get[k] for k in want} == want
+
+
+def test_one_trajectory_of_a_third_of_all_rows_is_cut(spark):
+    """Equal to whole trajectories, with ties, rows without a time and gaps over the borders of pieces."""
+    rng = random.Random(6)
+    rows = []
+    for k in range(1500):
+        traj = "hot" if k % 3 == 0 else f"t{k % 60}" if k % 7 else None
+        sec = rng.randrange(20_000)
+        lat = rng.choice([39.9 + rng.randrange(5) / 1000, 39.9, 0.0, None, 50.0])
+        rows.append((traj, k, lat, 0.0 if lat == 0.0 else 116.3, rng.choice(["2008-10-23"] * 9 + ["soon", None]), f"{10 + sec // 3600:02}:{sec // 60 % 60:02}:{sec % 60:02}"))
+    raw = spark.createDataFrame(rows, "traj_id string, ordinal long, lat double, lon double, date string, time string")
+    rules = clean.CleanRules(max_kmh=5.0, min_metres=50.0, min_seconds=600, min_points=4)
+    whole = clean.tag(raw, rules)
+    for seconds in (60, 3600):
+        cut = clean.tag(raw, rules, seconds)
+        assert sorted(cut.columns) == sorted(whole.columns)
+        assert cut.select(*whole.columns).exceptAll(whole).isEmpty()
+        assert cut.count() == whole.count() == 1500
+    pieces = raw.filter("traj_id = 'hot'").select((F.unix_seconds(F.to_timestamp(F.concat_ws(" ", F.lit("2008-10-23"), "time"))) / 60).cast("long")).distinct().count()
+    assert pieces > 100
+
+
 def test_hops_end_on_their_own(spark):
     ring = spark.createDataFrame([(i, i, 8 * i) for i in range(100)], "pnode_idx long, vnode_idx long, node_id long")
     got = routing.hops_on(ring, spark.createDataFrame([(k,) for k in (5, 790)], "key long"), 10)

@@ -11,7 +11,7 @@ from curvespace.functions import fnv1a64, parse_seconds, quantize, unsigned_text
 from curvespace.operators import cover, placement, window_query
 from curvespace.params import Config, Placement, SfcParams, Window, load_config
 from curvespace.plans import experiment
-from curvespace.sources import points
+from curvespace.sources import keyed_store, points
 from curvespace.streaming import encode_stream, load_by_time
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -63,8 +63,8 @@ def test_cover_holds_every_key_of_its_window(spark, small):
         own = pts.drop("key").withColumn("key", queries.curves.encode(p, F.col("lat"), F.col("lon"), F.col("t")))
         for w in queries.WINDOWS.values():
             exact = own.filter(window_query.inside(w))
-            assert window_query.window_query(own, p, w).exceptAll(exact).count() == 0
-            assert exact.count() == window_query.window_query(own, p, w).count()
+            for ranges in (cover.cover(cover.windows_frame(spark, [w]), p, 4 if p.bucketed else 6), cover.fine_cover(cover.windows_frame(spark, [w]), p, 50, 4 if p.bucketed else 6)):
+                assert exact.filter(~keyed_store.between_any("key", cover.union_ranges(ranges, 100))).isEmpty()
 
 
 def test_sources(spark, tmp_path):
