@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -31,6 +31,17 @@ class CleanRules:
 REASONS = ("bad_format", "zero_coord", "bad_time", "out_of_time", "out_of_bbox", "same_second", "speed", "too_close", "too_short")
 
 
+def row_reason(rules: CleanRules) -> Column:
+    """Why a row goes by itself, given ``lat``, ``lon``, ``date``, ``time``, ``ts`` and ``dt_s``; null if it does not."""
+    return (
+        F.when(F.col("lat").isNull() | F.col("lon").isNull() | F.col("date").isNull() | F.col("time").isNull(), "bad_format")
+        .when((F.col("lat") == 0) & (F.col("lon") == 0), "zero_coord")
+        .when(F.col("ts").isNull(), "bad_time")
+        .when(~((F.col("dt_s") >= rules.time[0]) & (F.col("dt_s") < rules.time[1])), "out_of_time")
+        .when(~(F.col("lat").between(*rules.lat) & F.col("lon").between(*rules.lon)), "out_of_bbox")
+    )
+
+
 def tag(raw: DataFrame, rules: CleanRules = CleanRules(), slice_s: int | None = None) -> DataFrame:
     """``raw(traj_id, ordinal, lat, lon, date, time)`` with ``ts`` (UTC), ``reason`` (null: the row stays), ``dist_m`` and
     ``speed`` from the row before.
@@ -50,14 +61,7 @@ def tag(raw: DataFrame, rules: CleanRules = CleanRules(), slice_s: int | None =
         by = ["traj_id", "piece"]
         rows = rows.withColumn("piece", F.coalesce(F.floor(F.col("dt_s") / slice_s), -(2**40) - F.pmod(F.xxhash64("ordinal"), F.lit(1024))))
     rows = rows.repartition(*by)  # the one shuffle of all rows: windows are within a trajectory or its piece
-    first = (
-        F.when(F.col("lat").isNull() | F.col("lon").isNull() | F.col("date").isNull() | F.col("time").isNull(), "bad_format")
-        .when((F.col("lat") == 0) & (F.col("lon") == 0), "zero_coord")
-        .when(F.col("ts").isNull(), "bad_time")
-        .when(~((F.col("dt_s") >= rules.time[0]) & (F.col("dt_s") < rules.time[1])), "out_of_time")
-        .when(~(F.col("lat").between(*rules.lat) & F.col("lon").between(*rules.lon)), "out_of_bbox")
-    )
-    rows = rows.withColumn("r1", first)
+    rows = rows.withColumn("r1", row_reason(rules))
     same = W.partitionBy(*by, "r1", "dt_s", "lat", "lon").orderBy("ts", "ordinal")
     rows = rows.withColumn("r2", F.coalesce("r1", F.when(F.row_number().over(same) > 1, "same_second")))
     along = W.partitionBy(*by, "r2").orderBy("ts", "ordinal")
@@ -95,6 +99,6 @@ def counters(tagged: DataFrame) -> DataFrame:
     return tagged.groupBy(F.coalesce("reason", F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n_rows"), F.countDistinct("traj_id").alias("n_trajectories"))
 
 
-def with_ordinal(points: DataFrame, order: str = "ordinal") -> DataFrame:
-    """``segment_id``: place from 0 of each point in its trajectory, in the order of arrival."""
-    return points.withColumn("segment_id", (F.row_number().over(W.partitionBy("traj_id").orderBy(order)) - 1).cast("int"))
+def with_ordinal(points: DataFrame, *order: str) -> DataFrame:
+    """``segment_id``: place from 0 of each point in its trajectory, by ``order`` (``ordinal``: the order of arrival)."""
+    return points.withColumn("segment_id", (F.row_number().over(W.partitionBy("traj_id").orderBy(*(order or ("ordinal",)))) - 1).cast("int"))

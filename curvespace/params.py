@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import logging
 import math
+import os
 from dataclasses import dataclass, field
 from pathlib import Path
 
@@ -116,6 +117,11 @@ _BLOCKS = {
 }
 
 
+def config_path(args: list[str]) -> str:
+    """Where the configuration lies: the first argument, else the environment's ``CONFIG``, else ``config.yaml``."""
+    return args[0] if args else os.environ.get("CONFIG") or "config.yaml"
+
+
 def load_config(source: str | Path | dict) -> Config:
     """A :class:`Config` from a dict, or a JSON or YAML file. Unknown keys are accepted with a warning."""
     from curvespace.functions.timeparse import seconds_of

@@ -111,10 +111,51 @@ def point_sample(points: DataFrame, n: int, ident: str = "ordinal") -> DataFrame
     return points.orderBy(F.md5(F.col(ident).cast("string")), ident).limit(n)
 
 
-def run_matrix(runs: DataFrame, metric: str) -> DataFrame:
+# The grid of runs of an evaluation; the largest number of virtual nodes has no run at the largest ring.
+GRID_NODES, GRID_VNODES, GRID_WITHOUT = (128, 1024, 8192), (10, 100, 1000, 10000), {(8192, 10000)}
+#: Where zeros are shown on a logarithmic axis: this share of the least positive load.
+ZERO_FLOOR = 0.08
+
+
+def grid_runs() -> list[str]:
+    """Names of all runs of the grid, in the order of :func:`scheme_key` within each size of ring."""
+    return [n for p in GRID_NODES for n in (f"op{p}", f"snode{p}", *[f"p{p}v{v}" for v in GRID_VNODES if (p, v) not in GRID_WITHOUT])]
+
+
+def run_matrix(runs: DataFrame, metric: str, expected: list[str] | None = None, queries: list[str] | None = None) -> DataFrame:
     """``query`` by run, of :func:`curvespace.sources.run_dir.read_runs`: a cell for every run and query, null where one
-    is missing."""
-    return scheme_matrix(runs.select("run", "query", metric), runs.select("run").distinct(), runs.select("query").distinct(), metric)
+    is missing. ``expected`` and ``queries`` name runs and queries that have a column or row whether or not anything is known of
+    them (see :func:`grid_runs`); others are left out. Without them: those that are there."""
+    if expected is None:
+        expected = [r.run for r in runs.select("run").distinct().orderBy(scheme_key("run")).collect()]
+    sums = runs.groupBy("query").pivot("run", expected).agg(F.first(metric))
+    if queries is None:
+        return sums
+    names = runs.sparkSession.createDataFrame([(q,) for q in queries], "query string")
+    return names.join(sums, "query", "left")
+
+
+def metric_scale(runs: DataFrame, metric: str = "hit_pnodes", against: str = "total_hops") -> DataFrame:
+    """``max_metric, max_against, ratio``: the greatest value of two metrics over all runs and queries, and the factor that brings the
+    second to the first one's scale; 1 where either is missing or the second is 0."""
+    most = runs.agg(F.max(metric).cast("double").alias("max_metric"), F.max(against).cast("double").alias("max_against"))
+    return most.withColumn("ratio", F.coalesce(F.when(F.col("max_against") != 0, F.col("max_metric") / F.col("max_against")), F.lit(1.0)))
+
+
+def shown_loads(loads: DataFrame) -> DataFrame:
+    """``loads(run, pnode_idx, total_count)`` with ``shown``, the value on a logarithmic axis: zeros lie at one floor for all runs, a share of
+    the least positive load (1, if there is none)."""
+    least = loads.agg(F.coalesce(F.min(F.when(F.col("total_count") > 0, F.col("total_count"))), F.lit(1)).alias("least_"))
+    floor = F.greatest(F.col("least_") * F.lit(ZERO_FLOOR), F.lit(1e-12))
+    return loads.crossJoin(F.broadcast(least)).withColumn("shown", F.when(F.col("total_count") > 0, F.col("total_count").cast("double")).otherwise(floor)).drop("least_")  # one row
+
+
+def observed_groups(loads: DataFrame) -> DataFrame:
+    """``n_nodes, run, pnode_idx, total_count, rank_axis``: the nodes that each run names (none is filled in), with the run's number of
+    different nodes, by which runs are grouped, and the node's place by number among them, from 0."""
+    many = loads.groupBy(F.col("run").alias("run_")).agg(F.countDistinct("pnode_idx").alias("n_nodes"))
+    rank = (F.row_number().over(W.partitionBy("run").orderBy("pnode_idx")) - 1).cast("long")
+    return loads.withColumn("rank_axis", rank).join(many, F.col("run") == F.col("run_")).select("n_nodes", "run", "pnode_idx", "total_count", "rank_axis")
 
 
 def sampled_keys(points: DataFrame, every: int = 50_000, key: str = "key", ordinal: str = "ordinal") -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from curvespace.functions.curves import encode
 from curvespace.functions.timeparse import rfc3339
 from curvespace.operators.clean import with_ordinal
-from curvespace.operators.cover import plan_stats, plan_windows, windows_frame
+from curvespace.operators.cover import cover, plan_stats, plan_windows, windows_frame
 from curvespace.operators.placement import assign, node_distribution, ring, roll_up, snode_ring
 from curvespace.operators.window_query import distinct_hits, fetch, fetch_plan, fetch_plan_on, pnode_report, query_summary
 from curvespace.params import Config
@@ -19,11 +19,13 @@ from curvespace.sources.points import read_clean_csv
 from curvespace.sources.run_dir import SUMMARY_LABELS, RunDir
 from curvespace.sources.shared import keep
 
+# Fixed values below: the names of folders, files, columns and labels, which other programs read.
+
 
 def placed_points(points: DataFrame, config: Config) -> DataFrame:
-    """``points`` with ``segment_id``, ``key``, ``pnode_idx`` and ``vnode_idx``."""
+    """``points`` (of :func:`read_clean_csv`) with ``segment_id``, ``key``, ``pnode_idx`` and ``vnode_idx``."""
     p = config.params
-    keyed = with_ordinal(points, "t").withColumn("key", encode(p, F.col("lat"), F.col("lon"), F.col("t")))
+    keyed = with_ordinal(points, "t", "place").withColumn("key", encode(p, F.col("lat"), F.col("lon"), F.col("t")))
     return assign(keyed, p, config.placement, [F.col("traj_id"), F.col("t"), F.col("segment_id")])
 
 
@@ -56,10 +58,12 @@ def run(spark: SparkSession, config: Config) -> RunDir:
     for i, w in enumerate(config.windows):
         began = time.perf_counter()
         folder, frame = f"query_{i:02}_{w.name}", windows_frame(spark, [w])
-        ranges = keep(plan_windows(frame, p, 4 if p.bucketed else 6, config.prefix_bits, config.stop_tail_bits))
+        block = 4 if p.bucketed else 6
+        ranges = keep(plan_windows(frame, p, block, config.prefix_bits, config.stop_tail_bits))
         plan = keep(fetch_plan_on(ranges, nodes, p.ring_bits) if place.mode == "snode" else fetch_plan(ranges, place, p.ring_bits))
         hits = keep(fetch(placed, frame, plan, p))
-        out.text(f"{folder}/window.txt", {**w.__dict__, **plan_stats(ranges).first().asDict()})
+        raw = plan_stats(cover(frame, p, block)).first().n_ranges
+        out.text(f"{folder}/window.txt", {**w.__dict__, "n_raw_ranges": raw, **plan_stats(ranges).first().asDict()})
         out.table(f"{folder}/query_results.csv", hits.select("user", "traj_id", "lat", "lon", rfc3339(F.col("t")).alias("datetime")))
         report = keep(pnode_report(plan, hits, place, p.ring_bits))
         out.table(f"{folder}/pnode_report.csv", report.select("pnode_idx", "returned_count", "route_hops").orderBy("pnode_idx"))

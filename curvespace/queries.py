@@ -15,6 +15,7 @@ from curvespace.plans import analytics, cleaning
 from curvespace.sources.keyed_store import KeyedStore
 from curvespace.sources.points import pts_events, pts_lineitem
 from curvespace.sources.shared import keep, shared_dir
+from curvespace.streaming import clean as stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -454,6 +455,24 @@ tagged AS (SELECT * EXCLUDE (r), coalesce(r, CASE WHEN count(*) FILTER (r IS NUL
 
 register("clean_kept", f"WITH {SQL_CLEAN} SELECT traj_id, ordinal, lat, lon, round(d, 3) AS dist_m, strftime(make_timestamp(t * 1000000), '%Y-%m-%dT%H:%M:%SZ') AS datetime FROM tagged WHERE reason IS NULL")(lambda spark, sf: clean.kept(clean.tag(raw(spark, sf), RULES)).select("traj_id", "ordinal", "lat", "lon", F.round("dist_m", 3).alias("dist_m"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("datetime")))
 register("clean_sliced", ORACLE["clean_kept"])(lambda spark, sf: clean.kept(clean.tag(raw(spark, sf), RULES, slice_s=6 * 3600)).select("traj_id", "ordinal", "lat", "lon", F.round("dist_m", 3).alias("dist_m"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("datetime")))
+@register("clean_stream", f"WITH {SQL_CLEAN} SELECT traj_id, ordinal, round(d, 3) AS dist_m, CAST(row_number() OVER (PARTITION BY traj_id ORDER BY t, ordinal) - 1 AS INTEGER) AS segment_id FROM tagged WHERE reason IS NULL")
+def clean_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` cleaned as a stream that arrives in files; one row a year later ends it."""
+    rows = keep(raw(spark, sf_dir))
+    later = F.timestamp_seconds(F.lit(RULES.time[1] - 1 + 28_800))
+    end = rows.limit(1).select(F.lit("end").alias("traj_id"), F.lit(-1).cast("long").alias("ordinal"), F.lit(39.1).alias("lat"), F.lit(116.0).alias("lon"), F.date_format(later, "yyyy-MM-dd").alias("date"), F.date_format(later, "HH:mm:ss").alias("time"))
+    own = spark.newSession()
+    own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    at = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
+    rows.repartitionByRange(4, "date", "time").write.parquet(f"{at}/in")
+    for part in (None, end):
+        if part is not None:
+            part.write.mode("append").parquet(f"{at}/in")
+        arriving = own.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/in")
+        stream.clean_stream(arriving, RULES, late="0 seconds" if part is not None else "40 days").writeStream.option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/out").awaitTermination()
+    return spark.read.parquet(f"{at}/out").select("traj_id", "ordinal", F.round("dist_m", 3).alias("dist_m"), "segment_id")
+
+
 register("clean_counters", f"WITH {SQL_CLEAN} SELECT coalesce(reason, 'kept') AS reason, count(*) AS n_rows, count(DISTINCT traj_id) AS n_trajectories FROM tagged GROUP BY 1")(lambda spark, sf: clean.counters(clean.tag(raw(spark, sf), RULES)))
 register("traj_ordinal", f"WITH {PTS} SELECT traj_id, ordinal, CAST(row_number() OVER (PARTITION BY traj_id ORDER BY ordinal) - 1 AS INTEGER) AS segment_id FROM pts")(lambda spark, sf: clean.with_ordinal(pts_events(spark, sf)).select("traj_id", "ordinal", "segment_id"))
 
@@ -482,6 +501,29 @@ register("clean_account", f"""WITH {SQL_CLEAN}, e AS (SELECT traj_id, count(*) A
 SELECT (SELECT count(*) FROM e) AS files_total, (SELECT count(*) FROM e WHERE late) AS traj_total, (SELECT count(*) FROM e WHERE late AND NOT k) AS traj_too_short, count(*) AS rows_total, {', '.join(f"count(*) FILTER (reason = '{r}') AS {n}" for r, n in cleaning.COUNTERS.items())} FROM tagged""")(lambda spark, sf: cleaning.account(clean.tag(raw(spark, sf), RULES)))
 
 
+def loads_of_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``run, pnode_idx, total_count`` of two placements."""
+    of = lambda mode, run: placement.roll_up(distribution(spark, sf_dir, mode)).select(F.lit(run).alias("run"), "pnode_idx", "total_count")
+    return of("baseline", "op64").unionByName(of("vnode", "p16v8"))
+
+
+SQL_LOADS = f"""WITH {sql_distribution(64, 1)}, vring AS ({sql_ring(16, 8).removeprefix("ring AS (").removesuffix(")")}), vheld AS (SELECT {sql_node('key', 128)} AS v, count(*) AS c FROM keyed GROUP BY 1),
+loads AS (SELECT 'op64' AS run, pnode_idx, total_count FROM dist UNION ALL SELECT 'p16v8', pnode_idx, CAST(sum(coalesce(c, 0)) AS BIGINT) FROM vring LEFT JOIN vheld ON v = vnode_idx GROUP BY pnode_idx)"""
+register("shown_loads", f"""{SQL_LOADS} SELECT *, CASE WHEN total_count > 0 THEN CAST(total_count AS DOUBLE) ELSE greatest((SELECT coalesce(min(total_count) FILTER (total_count > 0), 1) FROM loads) * {D(0.08)}, {D(1e-12)}) END AS shown FROM loads""")(lambda spark, sf: analytics.shown_loads(loads_of_runs(spark, sf)))
+register("observed_groups", f"""{SQL_LOADS}, seen AS (SELECT * FROM loads WHERE total_count > 0)
+SELECT (SELECT count(DISTINCT pnode_idx) FROM seen s WHERE s.run = seen.run) AS n_nodes, run, pnode_idx, total_count, row_number() OVER (PARTITION BY run ORDER BY pnode_idx) - 1 AS rank_axis FROM seen""")(lambda spark, sf: analytics.observed_groups(loads_of_runs(spark, sf).filter("total_count > 0")))
+
+
+@register("run_grid", f"WITH {SQL_REPORT} SELECT name AS query, CAST(sum(returned_count) AS BIGINT) AS op64, NULL::BIGINT AS snode64, NULL::BIGINT AS p64v10 FROM report GROUP BY name")
+def run_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits by window and run, with runs of the grid that were not made."""
+    runs = window_query.query_summary(report(spark, sf_dir)).select(F.lit("op64").alias("run"), F.col("name").alias("query"), "total_hits")
+    return analytics.run_matrix(runs, "total_hits", ["op64", "snode64", "p64v10"])
+
+
+register("metric_scale", f"WITH {SQL_REPORT}, s AS (SELECT count(*) AS pnodes, sum(route_hops) AS hops FROM report GROUP BY name) SELECT CAST(max(pnodes) AS DOUBLE) AS max_metric, CAST(max(hops) AS DOUBLE) AS max_against, CAST(max(pnodes) AS DOUBLE) / CAST(max(hops) AS DOUBLE) AS ratio FROM s")(lambda spark, sf: analytics.metric_scale(window_query.query_summary(report(spark, sf))))
+
+
 @register("scheme_matrix", """SELECT e.query, count(*) FILTER (run = 'op8') AS op8, count(*) FILTER (run = 'snode8') AS snode8, count(*) FILTER (run = 'p8v10') AS p8v10, NULL::BIGINT AS p16v10
 FROM (SELECT CASE user_id % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS query, ['op8', 'snode8', 'p8v10'][user_id % 5 % 3 + 1] AS run FROM events) e GROUP BY e.query""")
 def scheme_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -49,7 +49,7 @@ def resolve(columns: list[str]) -> dict[str, str | None]:
 
 
 def ingest(rows: DataFrame, max_ingest: int | None = None, order: str | None = None) -> DataFrame:
-    """Points of a table of strings: ``user, traj_id, traj_hash, lat, lon, t, datetime``. Rows whose coordinates are
+    """Points of a table of strings: ``user, traj_id, traj_hash, lat, lon, t, datetime``, and ``order`` if given. Rows whose coordinates are
     no numbers (or NaN) are skipped; times that cannot be read are 0. ``max_ingest`` rows by ``order``; none or 0:
     all."""
     c = resolve(rows.columns)
@@ -61,13 +61,17 @@ def ingest(rows: DataFrame, max_ingest: int | None = None, order: str | None = N
     return pts.select(
         text("user").alias("user"), text("traj_id").alias("traj_id"), trajectory_id(text("user"), text("traj_id"), text("datetime")).alias("traj_hash"),
         F.col("lat_").alias("lat"), F.col("lon_").alias("lon"), parse_seconds(text("datetime")).alias("t"), text("datetime").alias("datetime"),
+        *([F.col(order)] if order else []),
     )
 
 
 def read_clean_csv(spark: SparkSession, path: str, max_ingest: int | None = None) -> DataFrame:
     """Points of a CSV with a header. Rows are read as they are: what a line lacks is null, and such rows go where
-    :func:`ingest` says so; :func:`skipped` counts them. A cap takes rows in the order of the file."""
-    return ingest(spark.read.option("header", True).csv(path), max_ingest)
+    :func:`ingest` says so; :func:`skipped` counts them. ``place`` orders rows as they stand: by file, block of it and row; a cap
+    takes the first."""
+    rows = spark.read.option("header", True).csv(path)
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    return ingest(rows.withColumn("place", place), max_ingest, "place")
 
 
 def skipped(rows: DataFrame) -> DataFrame:

@@ -8,10 +8,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from curvespace.operators import clean, cover, placement, routing, window_query
-from curvespace.params import Config, Placement, SfcParams, Window, load_config
+from curvespace.params import Config, Placement, SfcParams, Window, config_path, load_config
 from curvespace.plans import analytics, cleaning, experiment
 from curvespace.sources import keyed_store, points, run_dir
 
+# The configuration as it ships.
 CONFIG = """
 dataset: {lat_range: [39.0, 41.0], lon_range: [115.0, 118.0], time_range: [1176268800, 1343433600]}
 sfc: {algorithm: "z3", center_lat: 39.9, max_depth: 24, max_nodes: 50000, tail_bits_guard: null, max_ranges: null}
@@ -181,6 +182,8 @@ def test_reports_of_a_run(spark, tmp_path, mode):
     loads = points.read_distribution(spark, f"file://{first.path}/node_distribution.csv")
     assert loads.agg(F.sum("total_count")).first()[0] == 500
     assert analytics.observed_nodes(loads).first().n_nodes == 8
+    told = (first.path / "query_00_w/window.txt").read_text()
+    assert int(told.split("n_raw_ranges: ")[1].split()[0]) >= 1
     assert tuple(points.skipped(spark.read.option("header", True).csv(config.input)).first()) == (502, 2)
 
 
@@ -214,6 +217,35 @@ def test_cleaning_a_folder(spark, tmp_path):
     assert lines["lat_min"] == 39.9
 
 
+def test_runs_of_the_grid_that_are_missing_are_nulls(spark):
+    names = analytics.grid_runs()
+    assert len(names) == 17
+    assert names[:3] == ["op128", "snode128", "p128v10"]
+    assert "p8192v10000" not in names
+    runs = spark.createDataFrame([("op128", "w", 5.0, 2.0, 9.0), ("p128v10", "w", 7.0, 4.0, None), ("other", "w", 1.0, 1.0, 1.0)], "run string, query string, total_hits double, hit_pnodes double, total_hops double")
+    got = {r["query"]: r for r in analytics.run_matrix(runs, "total_hits", names, ["w", "v"]).collect()}
+    assert list(got["w"].asDict()) == ["query", *names]
+    assert [got["w"][n] for n in names[:3]] == [5.0, None, 7.0]
+    assert set(got["v"][1:]) == {None}
+    assert tuple(analytics.metric_scale(runs).first()) == (4.0, 9.0, 4.0 / 9.0)
+    assert tuple(analytics.metric_scale(runs.filter("run = 'p128v10'")).first()) == (4.0, None, 1.0)
+
+
+def test_where_the_configuration_is_looked_for(monkeypatch):
+    monkeypatch.delenv("CONFIG", raising=False)
+    assert config_path([]) == "config.yaml"
+    monkeypatch.setenv("CONFIG", "env.yaml")
+    assert (config_path([]), config_path(["arg.yaml", "x"])) == ("env.yaml", "arg.yaml")
+
+
+def test_a_cap_takes_the_first_rows_of_the_file(spark, tmp_path):
+    (tmp_path / "in.csv").write_text("lat,lon,time,user,tid\n" + "".join(f"{39 + k / 1e6},116,{k % 3},u,t\n" for k in range(3000)))
+    got = points.read_clean_csv(spark, str(tmp_path / "in.csv"), 100).collect()
+    assert sorted(round((r.lat - 39) * 1e6) for r in got) == list(range(100))
+    ordered = clean.with_ordinal(points.read_clean_csv(spark, str(tmp_path / "in.csv")), "t", "place").orderBy("segment_id").collect()
+    assert [round((r.lat - 39) * 1e6) for r in ordered] == sorted(range(3000), key=lambda k: (k % 3, k))
+
+
 def test_names_of_magnitudes(spark):
     df = spark.createDataFrame([(x,) for x in (0.0, 999.0, 1500.0, 2.5e6, 3e9, 4e12, 5e15)], "v double")
     assert [r.s for r in df.select(analytics.human("v").alias("s")).collect()] == ["0", "999", "1.5K", "2.5M", "3.0B", "4.0T", "5.0P"]
