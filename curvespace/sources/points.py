@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,12 +87,35 @@ def skipped(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(bad).alias("n_skipped"))
 
 
+def numbered_lines(lines: DataFrame, skip: int) -> DataFrame:
+    """``path, ordinal, line`` of ``lines(path, block, line)``, rows as the text reader gives them: one block of a file after the other,
+    each in its order. ``ordinal`` is the place of the block in its file plus that of the line in the block, so it rises along the
+    file, with gaps. The first ``skip`` lines of a file and blank lines are left out."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, done = None, 0  # the block in work and its lines so far
+        for b in batches:
+            if not b.num_rows:
+                continue
+            path, block, line = b.columns
+            new = np.ones(b.num_rows, bool)
+            new[1:] = pc.not_equal(path[1:], path[:-1]).to_numpy(zero_copy_only=False) | (np.diff(block.to_numpy()) != 0)
+            first = np.flatnonzero(new)
+            at = np.arange(b.num_rows) - np.repeat(first, np.diff(np.append(first, b.num_rows)))
+            if last == (path[0].as_py(), block[0].as_py()):
+                at[: first[1] if len(first) > 1 else b.num_rows] += done
+            last, done = (path[-1].as_py(), block[-1].as_py()), int(at[-1]) + 1
+            stay = ~((block.to_numpy() == 0) & (at < skip)) & (pc.utf8_length(pc.utf8_trim_whitespace(line)).to_numpy(zero_copy_only=False) > 0)
+            yield pa.RecordBatch.from_arrays([path, pa.array(block.to_numpy() + at), line], names=["path", "ordinal", "line"]).filter(pa.array(stay))
+
+    return lines.mapInArrow(number, "path string, ordinal long, line string")
+
+
 def read_plt(spark: SparkSession, root: str, header_lines: int = 6) -> DataFrame:
     """``user, traj_id, ordinal, lat, lon, date, time`` of ``root/<user>/Trajectory/*.plt``; a line that lacks fields
-    or numbers gives nulls."""
-    path = F.col("_metadata.file_path")
-    whole = spark.read.text(f"{root}/*/Trajectory/*.plt", wholetext=True).select(F.col("value"), path.alias("path"))
-    lines = whole.select("path", F.posexplode(F.split("value", "\r?\n")).alias("ordinal", "line")).filter((F.col("ordinal") >= header_lines) & (F.trim("line") != ""))
+    or numbers gives nulls. Files are split by bytes, so many tasks read a large one; ``ordinal`` rises along the file."""
+    text = spark.read.text(f"{root}/*/Trajectory/*.plt").select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("block"), F.col("value").alias("line"))
+    lines = numbered_lines(text, header_lines)
     part = F.split("line", ",")
     user, stem = F.regexp_extract("path", r"([^/]+)/Trajectory/[^/]+$", 1), F.regexp_extract("path", r"([^/]+)\.plt$", 1)
     return lines.select(

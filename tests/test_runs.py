@@ -257,6 +257,25 @@ def test_cleaning_takes_one_shuffle(spark):
     assert plan.count("Exchange hashpartitioning") == 1, plan
 
 
+def test_a_large_raw_file_is_read_by_many_tasks(spark, tmp_path):
+    """Headers go, blank lines go, bad lines stay as nulls, and the order of lines is kept over the borders of splits."""
+    for user, n in (("000", 20_000), ("001", 3)):
+        (tmp_path / f"raw/{user}/Trajectory").mkdir(parents=True)
+        body = [f"{39 + k / 1e5:.5f},116,0,492,39744.1,2008-10-23,{k // 3600:02}:{k // 60 % 60:02}:{k % 60:02}" if k % 1000 != 7 else "bad line" for k in range(n)]
+        (tmp_path / f"raw/{user}/Trajectory/a.plt").write_bytes("\r\n".join([*["1,2,3,4,5,6,7"] * 6, *body[: n // 2], "", *body[n // 2 :], ""]).encode())
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "64k")
+    try:
+        rows = points.read_plt(spark, str(tmp_path / "raw"))
+        assert rows.rdd.getNumPartitions() > 10
+        got = {u: [(r.ordinal, r.lat) for r in rows.filter(f"user = '{u}'").orderBy("ordinal").collect()] for u in ("000", "001")}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert len({o for o, _ in got["000"]}) == len(got["000"]) == 20_000
+    assert [x for _, x in got["000"]] == [None if k % 1000 == 7 else round(39 + k / 1e5, 5) for k in range(20_000)]
+    assert [x for _, x in got["001"]] == [39.0, 39.00001, 39.00002]
+
+
 def test_account_is_observed_in_the_job_that_writes(spark, small, tmp_path):
     from curvespace import queries
 
