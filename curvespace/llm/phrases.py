@@ -17,7 +17,9 @@ from curvespace.llm.common import forget, join_spread, keep, ready
 #: Words of one trie: what a task counts before it writes its nodes out.
 WORDS = 1 << 20
 #: Bytes of text for one prefix range, and most ranges (beyond which ranges grow); sampled phrases for each border.
-RANGE, RANGES, DRAWN = 1 << 23, 1 << 16, 16
+RANGE, RANGES, DRAWN = 1 << 22, 1 << 16, 16
+#: Shares of a language that are ranked by themselves first.
+SHARES = 16
 #: Bytes of a text split into words at once.
 STEP = 1 << 20
 
@@ -296,8 +298,10 @@ def collocations(docs: DataFrame, words: int = 3, least: int = 10, top: int = 20
     low = cuts.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", "l", "r")).alias("low"))
     over = nodes.filter("d >= 3").select("lang", F.explode("inner").alias("phrase"), "f").groupBy("lang", "phrase").agg(F.max("f").alias("longer"))
     left = low.join(over, ["lang", "phrase"], "left").filter(F.col("longer").isNull() | (100 * F.col("longer") < covered * F.col("a")))
-    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("low.score"), F.desc("a"), "phrase"))
-    best = keep(left.withColumn("rank", place).filter(F.col("rank") <= top))
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy(F.desc("low.score"), F.desc("a"), "phrase"))
+    # a language may hold most phrases: the first of each of some shares of it come before the first of all
+    some = left.withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(SHARES))).withColumn("rank", rank("lang", "share")).filter(F.col("rank") <= top)
+    best = keep(some.withColumn("rank", rank("lang")).filter(F.col("rank") <= top))
     rows = best.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), F.col("phrase").cast("string").alias("phrase"), "a", "low.l", "low.r", "n", "low.score")
     rows = keep(rows)
     forget(nodes, links, ends, best)
