@@ -97,16 +97,12 @@ def anchors(data: bytes, size: int, hulls: bool = True) -> Iterator[tuple[np.nda
         new[1:] = rank[1:] != rank[:-1]
         if hulls:
             a, b = np.maximum(chosen - (w - 1), 0), np.minimum(chosen + half + w - 1, right - left)
-            before = None
-            for k, (c, x, y) in enumerate(zip(chosen.tolist(), a.tolist(), b.tolist(), strict=True)):
-                own = digest(data[left + x : left + y] + (c - x).to_bytes(4))
-                if new[k] or own != before:
-                    new[k] = True
-                    hull.append(own)
-                before = own
+            hull = [digest(data[left + x : left + y] + (c - x).to_bytes(4)) for c, x, y in zip(chosen.tolist(), a.tolist(), b.tolist(), strict=True)]
+            for k in np.flatnonzero(~new).tolist():  # few, but in short periods
+                new[k] = hull[k] != hull[k - 1]
         first = np.flatnonzero(new)
         ends = np.append(first[1:], len(chosen))[: len(first)]
-        yield chosen[first] + left, chosen[ends - 1] + left, ends - first, rank[first], hull
+        yield chosen[first] + left, chosen[ends - 1] + left, ends - first, rank[first], hull if new.all() else [hull[k] for k in first.tolist()] if hulls else []
 
 
 def _row_key(docs: DataFrame) -> tuple[Column, Column]:
@@ -249,9 +245,8 @@ def repeated_spans(docs: DataFrame, size: int = 200, doc_id: str = "doc_id", tex
     found = exact.select("id", "t", span(F.col("lo"), F.col("hi")).alias("s"))
     for more in done:
         found = found.unionByName(more)
-    # spans that meet are joined within stretches of a document, so that few are left to gather
-    each = found.select("id", "t", F.col("s.lo").cast("long").alias("lo"), F.col("s.hi").cast("long").alias("hi")).withColumn("stretch", F.shiftright("lo", 20))
-    few = merge_ranges(each, ("id", "t", "stretch"), 0)
+    # spans that meet are joined in the order of a document, so that few are left to gather
+    few = merge_ranges(found.select("id", "t", "s.lo", "s.hi"), ("id", "t"), 0)
     return few.groupBy("id", "t").agg(F.collect_list(span(F.col("lo"), F.col("hi"))).alias("spans"))
 
 
