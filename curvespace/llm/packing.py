@@ -300,7 +300,7 @@ def pack_lengths(spark, items: dict[int, int], size: int, islands: int = 4, memb
     pop = spark.range(islands).select(F.col("id").cast("int").alias("island")).groupBy("island").applyInPandas(start, schema)
     best, epoch = bins_of(first), 0
     while True:
-        new = keep(pop.groupBy("island").applyInPandas(step, schema))
+        new = keep(pop.repartition(islands, "island").groupBy("island").applyInPandas(step, schema))
         if epoch:
             forget(pop)
         pop, epoch = new, epoch + 1
