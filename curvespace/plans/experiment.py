@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import time
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,9 +16,10 @@ from curvespace.operators.placement import assign, node_distribution, ring, roll
 from curvespace.operators.window_query import distinct_hits, fetch, fetch_plan, fetch_plan_on, pnode_report, query_summary
 from curvespace.params import Config
 from curvespace.plans.analytics import ingest_bounds
+from curvespace.sources.keyed_store import KeyedStore
 from curvespace.sources.points import read_clean_csv
 from curvespace.sources.run_dir import SUMMARY_LABELS, RunDir
-from curvespace.sources.shared import keep
+from curvespace.sources.shared import keep, shared_dir
 
 # Fixed values below: the names of folders, files, columns and labels, which other programs read.
 
@@ -45,12 +47,14 @@ def export(out: RunDir, placed: DataFrame, nodes: DataFrame, mode: str) -> None:
 
 
 def run(spark: SparkSession, config: Config) -> RunDir:
-    """Every artefact of one run, in its directory. Points are placed once, into a table that all windows read. A window's
-    answer is what the nodes of its fetch plan return. Packed rings are not uniform: their hops stay null."""
+    """Every artefact of one run, in its directory. Points are placed once, into a keyed store, of which a window reads the files of its
+    planned nodes that meet its ranges. A window's answer is what the nodes of its fetch plan return. Packed rings are not
+    uniform: their hops stay null."""
     out = RunDir(config)
     p, place = config.params, config.placement
     began = time.perf_counter()
-    placed = keep(placed_points(read_clean_csv(spark, config.input, config.max_ingest), config))
+    store = KeyedStore(spark, f"{shared_dir(spark)}/stores/{uuid.uuid4().hex}", p)
+    placed = store.append(placed_points(read_clean_csv(spark, config.input, config.max_ingest), config)).table()
     out.timing("ingest", began)
     nodes = keep(snode_ring(placed, place) if place.mode == "snode" else ring(spark, place, p.ring_bits))
     export(out, placed, nodes, place.mode)
@@ -61,7 +65,7 @@ def run(spark: SparkSession, config: Config) -> RunDir:
         block = 4 if p.bucketed else 6
         ranges = keep(plan_windows(frame, p, block, config.prefix_bits, config.stop_tail_bits))
         plan = keep(fetch_plan_on(ranges, nodes, p.ring_bits) if place.mode == "snode" else fetch_plan(ranges, place, p.ring_bits))
-        hits = keep(fetch(placed, frame, plan, p))
+        hits = keep(fetch(store.read(plan), frame, plan, p))
         raw = plan_stats(cover(frame, p, block)).first().n_ranges
         out.text(f"{folder}/window.txt", {**w.__dict__, "n_raw_ranges": raw, **plan_stats(ranges).first().asDict()})
         out.table(f"{folder}/query_results.csv", hits.select("user", "traj_id", "lat", "lon", rfc3339(F.col("t")).alias("datetime")))
