@@ -8,16 +8,18 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from curvespace.operators.ranking import with_place
 from curvespace.params import Placement, SfcParams
-from curvespace.sources.shared import keep
+from curvespace.sources.shared import file_system, keep
 
-#: Different keys whose counts one task of the packing holds at once.
-RUNS = 1 << 22
+#: Different keys in a row group, which one search of the packing reads.
+RUNS = 1 << 16
 
 
 def spacing(n: int, ring_bits: int) -> int:
@@ -50,8 +52,8 @@ class Packing:
 
     ``low`` and ``high`` are the rows that a node should have at least and at most. A node takes whole runs until it has
     ``low``; a run that would lead past ``high`` meanwhile is cut there. Then it takes one run more if that fits into
-    ``high``, else what fits of it, and one row at least. The last node takes all that is left. The state between two
-    calls of :meth:`take` is small, so runs can be packed range by range.
+    ``high``, else what fits of it, and one row at least. The last node takes all that is left. Between two calls of
+    :meth:`take` runs may be left out that end before ``wanted``.
     """
 
     nodes: int
@@ -66,6 +68,11 @@ class Packing:
         mean = total / nodes
         return cls(nodes, max(1, math.floor(mean * low_ratio)), math.ceil(mean * high_ratio))
 
+    @property
+    def wanted(self) -> int:
+        """The first run that ends here or later decides next."""
+        return self.start + min(self.low, self.high) if self.full is None else self.full + 1
+
     def take(self, runs: np.ndarray) -> None:
         """Go on with runs that end before the places ``runs`` (rising)."""
         while len(runs) and len(self.ends) < self.nodes:
@@ -89,36 +96,78 @@ class Packing:
         self.start, self.full = end, None
 
 
+class RunEnds:
+    """Places where runs of equal keys end, rising, in Parquet files whose row groups are searched by their statistics.
+
+    ``files`` are ``(URI, greatest place)`` in order; the places in a file count from the end of the file before. A search
+    opens the footer of one file and reads one of its row groups, so memory is a row group and the footer in hand.
+    """
+
+    def __init__(self, files: list[tuple[str, int]]):
+        self.names = [name for name, _ in files]
+        self.lasts = np.cumsum([last for _, last in files], dtype=np.int64)
+        self.open: tuple[int, pq.ParquetFile, np.ndarray] | None = None
+        self.reads = 0
+
+    @property
+    def total(self) -> int:
+        return int(self.lasts[-1]) if len(self.lasts) else 0
+
+    def group(self, place: int) -> np.ndarray | None:
+        """The row group that holds the first end at or after ``place``; None past the last one."""
+        i = int(np.searchsorted(self.lasts, place))
+        if i == len(self.lasts):
+            return None
+        base = int(self.lasts[i - 1]) if i else 0
+        if self.open is None or self.open[0] != i:
+            if self.open is not None:
+                self.open[1].close()
+            fs, path = file_system(self.names[i])
+            file = pq.ParquetFile(fs.open_input_file(path))
+            at = file.schema_arrow.names.index("end")
+            tops = [file.metadata.row_group(g).column(at).statistics.max for g in range(file.num_row_groups)]
+            self.open = i, file, np.array(tops, np.int64)
+        _, file, tops = self.open
+        self.reads += 1
+        return file.read_row_group(int(np.searchsorted(tops, place - base)), columns=["end"]).column(0).to_numpy() + base
+
+
+def run_ends(keys: DataFrame, key: str = "key") -> DataFrame:
+    """``part, end``: for every different key, in order within the ranges ``part``, the rows of the range up to the end of that
+    key's. Written to the shared folder, a file a range, in row groups of ``RUNS`` rows."""
+    n = int(keys.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counts = keys.groupBy(F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("n"))
+
+    def running(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = 0
+        for b in batches:
+            end = done + np.cumsum(b.column(1).to_numpy())
+            done = int(end[-1]) if len(end) else done
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(end, pa.int64())], names=["part", "end"])
+
+    ranged = counts.repartitionByRange(n, "key").sortWithinPartitions("key").select(F.spark_partition_id().alias("part"), "n")
+    return keep(ranged.mapInArrow(running, "part int, end long"), options={"parquet.block.row.count.limit": RUNS})
+
+
 def packed_ends(keys: DataFrame, place: Placement, key: str = "key") -> list[int]:
     """The places, in the order of keys, before which the nodes of a packed placement end; nodes after the last full one
     take no row or what is left. At most ``place.nodes`` numbers.
 
-    Keys are counted by Spark and dealt into ranges of ``RUNS`` keys; the ranges are packed one after another, each in a
-    task that reads no other range and hands the state on.
+    A node's end depends on the one before, so one task finds them, but it reads no more than the row groups that hold the
+    two ends a node looks for: its work grows with the nodes, and the number of jobs with nothing.
     """
-    counts = keep(keys.groupBy(F.col(key).alias("key")).agg(F.count(F.lit(1)).alias("n")))
-    total, n_keys = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    state = Packing.of(place.nodes, total, place.low_ratio, place.high_ratio)
-    parts = -(-n_keys // RUNS)
-    if parts > 1:
-        counts = keep(counts.repartitionByRange(parts, "key").withColumn("part", F.spark_partition_id().cast("long")), "part")
-        sizes = dict(counts.groupBy("part").agg(F.sum("n")).collect())  # a number for each RUNS keys
-    else:
-        sizes = {0: total}
-    before = 0
-    for part in sorted(sizes):
-        own = counts.filter(F.col("part") == part) if parts > 1 else counts
-
-        def step(batches: Iterator[pd.DataFrame], state=state, before=before) -> Iterator[pd.DataFrame]:
-            got = [b for b in batches if len(b)]
-            runs = pd.concat(got).sort_values("key") if got else pd.DataFrame({"n": []})
-            state.take(before + np.cumsum(runs["n"].to_numpy(np.int64)))
-            yield pd.DataFrame({"start": [state.start], "full": [state.full], "ends": [state.ends]}).astype({"full": "Int64"})
-
-        done = own.select("key", "n").coalesce(1).mapInPandas(step, "start long, full long, ends array<long>").first()
-        state = Packing(state.nodes, state.low, state.high, done.start, done.full, list(done.ends))
-        before += sizes[part]
-    return state.ends
+    ends = run_ends(keys, key)
+    files = ends.groupBy("part", F.col("_metadata.file_path").alias("file")).agg(F.max("end").alias("last"))
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        files = sorted(row for b in batches for row in b.itertuples(index=False, name=None))
+        runs = RunEnds([(file, last) for _, file, last in files])
+        state = Packing.of(place.nodes, runs.total, place.low_ratio, place.high_ratio)
+        while len(state.ends) < state.nodes and (group := runs.group(state.wanted)) is not None:
+            state.take(group)
+        yield pd.DataFrame({"end": np.array(state.ends, np.int64)})
+
+    return [r.end for r in files.coalesce(1).mapInPandas(walk, "end long").collect()]
 
 
 def assign(points: DataFrame, p: SfcParams, place: Placement, order: list[Column] | None = None, key: str = "key") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -24,13 +25,20 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
 
-def keep(df: DataFrame, *by: str) -> DataFrame:
+def file_system(uri: str):
+    """``(file system, path)`` of a file that Spark names by ``uri``, for tasks that read parts of it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri(re.sub(r"^s3[an]:", "s3:", re.sub(r"^file:/+", "file:///", unquote(uri))))
+
+
+def keep(df: DataFrame, *by: str, options: dict[str, object] | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it again: lineage ends here, so a lost executor
     costs a re-read and never a second, differently ordered evaluation. ``by``: long columns to lay the files out by,
-    so that a filter on them reads no other files."""
+    so that a filter on them reads no other files. ``options``: more options of the Parquet writer."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
+    df.write.options(compression="zstd", **(options or {})).partitionBy(*by).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

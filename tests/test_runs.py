@@ -80,6 +80,30 @@ def test_packed_placement_of_long_runs(spark, monkeypatch, most):
     assert placement.assign(df.limit(0), SfcParams(), Placement("snode", 4)).count() == 0
 
 
+def test_ends_of_nodes_are_found_in_few_reads(spark, monkeypatch):
+    """One job more or less whatever the keys, and two row groups a node."""
+    monkeypatch.setattr(placement, "RUNS", 128)
+    place, jobs = Placement("snode", 10, low_ratio=0.99, high_ratio=1.05), []
+    for n in (500, 50_000):
+        df = spark.range(n).withColumn("key", F.col("id") * 7 % n)
+        spark.sparkContext.setJobGroup(f"ends{n}", "")
+        got = placement.packed_ends(df, place)
+        jobs.append(len(spark.sparkContext.statusTracker().getJobIdsForGroup(f"ends{n}")))
+        state = placement.Packing.of(10, n, 0.99, 1.05)
+        state.take(np.arange(1, n + 1))
+        assert got == state.ends
+    assert jobs[0] == jobs[1] < 10, jobs
+
+    files = sorted((r.part, r.file, r.last) for r in placement.run_ends(df).groupBy("part", F.col("_metadata.file_path").alias("file")).agg(F.max("end").alias("last")).collect())
+    runs, state = placement.RunEnds([f[1:] for f in files]), placement.Packing.of(10, n, 0.99, 1.05)
+    assert runs.total == n
+    while len(state.ends) < 10 and (group := runs.group(state.wanted)) is not None:
+        assert len(group) <= 128
+        state.take(group)
+    assert state.ends == got
+    assert runs.reads <= 20
+
+
 def test_shipped_configuration(spark, tmp_path, caplog):
     (tmp_path / "config.yaml").write_text(CONFIG)
     c = load_config(tmp_path / "config.yaml")
