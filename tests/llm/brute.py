@@ -116,31 +116,18 @@ def perspectives(rows, part=64):
     return out
 
 
-def line_chunks(text, divisor=3):
-    lines = text.split("\n")
-    h = [int(hashlib.md5(x.encode()).hexdigest()[:7], 16) for x in lines] + [0]
-    out = []
-    for i, line in enumerate(lines):
-        if i == 0 or (h[i] * 263 + h[i + 1]) % 2_147_483_647 % divisor == 0:
-            out.append([])
-        out[-1].append(line)
-    return out
-
-
-def line_dedup(rows):
-    """(doc_id, lines removed, text left) of rows of unique ids."""
+def line_dedup(rows, long=50):
+    """(doc_id, lines removed, text left) of rows of unique ids, by pairs of neighbouring lines and long single ones."""
     seen, out = set(), []
     for i, t in sorted(rows, key=lambda r: (r[0] is None, r[0] or 0)):
-        lost, kept = 0, []
-        for c in line_chunks(t) if t is not None else []:
-            body = "\n".join(c)
-            if len(c) > 1 and body in seen:
-                lost += len(c)
-            else:
-                kept.append(body)
-            if len(c) > 1:
-                seen.add(body)
-        out.append((i, lost, t if not lost else "\n".join(kept)))
+        lines, gone = (t or "").split("\n"), set()
+        passages = [(k, (x, y)) for k, (x, y) in enumerate(zip(lines, lines[1:], strict=False)) if x.strip() or y.strip()]
+        passages += [(k, (x,)) for k, x in enumerate(lines) if len(x.split()) > long]
+        for k, body in passages:
+            if body in seen:
+                gone.update(range(k, k + len(body)))
+            seen.add(body)
+        out.append((i, len(gone), t if t is None else "\n".join(x for k, x in enumerate(lines) if k not in gone)))
     return out
 
 

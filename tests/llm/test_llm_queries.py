@@ -97,7 +97,7 @@ def test_line_dedup(spark, folder):
 
     rows = got(spark, "op7_line_dedup", folder, "doc_id", "lines_removed", "kept_md5")
     docs = read(folder, "documents", "doc_id", "text")
-    want = {r[0]: (r[1], r[2] and hashlib.md5(r[2].encode()).hexdigest() if r[2] != "" else hashlib.md5(b"").hexdigest()) for r in brute.line_dedup(set(docs))}
+    want = {i: (n, t and hashlib.md5(t.encode()).hexdigest() if t != "" else hashlib.md5(b"").hexdigest()) for i, n, t in brute.line_dedup(set(docs))}
     equal(rows, [(i, *want[i]) for i, _ in docs])
 
 
