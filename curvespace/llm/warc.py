@@ -21,6 +21,8 @@ CHUNK = 1 << 16
 ARCHIVE_BYTES = 32 << 20
 #: Archives that one task reads.
 TASK_BYTES = 256 << 20
+#: A payload of more pages may have its response sent to all tasks, if the response's URL has at most so many characters.
+HOT, HOT_URL = 1000, 4096
 #: A record's header block may not be longer.
 HEADER_BYTES = 1 << 20
 
@@ -75,10 +77,16 @@ def write_archives(pages: DataFrame, folder: str | None = None, min_bytes: int =
     folder = folder or f"{shared_dir(spark)}/warc/{uuid.uuid4().hex}"
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), F.coalesce(F.col(html), F.lit("")).cast("binary").alias("payload"))
     sha = rows.withColumn("sha", F.unhex(F.sha1("payload")))
-    lead = sha.filter(F.length("payload") >= min_bytes).groupBy(F.col("sha").alias("same")).agg(F.max(F.struct("page_id", "url")).alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    lead = keep(lead)
+    lead = keep(sha.filter(F.length("payload") >= min_bytes).groupBy(F.col("sha").alias("same")).agg(F.max(F.struct("page_id", "url")).alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1"))
+    # payloads of more rows than one in 10,000 of all number 10,000 at most: their pages meet the broadcast response where they are, and no other key
+    total = lead.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    many = (F.col("n") > F.greatest(F.lit(HOT), F.lit(total // 10_000))) & (F.length(F.coalesce("lead.url", F.lit(""))) <= HOT_URL)
+    hot = lead.filter(many).select(F.col("same").alias("hot"), F.col("lead").alias("hot_lead"))
+    own = F.encode(F.monotonically_increasing_id().cast("string"), "utf-8")  # shorter than a digest
+    dealt = sha.join(F.broadcast(hot), F.col("sha") == F.col("hot"), "left").withColumn("key", F.when(F.col("hot").isNull(), F.col("sha")).otherwise(own))
+    met = dealt.join(lead.filter(~many).select("same", "lead").hint("merge"), F.col("key") == F.col("same"), "left").withColumn("lead", F.coalesce("hot_lead", "lead"))
     again = F.when(~F.col("lead.page_id").eqNullSafe(F.col("page_id")) & (F.length("payload") >= min_bytes), F.col("lead")).alias("lead")
-    todo = sha.join(lead, F.col("sha") == F.col("same"), "left").select("page_id", "url", "payload", again)
+    todo = met.select("page_id", "url", "payload", again)
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = file_system(folder)

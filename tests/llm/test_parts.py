@@ -317,3 +317,20 @@ def test_archives_are_read_by_bytes(spark, case):
     made = warc.write_archives(pages)
     assert warc.read_archives(made).count() == pages.count()
     assert warc.broken_revisits(warc.read_archives(made)).isEmpty()
+
+
+def test_a_payload_of_a_third_of_all_pages_is_split(spark, monkeypatch):
+    """Its pages stay where they are and the result is that of the join by payload; so too where the response's URL is too long to send."""
+    rows = [(k if k % 50 else None, f"http://h/{k}" if k % 7 else None, "same" if k % 3 == 0 else f"page {k % 40}") for k in range(900)]
+    rows += [(901 + k, "http://h/" + "x" * 30 * k, "two") for k in range(6)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+
+    def result():
+        return sorted(((r.page_id or -1, r.record_type, r.payload_digest, r.refers_to or -1) for r in warc.archive_pages(pages, min_bytes=0).collect()))
+
+    want = result()
+    for hot, url in ((5, 4096), (5, 100), (5, 0)):
+        monkeypatch.setattr(warc, "HOT", hot)
+        monkeypatch.setattr(warc, "HOT_URL", url)
+        assert result() == want
+    assert sum(r[1] == "revisit" for r in want) > 800
