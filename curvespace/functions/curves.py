@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -98,6 +99,26 @@ def plane_key(p: SfcParams, x: Column, y: Column) -> Column:
     return hilbert2(x, y, p.bits) if p.true_hilbert else morton2(x, y, p.bits)
 
 
+def keys_of(p: SfcParams, x: np.ndarray, y: np.ndarray, z: np.ndarray) -> np.ndarray:
+    """:func:`key_of_cells` for arrays of cells inside a task."""
+
+    def spread(v: np.ndarray, step: int) -> np.ndarray:
+        return sum((v >> i & 1) << step * i for i in range(p.bits))
+
+    if not p.bucketed:
+        return (spread(x, 3) << 2) + (spread(y, 3) << 1) + spread(z, 3)
+    if not p.true_hilbert:
+        return (z << 2 * p.bits) + (spread(x, 2) << 1) + spread(y, 2)
+    state, d, left = np.zeros_like(x), np.zeros_like(x), p.bits
+    while left:
+        n = left % 5 or 5
+        left -= n
+        digits, after = (np.array(t, np.int64) for t in _turns(n))
+        at = (state << 2 * n) + ((x >> left & (1 << n) - 1) << n) + (y >> left & (1 << n) - 1)
+        d, state = (d << 2 * n) + digits[at], after[at]
+    return (z << 2 * p.bits) + d
+
+
 def encode(p: SfcParams, lat: Column, lon: Column, t: Column) -> Column:
     """Curve key of a point; ``h3`` and ``h2t`` are Morton keys too, with rounded cells, unless ``true_hilbert`` is set."""
     return key_of_cells(p, *cells(p, lat, lon, t))

@@ -9,21 +9,10 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from curvespace.sources.shared import forget, keep, shared_dir
+from curvespace.sources.shared import forget, keep, ready, shared_dir
 
 __all__ = ["components", "forget", "free_name", "free_names", "join_spread", "keep", "ranked", "ready", "shared_dir", "tagged"]
 
-REPO = str(Path(__file__).resolve().parents[2])
-
-
-def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package, wherever the driver was started from."""
-    env = spark.sparkContext.environment
-    have = env.get("PYTHONPATH", "")
-    if REPO not in have.split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (REPO, have) if x)
-    return spark
-
 
 def free_name(df: DataFrame, base: str, *more: str) -> str:
     """A column name that neither ``df`` nor ``more`` has (names compare without case)."""

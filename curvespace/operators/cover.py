@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
-from itertools import product
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from curvespace.functions.curves import cells, encode, morton2, morton3, plane_key
+from curvespace.functions.curves import cells, encode, morton2, morton3
 from curvespace.operators.ranking import scanned
+from curvespace.operators.refine import ranges_of
 from curvespace.params import SfcParams, Window
+from curvespace.sources.shared import ready
 
 WINDOW_SCHEMA = "name string, lat_min double, lat_max double, lon_min double, lon_max double, t_start long, t_end long"
 
@@ -21,16 +22,16 @@ def windows_frame(spark: SparkSession, windows: Sequence[Window]) -> DataFrame:
     return spark.createDataFrame([(w.name, w.lat_min, w.lat_max, w.lon_min, w.lon_max, w.t_start, w.t_end) for w in windows], WINDOW_SCHEMA)
 
 
-def boxes(windows: DataFrame, p: SfcParams) -> DataFrame:
+def boxes(windows: DataFrame, p: SfcParams, *carry: str) -> DataFrame:
     """``name, x0, x1, y0, y1, z0, z1``: the closed box of cells of each window; reversed bounds are swapped, time is
-    widened by one cell."""
+    widened by one cell. Columns ``carry`` come along."""
     def both(a: str, b: str) -> tuple[Column, Column]:
         return F.least(a, b), F.greatest(a, b)
 
     (la0, la1), (lo0, lo1), (t0, t1) = both("lat_min", "lat_max"), both("lon_min", "lon_max"), both("t_start", "t_end")
     low = cells(p, la0, lo0, F.greatest(t0 - p.time_pad, F.lit(0)))
     high = cells(p, la1, lo1, t1 + max(0, p.time_pad - 1))
-    return windows.select("name", *[c.alias(f"{a}{i}") for i, corner in enumerate((low, high)) for a, c in zip("xyz", corner, strict=True)])
+    return windows.select("name", *carry, *[c.alias(f"{a}{i}") for i, corner in enumerate((low, high)) for a, c in zip("xyz", corner, strict=True)])
 
 
 #: Most blocks of one window's cover; windows that need more are covered by coarser blocks.
@@ -49,12 +50,19 @@ def block_count(p: SfcParams, shift: int) -> Column:
     return x * y * (F.lit(1).cast("long") if p.bucketed and shift >= p.bits else z)
 
 
-def blocks(windows: DataFrame, p: SfcParams, block_bits: int = 6) -> DataFrame:
-    """``name, block``: the aligned blocks of ``2**block_bits`` keys whose cells meet the window's box.
+def dealt(windows: DataFrame) -> DataFrame:
+    """``windows`` in as many parts as a shuffle has, by name. A table of windows is small, so Spark would leave it in one part, whose
+    task then made all blocks."""
+    return windows.repartition(int(windows.sparkSession.conf.get("spark.sql.shuffle.partitions")), "name")
+
+
+def blocks(windows: DataFrame, p: SfcParams, block_bits: int = 6, carry: Sequence[str] = ()) -> DataFrame:
+    """``name, carry, block``: the aligned blocks of ``2**block_bits`` keys whose cells meet the window's box.
 
     ``block_bits`` is a multiple of 3 (of 2 for bucketed keys): a block is then a cube (square) of cells.
     """
-    return _explode(boxes(windows, p).withColumn("s", F.lit(_shift(p, block_bits))), p).select("name", F.shiftrightunsigned("lo", block_bits).alias("block"))
+    own = _explode(boxes(windows, p, *carry).withColumn("s", F.lit(_shift(p, block_bits))), p, *carry)
+    return own.select("name", *carry, F.shiftrightunsigned("lo", block_bits).alias("block"))
 
 
 def _shift(p: SfcParams, block_bits: int) -> int:
@@ -64,8 +72,8 @@ def _shift(p: SfcParams, block_bits: int) -> int:
     return block_bits // dims
 
 
-def _explode(boxed: DataFrame, p: SfcParams) -> DataFrame:
-    """``name, lo, hi``: the keys of every block of side ``2**s`` that a box meets, ``s`` a column."""
+def _explode(boxed: DataFrame, p: SfcParams, *carry: str) -> DataFrame:
+    """``name, carry, lo, hi``: the keys of every block of side ``2**s`` that a box meets, ``s`` a column."""
     def axis(df: DataFrame, a: str, shift: str) -> DataFrame:
         return df.withColumn(a, F.explode(F.sequence(F.expr(f"shiftright({a}0, {shift})"), F.expr(f"shiftright({a}1, {shift})"))))
 
@@ -73,14 +81,14 @@ def _explode(boxed: DataFrame, p: SfcParams) -> DataFrame:
     x, y, z = F.expr("shiftleft(x, s)"), F.expr("shiftleft(y, s)"), F.expr("shiftleft(z, s)")
     if not p.bucketed:
         lo = morton3(x, y, z, p.bits)
-        return axis(df, "z", "s").select("name", lo.alias("lo"), (lo + F.expr("shiftleft(1L, 3 * s)") - 1).alias("hi"))
+        return axis(df, "z", "s").select("name", *carry, lo.alias("lo"), (lo + F.expr("shiftleft(1L, 3 * s)") - 1).alias("hi"))
     # squares as large as the plane are the same for all buckets, so one range holds them all
     whole = F.col("s") >= p.bits
     df = df.withColumn("z", F.explode(F.when(whole, F.array("z0")).otherwise(F.sequence("z0", "z1"))))
     if p.true_hilbert:
         raise ValueError("covers along the Hilbert curve are made by fine_cover")
     lo = F.shiftleft("z", 2 * p.bits) + morton2(x, y, p.bits)
-    return df.select("name", lo.alias("lo"), F.when(whole, F.shiftleft(F.col("z1") + 1, 2 * p.bits) - 1).otherwise(lo + F.expr("shiftleft(1L, 2 * s)") - 1).alias("hi"))
+    return df.select("name", *carry, lo.alias("lo"), F.when(whole, F.shiftleft(F.col("z1") + 1, 2 * p.bits) - 1).otherwise(lo + F.expr("shiftleft(1L, 2 * s)") - 1).alias("hi"))
 
 
 def merge_ranges(ranges: DataFrame, by: Sequence[str] = ("name",), gap: int = 1) -> DataFrame:
@@ -101,7 +109,7 @@ def cover(windows: DataFrame, p: SfcParams, block_bits: int = 6, most: int = MAX
     as coarse as at most ``most`` blocks a window demand (so no window's ranges outgrow a task)."""
     fine = _shift(p, block_bits)
     level = F.coalesce(*[F.when(block_count(p, s) <= most, F.lit(s)) for s in range(fine, p.bits)], F.lit(max(fine, p.bits)))
-    return merge_ranges(_explode(boxes(windows, p).withColumn("s", level), p))
+    return merge_ranges(_explode(dealt(boxes(windows, p)).withColumn("s", level), p))
 
 
 def coalesce_ranges(ranges: DataFrame, prefix_bits: int, total_bits: int, by: Sequence[str] = ("name",)) -> DataFrame:
@@ -151,49 +159,14 @@ def fine_cover(windows: DataFrame, p: SfcParams, most: int | None = None, block_
     One block holds all cells at first. In every round the blocks that lie in the window's box are done at their size, those
     that do not meet it are gone, and those on its border are split, the ones with most keys outside the box first, as long as
     the window's blocks stay within ``budget``; what cannot be split stays whole. Rounds end at blocks of ``2**block_bits`` keys; with 0 and
-    room enough the cover is the box, key by key. All rounds are one plan with one shuffle, by window. Bucketed
-    keys start from a square for each bucket, or from one range where the box holds the plane or more buckets than ``budget``.
+    room enough the cover is the box, key by key. Windows are dealt to tasks by name, and a task refines few of them at a time
+    (:mod:`curvespace.operators.refine`), so its memory does not grow with them. Bucketed keys start from a square for each bucket, or
+    from one range where the box holds the plane or more buckets than ``budget``.
     """
-    axes, fine = ("xy" if p.bucketed else "xyz"), _shift(p, block_bits)
-    c = F.col
-    rows = boxes(windows, p).withColumns({"x": F.lit(0).cast("long"), "y": F.lit(0).cast("long")})
-    if p.bucketed:
-        side = 2**p.bits - 1
-        whole = ((c("x0") <= 0) & (c("y0") <= 0) & (c("x1") >= side) & (c("y1") >= side)) | (c("z1") - c("z0") >= budget)
-        rows = rows.withColumn("whole", whole).withColumn("z", F.explode(F.when(c("whole"), F.array("z0")).otherwise(F.sequence("z0", "z1")))).withColumn("last", F.when(c("whole"), c("z1")).otherwise(c("z")))
-    else:
-        rows = rows.withColumns({"z": F.lit(0).cast("long"), "last": F.lit(0).cast("long"), "whole": F.lit(False)})
-
-    def met(a: str, size: int) -> Column:
-        """Cells of the axis that block and box share."""
-        return F.least(c(a) + size - 1, c(f"{a}1")) - F.greatest(c(a), c(f"{a}0")) + 1
-
-    def halves(a: str, size: int) -> Column:
-        h = size // 2
-        return ((c(f"{a}0") < c(a) + h) & (c(f"{a}1") >= c(a))).cast("long") + ((c(f"{a}1") >= c(a) + h) & (c(f"{a}0") < c(a) + size)).cast("long")
-
-    rows = rows.withColumns({"s": F.lit(p.bits), "open": ~c("whole")})
-    line = W.partitionBy("name").orderBy(F.desc("open"), F.desc("excess"), "z", "x", "y")
-    for s in range(p.bits, fine, -1):
-        size = 1 << s
-        shared, kids = reduce(lambda a, b: a * b, [met(a, size) for a in axes]), reduce(lambda a, b: a * b, [halves(a, size) for a in axes])
-        excess = F.lit(size ** len(axes)).cast("long") - shared
-        rows = rows.withColumn("excess", F.when(c("open"), excess).otherwise(F.lit(0).cast("long"))).withColumn("open", c("open") & (c("excess") > 0))
-        rows = rows.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("name"))).withColumn("n", c("n") + F.sum(F.when(c("open"), kids - 1).otherwise(F.lit(0).cast("long"))).over(line.rowsBetween(W.unboundedPreceding, 0)))
-        split = c("open") & (c("n") <= budget)
-        place = lambda *d: F.struct(*[(c(a) + v * (size // 2)).alias(a) for a, v in zip("xyz", (*d, *[0] * (3 - len(d))), strict=True)])  # noqa: B023, E731
-        into = F.filter(F.array(*[place(*d) for d in product((0, 1), repeat=len(axes))]), lambda b: reduce(lambda u, v: u & v, [(b[a] + (size // 2 - 1) >= c(f"{a}0")) & (b[a] <= c(f"{a}1")) for a in axes]))  # noqa: B023
-        kept_ = [c(f"{a}{i}") for a in "xyz" for i in (0, 1)]
-        rows = rows.select("name", *kept_, "last", split.alias("open"), F.when(split, s - 1).otherwise(c("s")).alias("s"), F.explode(F.when(split, into).otherwise(F.array(place(0)))).alias("b"))
-        rows = rows.select("name", *kept_, "last", "open", "s", "b.x", "b.y", "b.z")
-    # a square's keys are one stretch of the curve, which its corner's key shows when the digits within the square are cut off
-    lo = F.shiftleft("z", 2 * p.bits) + F.expr("shiftleft(shiftright(plane, 2 * s), 2 * s)") if p.bucketed else morton3(c("x"), c("y"), c("z"), p.bits)
-    hi = c("lo") + F.expr(f"shiftleft(1L, {len(axes)} * s)") - 1
-    hi = F.when(c("last") > c("z"), F.shiftleft(c("last") + 1, 2 * p.bits) - 1).otherwise(hi) if p.bucketed else hi
-    if p.bucketed:
-        rows = rows.withColumn("plane", plane_key(p, c("x"), c("y")))
-    got = rows.withColumn("lo", lo).withColumn("hi", hi).select("name", "lo", "hi")
-    return merge_ranges(got) if most is None else best_ranges(got, most)
+    ready(windows.sparkSession)
+    corners = [f"{a}{i}" for a in "xyz" for i in (0, 1)]
+    own = dealt(boxes(windows, p)).groupBy("name").agg(F.collect_list(F.struct(*[F.col(c).cast("long").alias(c) for c in corners])).alias("boxes"))
+    return own.mapInArrow(ranges_of(p, _shift(p, block_bits), budget, most), StructType([own.schema["name"], StructField("lo", LongType()), StructField("hi", LongType())]))
 
 
 def anchor_blocks(windows: DataFrame, p: SfcParams, stop_tail_bits: int = 6) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
@@ -9,6 +10,17 @@ from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 
+REPO = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+
+
+def ready(spark: SparkSession) -> SparkSession:
+    """Let Python workers import this package, wherever the driver was started from."""
+    env = spark.sparkContext.environment
+    have = env.get("PYTHONPATH", "")
+    if REPO not in have.split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (REPO, have) if x)
+    return spark
+
 
 def shared_dir(spark: SparkSession) -> str:
     """``spark.checkpoint.dir``. Where it is unset, a folder is made on this machine, but only if the session runs on

@@ -175,3 +175,18 @@ def test_an_empty_store(spark, small, tmp_path):
 def test_windows_over_computed_keys_have_small_plans(spark, small):
     for name in queries.WINDOWS:
         assert len(queries.QUERIES[f"window_{name}"](spark, small)._jdf.queryExecution().executedPlan().toString()) < 50_000
+
+
+def test_covers_of_many_windows_are_made_by_many_tasks_without_sorting_blocks(spark, small):
+    for p, most in ((queries.Z3, None), (queries.Z3, 8), (queries.HILBERT, None)):
+        got = cover.fine_cover(queries.windows(spark, small), p, most)
+        assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+        assert got.select(F.spark_partition_id()).distinct().count() > 1
+
+
+def test_windows_of_one_name_share_a_cover(spark):
+    p = SfcParams("z3", time=(0, 36_000), bits=4)
+    a, b = Window("a", 39.0, 39.5, 115.0, 116.0, 0, 9_000), Window("a", 39.3, 40.0, 115.5, 117.0, 6_000, 20_000)
+    both = cover.windows_frame(spark, [a, b])
+    want = set().union(*[keys_in(spark, p, cover.windows_frame(spark, [w]))["a"] for w in (a, b)])
+    assert {n: {k for lo, hi in r for k in range(lo, hi + 1)} for n, r in by_name(cover.fine_cover(both, p)).items()} == {"a": want}
