@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curvespace.functions.curves import encode
-from curvespace.operators.cover import block_count, blocks, boxes, meeting, merge_ranges, plan_windows
+from curvespace.operators.cover import block_count, blocks, boxes, dealt, meeting, merge_ranges, plan_windows
 from curvespace.operators.placement import spacing
 from curvespace.operators.range_join import in_ranges
 from curvespace.operators.routing import hops
@@ -15,6 +15,9 @@ from curvespace.params import Placement, SfcParams, Window
 #: Most ranges put into one filter, and most rows of a table that goes to all tasks.
 MAX_RANGES, MAX_ROWS = 100, 100_000
 
+#: Blocks a window on average, up to which blocks are refined for tables of windows that do not go to all tasks.
+DEALT = 64
+
 
 def inside(w: Window) -> Column:
     """The exact box: closed in latitude, longitude and time."""
@@ -27,23 +30,31 @@ def window_query(points: DataFrame, w: Window) -> DataFrame:
     return points.filter(inside(w))
 
 
+def grid(windows: DataFrame, p: SfcParams) -> tuple[int, bool]:
+    """The side of the blocks for :func:`multi_window`, as a power of 2 in cells, and whether the table of windows and blocks goes to all
+    tasks. It does where blocks as fine as ``MAX_ROWS`` rows allow will do; of more windows than ``MAX_ROWS / DEALT`` it may have
+    ``DEALT`` rows a window, else many windows would share few large blocks and meet all points in them."""
+    levels = range(2, p.bits + 1)
+    sums = boxes(windows, p).agg(F.count(F.lit(1)).alias("n"), *[F.coalesce(F.sum(block_count(p, s)), F.lit(0)).alias(f"n{s}") for s in levels]).first()
+    s = next((s for s in levels if sums[f"n{s}"] <= max(MAX_ROWS, DEALT * sums.n)), p.bits)
+    return s, sums[f"n{s}"] <= MAX_ROWS
+
+
 def multi_window(points: DataFrame, windows: DataFrame, p: SfcParams) -> DataFrame:
     """``name`` and the points of each of many windows. Windows are dealt to the blocks of cells that they meet and joined
-    with the points by block; the exact box decides. Blocks are as fine as ``MAX_ROWS`` rows of windows and blocks
-    allow; that table goes to all tasks, unless there are more windows than that: then it is dealt by block."""
-    box = boxes(windows, p)
-    levels = range(2, p.bits + 1)
-    sums = box.agg(*[F.coalesce(F.sum(block_count(p, s)), F.lit(0)).alias(f"n{s}") for s in levels]).first()
-    s = next((s for s in levels if sums[f"n{s}"] <= MAX_ROWS), p.bits)
+    with the points by block (:func:`grid`); the exact box decides. Tables of windows and blocks of over ``MAX_ROWS`` rows are dealt by
+    block, like the points."""
+    s, small = grid(windows, p)
     bits = (2 if p.bucketed else 3) * s
-    bounds = windows.select(F.col("name").alias("n_"), *[F.col(c).alias(f"w_{c}") for c in ("lat_min", "lat_max", "lon_min", "lon_max", "t_start", "t_end")])
+    limits = ("lat_min", "lat_max", "lon_min", "lon_max", "t_start", "t_end")
+    bounds = windows.select("name", *limits)
+    bounds = bounds if small else dealt(bounds)
     if p.bucketed and s >= p.bits:  # whole planes: the exact box alone decides
-        dealt = windows.select("name", F.lit(0).cast("long").alias("block")).distinct()
-        own = F.lit(0).cast("long")
+        side, own = bounds.withColumn("block", F.lit(0).cast("long")), F.lit(0).cast("long")
     else:
-        dealt, own = blocks(windows, p, bits), F.shiftright(encode(p, F.col("lat"), F.col("lon"), F.col("t")), bits)
-    side = dealt.join(F.broadcast(bounds), F.col("name") == F.col("n_")).drop("n_") if sums[f"n{s}"] <= MAX_ROWS else dealt.join(bounds, F.col("name") == F.col("n_")).drop("n_")
-    side = F.broadcast(side) if sums[f"n{s}"] <= MAX_ROWS else side
+        side, own = blocks(bounds, p, bits, limits), F.shiftright(encode(p, F.col("lat"), F.col("lon"), F.col("t")), bits)
+    side = side.withColumnsRenamed({c: f"w_{c}" for c in limits})
+    side = F.broadcast(side) if small else side
     on = F.col("lat").between(F.col("w_lat_min"), F.col("w_lat_max")) & F.col("lon").between(F.col("w_lon_min"), F.col("w_lon_max")) & F.col("t").between(F.col("w_t_start"), F.col("w_t_end"))
     return points.join(side, (own == F.col("block")) & on).select("name", *points.columns)
 

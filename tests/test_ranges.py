@@ -190,3 +190,15 @@ def test_windows_of_one_name_share_a_cover(spark):
     both = cover.windows_frame(spark, [a, b])
     want = set().union(*[keys_in(spark, p, cover.windows_frame(spark, [w]))["a"] for w in (a, b)])
     assert {n: {k for lo, hi in r for k in range(lo, hi + 1)} for n, r in by_name(cover.fine_cover(both, p)).items()} == {"a": want}
+
+
+def test_many_windows_are_dealt_to_small_blocks(spark, small, monkeypatch):
+    """More windows than the table for all tasks holds still meet few points, and a name with two windows gets a point once for each."""
+    wins, pts = queries.windows(spark, small), queries.keyed(spark, small)
+    wins = wins.union(wins.filter("name < 'u3'").select("name", "lat_min", (F.col("lat_max") + 0.1).alias("lat_max"), *wins.columns[3:]))
+    on = F.col("lat").between(F.col("lat_min"), F.col("lat_max")) & F.col("lon").between(F.col("lon_min"), F.col("lon_max")) & F.col("t").between(F.col("t_start"), F.col("t_end"))
+    want = sorted(map(tuple, pts.crossJoin(wins).filter(on).select("name", "ordinal").collect()))
+    for most in (window_query.MAX_ROWS, 10):
+        monkeypatch.setattr(window_query, "MAX_ROWS", most)
+        assert window_query.grid(wins, queries.Z3) in ((2, True), (3, False))
+        assert sorted(map(tuple, window_query.multi_window(pts, wins, queries.Z3).select("name", "ordinal").collect())) == want
