@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curvespace.llm.common import forget, free_name, free_names, join_spread, keep
+from curvespace.llm.common import forget, free_names, join_spread, keep
 
 #: Modulus of the rolling hash over line hashes: a prime under 2**31, so products stay within a long.
 PRIME = 2_147_483_647
@@ -112,61 +112,6 @@ def remove_repeated_chunks(docs: DataFrame, divisor: int = 8, long: int = 50, do
     return split.select(*cols, *([F.coalesce(F.size(out), F.lit(0)).alias(counts)] if counts else []))
 
 
-def passages(docs: DataFrame, text: str, long: int, into: str) -> DataFrame:
-    """``docs`` with ``into``: an array of ``k`` (first line), ``span`` (lines) and ``key`` for every pair of neighbouring
-    lines of ``text`` that are not both blank, and for every single line of over ``long`` words.
-
-    A key is the first 128 bits of each line's SHA-256, so equal keys stand for equal bytes. Null text: none.
-    """
-    lines, marks = free_name(docs, "lines_"), free_name(docs, "marks_")
-    df = docs.select(*docs.columns, F.explode(F.array(F.split(F.coalesce(F.col(text), F.lit("")), "\n"))).alias(lines))
-    words = lambda x: F.size(F.split(F.trim(F.regexp_replace(x, r"[ \t-\r]+", " ")), " "))
-    # a line of n words has n - 1 separators at least, so most lines are not split
-    is_long = lambda x: F.when(F.length(x) > 2 * long, words(x) > long).otherwise(F.lit(False))
-    mark = lambda x: F.struct(F.unhex(F.substring(F.sha2(x.cast("binary"), 256), 1, 32)).alias("d"), is_long(x).alias("long"), x.rlike(r"[^ \t-\r]").alias("seen"))
-    df = df.select(*docs.columns, F.explode(F.array(F.transform(lines, mark))).alias(marks))
-
-    def pair(m: Column, i: Column) -> Column:
-        after = F.get(F.col(marks), i + 1)
-        return F.when(after.isNotNull() & (m["seen"] | after["seen"]), F.struct(i.alias("k"), F.lit(2).alias("span"), F.concat(m["d"], after["d"]).alias("key")))
-
-    def single(m: Column, i: Column) -> Column:
-        return F.when(m["long"], F.struct(i.alias("k"), F.lit(1).alias("span"), m["d"].alias("key")))
-
-    both = F.filter(F.concat(F.transform(marks, pair), F.transform(marks, single)), lambda p: p.isNotNull())
-    return df.select(*docs.columns, both.alias(into))
-
-
-def remove_repeated_runs(docs: DataFrame, long: int = 50, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` without the lines of ``text`` that lie in a passage that occurs before: in a document of lesser id, or
-    earlier in the same one. A passage is a run of two or more whole lines, no two blank
-    ones side by side, or one line of over ``long`` words.
-
-    A run occurs before only if each pair of neighbouring lines in it does, and such a pair is itself a run; so pairs
-    give exactly the lines of all repeated runs, of any length, and no boundary is needed. The first place of a
-    passage is the least by (id with nulls last, text's hash, line). Every line taken out has an equal one that stays.
-    Rows of equal id and text count as one and get equal results. Null text stays null; ids may be null or repeat.
-    """
-    ids, t, out, i, u, lines = free_names(docs, "ids", "sum", "gone", "gone_id", "gone_sum", "split")
-    key = F.struct(F.col(doc_id).isNull().alias("none"), F.col(doc_id).alias("id"))
-    rows = docs.withColumn(ids, key).withColumn(t, F.xxhash64(F.coalesce(F.col(text), F.lit("")).cast("binary")))
-    found = passages(rows.select(F.col(ids).alias("id"), F.col(t).alias("t"), F.col(text).alias("text")), "text", long, "passages")
-    each = found.select("id", "t", F.explode("passages").alias("p")).select(F.struct("id", "t", "p.k").alias("at"), "p.span", "p.key")
-    each = keep(each)
-
-    seen = keep(each.groupBy("key").agg(F.min("at").alias("first"), F.max("at").alias("last"), F.count(F.lit(1)).alias("n")).filter("first <> last").select("key", "first", "n"))
-    later = join_spread(each, seen, "key").filter("at <> first")
-    lost = later.select("at.id", "at.t", F.explode(F.sequence(F.col("at.k"), F.col("at.k") + F.col("span") - 1)).alias("k"))
-    gone = keep(lost.groupBy("id", "t").agg(F.collect_set("k").alias(out)).select(F.col("id").alias(i), F.col("t").alias(u), out))
-    forget(each, seen)
-
-    joined = rows.join(gone.hint("merge"), (F.col(f"{ids}.none") == F.col(f"{i}.none")) & F.col(f"{ids}.id").eqNullSafe(F.col(f"{i}.id")) & (F.col(t) == F.col(u)), "left")
-    split = joined.select(*joined.columns, F.explode(F.array(F.when(F.col(out).isNotNull(), F.split(F.col(text), "\n")))).alias(lines))
-    stay = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col(out))
-    new = F.when(F.col(out).isNull(), F.col(text)).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col(lines), i)), "\n"))
-    return split.select(*[new.alias(c) if c == text else F.col(c) for c in docs.columns])
-
-
 def oracle(long: int = 50) -> str:
     """DuckDB SQL for ``doc_id, lines_removed, kept_md5`` over ``documents`` of unique, non-null ids: lines of pairs of neighbouring
     lines, not both blank, that occur before, and lines of over ``long`` words that do."""

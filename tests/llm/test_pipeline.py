@@ -6,7 +6,7 @@ import brute
 import corpus_pipeline
 import public_tokenizers
 
-from curvespace.llm import toxicity
+from curvespace.llm import line_dedup, toxicity
 
 
 def test_stages_keep_columns_and_order(spark, case):
@@ -42,3 +42,14 @@ def test_run_is_what_the_plain_stages_give(spark, small):
     want = brute.pieces([r for r in unique if r[0] not in leaking], public_tokenizers.path("byte_bpe_50k.json"))
     got = corpus_pipeline.run(spark, small).select("doc_id", "piece", "start", "length", "ids_crc32").collect()
     assert Counter(map(tuple, got)) == Counter(want)
+
+
+def test_line_stage_is_the_named_method(spark, case, monkeypatch):
+    """Lines go by the chunks of the operator, not by a plainer way beside it."""
+    ran, cut = [], line_dedup.cut_chunks
+    monkeypatch.setattr(line_dedup, "cut_chunks", lambda *a: ran.append(a) or cut(*a))
+    docs = spark.read.parquet(f"{case[0]}/documents.parquet")
+    got = corpus_pipeline.dedup_lines(spark, docs, case[0])
+    assert ran
+    want = line_dedup.remove_repeated_chunks(docs)
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, want.collect()))
