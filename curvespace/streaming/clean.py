@@ -13,6 +13,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from curvespace.functions.geo import EARTH_M
 from curvespace.functions.timeparse import local_to_utc
 from curvespace.operators.clean import CleanRules, row_reason
+from curvespace.sources.shared import ready
 
 _POINT = "ordinal long, lat double, lon double, dt_s long"
 _OUT = "traj_id string, ordinal long, lat double, lon double, ts timestamp, dist_m double, segment_id int"
@@ -97,6 +98,7 @@ def clean_stream(raw: DataFrame, rules: CleanRules = CleanRules(), late: str = "
     with ``ts``, ``dist_m`` from the row before and ``segment_id``, their place in the trajectory. A row comes out when the
     watermark, ``late`` behind the latest one, has passed its second and its trajectory has ``min_points`` rows that stay; rows that come
     after the watermark are dropped. Needs the RocksDB state store and the append mode."""
+    ready(raw.sparkSession)
     rows = raw.withColumn("ts", local_to_utc(F.col("date"), F.col("time"), rules.zone)).withColumn("dt_s", F.unix_seconds("ts"))
     good = rows.filter(row_reason(rules).isNull() & F.col("traj_id").isNotNull()).withWatermark("ts", late)
     cleaned = good.groupBy("traj_id").transformWithStateInPandas(Cleaner(rules), _OUT, "Append", "EventTime")
