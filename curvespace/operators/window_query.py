@@ -11,10 +11,14 @@ from curvespace.operators.placement import spacing
 from curvespace.operators.range_join import in_ranges
 from curvespace.operators.routing import hops
 from curvespace.params import Placement, SfcParams, Window
+from curvespace.sources.shared import keep
 
 #: Most ranges put into one filter, and most rows of a table that goes to all tasks.
 MAX_RANGES, MAX_ROWS = 100, 100_000
 
+#: Bounds of a window.
+LIMITS = ("lat_min", "lat_max", "lon_min", "lon_max", "t_start", "t_end")
+
 #: Blocks a window on average, up to which blocks are refined for tables of windows that do not go to all tasks.
 DEALT = 64
 
@@ -46,14 +50,13 @@ def multi_window(points: DataFrame, windows: DataFrame, p: SfcParams) -> DataFra
     block, like the points."""
     s, small = grid(windows, p)
     bits = (2 if p.bucketed else 3) * s
-    limits = ("lat_min", "lat_max", "lon_min", "lon_max", "t_start", "t_end")
-    bounds = windows.select("name", *limits)
+    bounds = windows.select("name", *LIMITS)
     bounds = bounds if small else dealt(bounds)
     if p.bucketed and s >= p.bits:  # whole planes: the exact box alone decides
         side, own = bounds.withColumn("block", F.lit(0).cast("long")), F.lit(0).cast("long")
     else:
-        side, own = blocks(bounds, p, bits, limits), F.shiftright(encode(p, F.col("lat"), F.col("lon"), F.col("t")), bits)
-    side = side.withColumnsRenamed({c: f"w_{c}" for c in limits})
+        side, own = blocks(bounds, p, bits, LIMITS), F.shiftright(encode(p, F.col("lat"), F.col("lon"), F.col("t")), bits)
+    side = side.withColumnsRenamed({c: f"w_{c}" for c in LIMITS})
     side = F.broadcast(side) if small else side
     on = F.col("lat").between(F.col("w_lat_min"), F.col("w_lat_max")) & F.col("lon").between(F.col("w_lon_min"), F.col("w_lon_max")) & F.col("t").between(F.col("w_t_start"), F.col("w_t_end"))
     return points.join(side, (own == F.col("block")) & on).select("name", *points.columns)
@@ -63,7 +66,10 @@ def fetch(placed: DataFrame, windows: DataFrame, plan: DataFrame, p: SfcParams,
     """``name`` and the points of each window, as the nodes of ``plan`` (see :func:`fetch_plan`) return them: of what a
     planned node holds, the points inside the box whose key lies in one of the node's ranges. Plans of up to ``MAX_ROWS`` ranges go to
     all tasks; larger ones are merged with the points in the order of keys (:func:`curvespace.operators.range_join.in_ranges`)."""
-    found = multi_window(placed, windows, p)
+    return _planned(multi_window(placed, windows, p), plan, key)
+
+
+def _planned(found: DataFrame, plan: DataFrame, key: str = "key") -> DataFrame:
     slices = plan.select(F.col("name").alias("n_"), F.col("vnode_idx").alias("v_"), "lo", "hi")
     if slices.limit(MAX_ROWS + 1).count() > MAX_ROWS:
         return in_ranges(found, plan.select("name", "vnode_idx", "lo", "hi"), ("name", "vnode_idx"), key)
@@ -109,6 +115,27 @@ def pnode_report(plan: DataFrame, hits: DataFrame, place: Placement, ring_bits:
     return rows.select("name", "pnode_idx", F.coalesce("c_", F.lit(0)).cast("long").alias("returned_count"), "route_hops")
 
 
+def window_report(placed: DataFrame, windows: DataFrame, p: SfcParams, place: Placement) -> DataFrame:
+    """:func:`pnode_report` of many windows on a uniform ring, by :func:`fetch`, of which only numbers are kept. Windows of equal bounds
+    are one box, and points of equal place, time and node are one row with their number: boxes are planned and meet rows once, what
+    they find is counted by key before it is held against the plan, and names come last."""
+    named = keep(windows.select("name", *LIMITS))
+    boxes = keep(named.select(*LIMITS).distinct().withColumn("name", F.monotonically_increasing_id()))
+    plan = keep(fetch_plan(plan_windows(boxes, p), place, p.ring_bits))
+    spots = placed.groupBy("lat", "lon", "t", "key", "pnode_idx", "vnode_idx").agg(F.count(F.lit(1)).alias("n_points"))
+    found = keep(multi_window(spots, boxes, p).groupBy("name", "pnode_idx", "vnode_idx", "key").agg(F.sum("n_points").alias("n_points")))
+    counts = _planned(found, plan).groupBy("name", "pnode_idx").agg(F.sum("n_points").alias("n_points"))
+    rows = plan.groupBy("name", "pnode_idx").agg(F.min("lo").alias("key")).join(counts, ["name", "pnode_idx"], "left").withColumnRenamed("name", "box")
+    of = boxes.select(F.col("name").alias("box"), *[F.col(c).alias(f"b_{c}") for c in LIMITS])
+    on = F.lit(True)
+    for c in LIMITS:
+        on = on & F.col(c).eqNullSafe(F.col(f"b_{c}"))
+    each = named.join(of, on).select("name", "box").join(rows, "box").groupBy("name", "pnode_idx").agg(F.min("key").alias("key"), F.sum("n_points").alias("n_points"))
+    n = place.nodes * (place.vnodes if place.mode == "vnode" else 1)
+    returned = F.coalesce(F.when(F.col("name").isNotNull(), F.col("n_points")), F.lit(0))  # no point has a null for its window's name
+    return each.select("name", "pnode_idx", returned.cast("long").alias("returned_count"), hops(F.col("key"), n, p.ring_bits).alias("route_hops"))
+
+
 def query_summary(report: DataFrame) -> DataFrame:
     """``name, total_hits, hit_pnodes, total_hops, avg_hops``; hops of packed rings stay null."""
     return report.groupBy("name").agg(
@@ -116,4 +143,4 @@ def query_summary(report: DataFrame) -> DataFrame:
     )
 
 
-__all__ = ["MAX_RANGES", "MAX_ROWS", "distinct_hits", "fetch", "fetch_plan", "fetch_plan_on", "inside", "multi_window", "plan_windows", "pnode_report", "query_summary", "window_query"]
+__all__ = ["MAX_RANGES", "MAX_ROWS", "distinct_hits", "fetch", "fetch_plan", "fetch_plan_on", "inside", "multi_window", "plan_windows", "pnode_report", "query_summary", "window_query", "window_report"]

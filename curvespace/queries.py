@@ -415,9 +415,7 @@ register("fetch_plan", f"WITH {SQL_PLAN} SELECT name, pnode_idx, vnode_idx, lo,
 
 
 def report(spark: SparkSession, sf: str) -> DataFrame:
-    plan = keep(window_query.fetch_plan(cover.plan_windows(windows(spark, sf), Z3), _BASE, RING))
-    hits = window_query.fetch(placement.assign(keyed(spark, sf), Z3, _BASE), windows(spark, sf), plan, Z3)
-    return window_query.pnode_report(plan, hits, _BASE, RING)
+    return window_query.window_report(placement.assign(keyed(spark, sf), Z3, _BASE), windows(spark, sf), Z3, _BASE)
 
 
 register("pnode_report", f"WITH {SQL_REPORT} SELECT * FROM report")(report)
