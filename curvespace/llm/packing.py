@@ -28,16 +28,22 @@ _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _SHOWN = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 
 
-class _Marks(dict):
-    """Ids of runs of full stops and commas, which follow a word as a pre-token of their own."""
+#: The pre-tokens of ASCII text under the byte-level BPE's own pattern.
+_PARTS = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
+
+
+class _Parts(dict):
+    """Ids of single pre-tokens of ASCII text."""
 
     def __init__(self, words: WordIds):
-        self.words = words
+        self.model = words.model
 
-    def __missing__(self, marks: str) -> bytes:
-        ids = self.words.encode(marks)
-        if len(marks) <= 8:
-            self[marks] = ids
+    def __missing__(self, part: str) -> bytes:
+        if len(self) >= REMEMBERED // 4:
+            self.clear()
+        ids = array("I", [t.id for t in self.model.tokenize(part.translate(_SHOWN))]).tobytes()
+        if len(part) <= 64:
+            self[part] = ids
         return ids
 
 
@@ -46,7 +52,8 @@ class WordIds(dict):
 
     For byte-level BPE without a normalizer, a text may be cut before any space that follows a character other than white space: the tokenizer's
     pre-token pattern never crosses such a place and looks at nothing before it. So the ids of a text are those
-    of its pieces, and a piece met before need not be encoded again. Texts of any other tokenizer are encoded whole.
+    of its pieces, and a piece met before need not be encoded again. ASCII pieces are cut into their pre-tokens here, unless a token
+    that was added to the vocabulary is in them. Texts of any other tokenizer are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -54,8 +61,10 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.marks = _Marks(self)
+        self.parts = _Parts(self)
         made = json.loads(self.tokenizer.to_str())
+        added = [re.escape(t["content"]) for t in made["added_tokens"]]
+        self.added = re.compile("|".join(added)).search if added else lambda piece: None
         cut = made["pre_tokenizer"] or {}
         self.by_pieces = made["model"]["type"] == "BPE" and made["normalizer"] is None and cut.get("type") == "ByteLevel" and cut.get("use_regex", True) and not cut["add_prefix_space"]
 
@@ -69,10 +78,12 @@ class WordIds(dict):
             self.clear()
         word = piece.rstrip(".,")
         if len(word) < len(piece) and word.isalpha():
-            return self[word] + self.marks[piece[len(word) :]]
-        if word.isalpha():
+            ids = self[word] + self.parts[piece[len(word) :]]
+        elif word.isalpha():
             shown = "Ġ" + piece if piece.isascii() else (" " + piece).encode().decode("latin-1").translate(_SHOWN)
             ids = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        elif piece.isascii() and not self.added(piece):
+            ids = b"".join(map(self.parts.__getitem__, _PARTS.findall(" " + piece)))
         else:
             ids = self.encode(" " + piece)
         if len(piece) <= 64:

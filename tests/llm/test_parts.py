@@ -334,3 +334,14 @@ def test_a_payload_of_a_third_of_all_pages_is_split(spark, monkeypatch):
         monkeypatch.setattr(warc, "HOT_URL", url)
         assert result() == want
     assert sum(r[1] == "revisit" for r in want) > 800
+
+
+def test_ascii_pieces_need_no_whole_tokenizer(monkeypatch):
+    """Only added tokens, and pieces beyond ASCII that are no word, are encoded by the whole tokenizer; ids are the same."""
+    words = packing.WordIds(TOKENIZER)
+    text = " a1b2 it's we'll end.\nNext x\t\ty #!?, 3.14, (so) don't\n\nGo word., \x1cz 'tis"
+    want = words.encode(text)
+    whole, encode = [], words.encode
+    monkeypatch.setattr(words, "encode", lambda piece: (whole.append(piece), encode(piece))[1])
+    assert words.of(text) == want and whole == []
+    assert words.of(" a<|endoftext|>b, é1") == encode(" a<|endoftext|>b, é1") and whole == [" a<|endoftext|>b,", " é1"]
