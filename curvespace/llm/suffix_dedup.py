@@ -19,12 +19,14 @@ _STEP = 0x9E3779B97F4A7C15
 _BYTE = (np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
 _POWERS: dict[bool, np.ndarray] = {}
 
-#: A document is read in pieces of this many bytes, and what a piece gives is handed on before the next one is read.
-CHUNK = 1 << 20
+#: Documents are read in pieces of this many bytes, and what a piece gives is handed on before the next one is read.
+CHUNK = 1 << 17
 #: Runs of sampled positions that a task holds before it hands them on.
 ROWS = 1 << 13
 #: Positions of one rank that are compared in one group; larger groups are ranked at more lengths first.
 GROUP = 200
+#: Pairs of positions that are compared at a time.
+PAIRS = 1 << 13
 
 
 def _powers(n: int, inverse: bool) -> np.ndarray:
@@ -71,38 +73,69 @@ def _slide(x: np.ndarray, w: int, of=np.minimum) -> np.ndarray:
     return of(x[: len(x) - (w - s)], x[w - s :]) if s < w else x
 
 
-def anchors(data: bytes, size: int, hulls: bool = True) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
+def _order(b: np.ndarray, half: int) -> np.ndarray:
+    """For every position with ``half`` bytes before the end of ``b``: an odd 32-bit number that 16 of these bytes at most decide."""
+    n = len(b) - half + 1
+    words = np.ndarray((len(b),), "<u8", np.concatenate([b, np.zeros(8, np.uint8)]), strides=(1,))
+    x = words[:n] & np.uint64((1 << 8 * min(half, 8)) - 1)
+    x *= np.uint64(_STEP)
+    x ^= x >> np.uint64(32)
+    if half > 8:
+        at = min(half - 8, 8)
+        x += words[at : at + n]
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return (x >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
+
+
+def anchors(data: bytes, size: int, hulls: bool = True, ends: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
     """``first, last, times, rank, hull`` of positions sampled by content, piece by piece of ``CHUNK`` bytes: runs of ``times``
     sampled positions, one after the other, of one rank at length size / 2 and one hull, whose digest is given if asked for.
 
-    A position is sampled if its half-length name is least among those that lie in some ``size`` bytes with it, so
-    every ``size`` bytes hold one, at the same place wherever these bytes occur. The hull of a position is the
+    A position is sampled if its number (:func:`_order`) is least among those whose half-length strings lie in some ``size`` bytes
+    with its own, so every ``size`` bytes hold one, at the same place wherever these bytes occur. The hull of a position is the
     union of the ``size``-byte windows that hold its half-length string; where it is cut short by an end of the
     document, the digest tells how. Bytes that repeat in short periods make long runs, which are one row each.
+    ``ends``: ``data`` is several documents that end there; no window and no run goes from one into the next.
     """
     half = size // 2
     w = size - half + 1
     n = len(data)
+    ends = np.array([n]) if ends is None else ends
+    starts = np.concatenate([[0], ends[:-1]])
+    flat, places = np.frombuffer(data, np.uint8), [k.to_bytes(4) for k in range(w)]
     for lo in range(0, max(1, n - size + 1), CHUNK):
         left, right = max(0, lo - 2 * size), min(n, lo + CHUNK + 3 * size)
-        sums = prefix_sums(data[left:right])
-        pos = np.arange(right - left - half + 1)
-        h = names(sums, pos, pos + half)
-        low = _slide(h, w)
-        pad = np.zeros(w - 1, np.uint64)
-        chosen = np.flatnonzero(h == _slide(np.concatenate([pad, low, pad]), w, np.maximum))
+        h = _order(flat[left:right], half)
+        low = np.zeros(len(h) + w - 1, np.uint32)  # by window, with those that begin before and after the piece
+        low[w - 1 : len(h)] = _slide(h, w)
+        for end in (ends[np.searchsorted(ends, left, "right") : np.searchsorted(ends, right + size)] - left + w - 1).tolist():
+            low[max(0, end - size + 1) : end] = 0  # windows into the next document
+        chosen = np.flatnonzero(h == _slide(low, w, np.maximum))
         chosen = chosen[(chosen + left >= lo) & (chosen + left < (lo + CHUNK if lo + CHUNK < n - size + 1 else n))]
-        rank, hull = h[chosen], []
+        doc = np.searchsorted(ends, chosen + left, "right")
+        rank, hull = names(prefix_sums(flat[left:right]), chosen, chosen + half), []
         new = np.ones(len(chosen), bool)
-        new[1:] = rank[1:] != rank[:-1]
+        new[1:] = (rank[1:] != rank[:-1]) | (doc[1:] != doc[:-1])
+        chosen += left
         if hulls:
-            a, b = np.maximum(chosen - (w - 1), 0), np.minimum(chosen + half + w - 1, right - left)
-            hull = [digest(data[left + x : left + y] + (c - x).to_bytes(4)) for c, x, y in zip(chosen.tolist(), a.tolist(), b.tolist(), strict=True)]
+            a, b = np.maximum(chosen - (w - 1), starts[doc]), np.minimum(chosen + half + w - 1, ends[doc])
+            hull = [digest(data[x:y] + places[c]) for c, x, y in zip((chosen - a).tolist(), a.tolist(), b.tolist(), strict=True)]
             for k in np.flatnonzero(~new).tolist():  # few, but in short periods
                 new[k] = hull[k] != hull[k - 1]
         first = np.flatnonzero(new)
-        ends = np.append(first[1:], len(chosen))[: len(first)]
-        yield chosen[first] + left, chosen[ends - 1] + left, ends - first, rank[first], hull if new.all() else [hull[k] for k in first.tolist()] if hulls else []
+        last = np.append(first[1:], len(chosen))[: len(first)]
+        yield chosen[first], chosen[last - 1], last - first, rank[first], hull if new.all() else [hull[k] for k in first.tolist()] if hulls else []
+
+
+def _pieces(column: pa.Array) -> Iterator[tuple[int, np.ndarray, bytes]]:
+    """Documents (of one byte at least) side by side, ``CHUNK`` bytes or one document a time: ``number of the first, ends, bytes``."""
+    held, at, many = [], 0, 0
+    for k, data in enumerate(column):
+        held.append(data.as_py())
+        many += len(held[-1])
+        if many >= CHUNK or k == len(column) - 1:
+            yield at, np.cumsum([len(x) for x in held]), b"".join(held)
+            held, at, many = [], k + 1, 0
 
 
 def _row_key(docs: DataFrame) -> tuple[Column, Column]:
@@ -118,19 +151,20 @@ def _sampled(src: DataFrame, size: int) -> DataFrame:
     names_ = ["id", "t", "pos", "last", "times", "key", "hull"]
 
     def out(held: list[tuple]) -> pa.RecordBatch:
-        many = [len(x[2]) for x in held]
-        ids = [np.repeat(np.array([x[k] for x in held], np.int64), many) for k in (0, 1)]
-        pos, last, times, key = (np.concatenate([x[k] for x in held]) for k in range(2, 6))
+        ids, t, pos, last, times, key = (np.concatenate([x[k] for x in held]) for k in range(6))
         hull = pa.array([h for x in held for h in x[6]], pa.binary())
-        return pa.RecordBatch.from_arrays([*map(pa.array, ids), pa.array(pos.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(times), pa.array(key.view(np.int64)), hull], names=names_)
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(t), pa.array(pos.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(times), pa.array(key.view(np.int64)), hull], names=names_)
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, rows = [], 0
         for b in batches:
-            for i, t, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
-                for got in anchors(data.as_py(), size):
-                    held.append((i, t, *got))
-                    rows += len(got[0])
+            ids, t = (b.column(k).to_numpy() for k in (0, 1))
+            for at, ends, data in _pieces(b.column(2)):
+                starts = np.concatenate([[0], ends[:-1]])
+                for first, last, *more in anchors(data, size, ends=ends):
+                    doc = np.searchsorted(ends, first, "right")
+                    held.append((ids[at + doc], t[at + doc], first - starts[doc], last - starts[doc], *more))
+                    rows += len(first)
                     if rows >= ROWS:
                         yield out(held)
                         held, rows = [], 0
@@ -147,8 +181,8 @@ def _ranks(src: DataFrame, size: int) -> DataFrame:
         held, rows = [], 0
         out = lambda: pa.RecordBatch.from_arrays([pa.array(np.concatenate([x[3] for x in held]).view(np.int64)), pa.array(np.concatenate([x[2] for x in held]))], names=["key", "times"])
         for b in batches:
-            for data in b.column(0):
-                for got in anchors(data.as_py(), size, False):
+            for _, ends, data in _pieces(b.column(0)):
+                for got in anchors(data, size, False, ends):
                     held.append(got)
                     rows += len(got[0])
                     if rows >= ROWS:
@@ -181,12 +215,12 @@ def repeated_spans(docs: DataFrame, size: int = 200, doc_id: str = "doc_id", tex
 
     Sampled positions are ranked at half the length (:func:`anchors`) and the unique are dropped: no window over
     them repeats. A position whose hull repeats is settled: every window over it does. The others are ranked at the
-    full length, window by window, against the open positions of equal rank and one settled position of each hull.
+    full length, each against the open positions of equal rank and one settled position of each hull.
     A rank that more than ``GROUP`` positions share is first ranked again at lengths halfway to the full one, for
     the earlier and the later half of its windows, until its groups are small, unique or settled.
 
     Ranks are 64-bit names, which only bring positions together. A hull repeats if its 128-bit digest does, and two
-    windows are equal if their bytes are (:func:`equal_windows`).
+    windows are equal if their bytes are (:func:`shared_windows`).
     """
     ready(docs.sparkSession)
     half = size // 2
@@ -232,14 +266,14 @@ def repeated_spans(docs: DataFrame, size: int = 200, doc_id: str = "doc_id", tex
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         """The windows that occur twice among positions of one rank, as spans."""
-        row, off, win = window_names(pdf.before, pdf.after, pdf.a, pdf.b, w)
         text = np.zeros((len(pdf), 2 * (w - 1) + half), np.uint8)  # half-length strings side by side, with what surrounds them
         for i, (x, c, y) in enumerate(zip(pdf.before, pdf.core, pdf.after, strict=True)):
             text[i, w - 1 - len(x) : w - 1 + half + len(y)] = np.frombuffer(bytes(x) + bytes(c) + bytes(y), np.uint8)
-        twice = equal_windows(text, row, off, [pdf.key.to_numpy()[row], win], w - 1, size)
-        twice = twice[~pdf.rep.to_numpy()[row][twice]]
-        lo = pdf.pos.to_numpy()[row[twice]] - off[twice]
-        return joined(pd.DataFrame({"id": pdf.id.to_numpy()[row[twice]], "t": pdf.t.to_numpy()[row[twice]], "lo": lo, "hi": lo + size}))
+        before, after = (pdf[c].map(len).to_numpy(np.int64) for c in ("before", "after"))
+        rep, a, b = (pdf[c].to_numpy() for c in ("rep", "a", "b"))
+        row, least, most = shared_windows(text, pdf.key.to_numpy(), before, after, a, b, w - 1, half, ~rep)
+        lo, hi = pdf.pos.to_numpy()[row] - most, pdf.pos.to_numpy()[row] - least + size
+        return joined(pd.DataFrame({"id": pdf.id.to_numpy()[row], "t": pdf.t.to_numpy()[row], "lo": lo, "hi": hi}))
 
     exact = todo.withColumn("bucket", F.pmod("key", F.lit(buckets))).groupBy("bucket").applyInPandas(compare, "id long, t long, lo int, hi int")
     found = exact.select("id", "t", span(F.col("lo"), F.col("hi")).alias("s"))
@@ -250,17 +284,49 @@ def repeated_spans(docs: DataFrame, size: int = 200, doc_id: str = "doc_id", tex
     return few.groupBy("id", "t").agg(F.collect_list(span(F.col("lo"), F.col("hi"))).alias("spans"))
 
 
-def window_names(before: pd.Series, after: pd.Series, first: pd.Series, last: pd.Series, w: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For rows of the bytes before and after a half-length string: ``row, off, name`` of every full window of ``off``
-    bytes before the string, ``first`` to ``last``, and ``w - 1 - off`` after."""
-    rows, offs, keys = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-    for i, (x, y, a, b) in enumerate(zip(before, after, first, last, strict=True)):
-        x, y = bytes(x), bytes(y)
-        off = np.arange(max(a, w - 1 - len(y)), min(b, len(x)) + 1)
-        rows.append(np.full(len(off), i))
-        offs.append(off)
-        keys.append(names(prefix_sums(x + y), len(x) - off, len(x) - off + w - 1))
-    return np.concatenate(rows), np.concatenate(offs), np.concatenate(keys)
+def pairs_of(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Every pair of rows of equal ``key``, once."""
+    if not len(key):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    order = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
+    many = np.diff(np.append(first, len(order)))
+    at = np.arange(len(order))
+    follow = np.repeat(first + many, many) - at - 1  # rows of its key after each
+    one = np.repeat(at, follow)
+    two = np.arange(len(one)) - np.repeat(np.cumsum(follow) - follow, follow) + one + 1
+    return order[one], order[two]
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """By row, how many values at the start are equal."""
+    differ = a != b
+    at = differ.argmax(axis=1)
+    return np.where(differ[np.arange(len(at)), at], at, a.shape[1])
+
+
+def shared_windows(text: np.ndarray, key: np.ndarray, before: np.ndarray, after: np.ndarray, first: np.ndarray, last: np.ndarray, side: int, half: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``row, least, most``: the windows that a ``wanted`` line of ``text`` shares with another of its ``key``, one range for
+    each such line.
+
+    A line holds ``half`` bytes from ``side`` on, ``before`` bytes before and ``after`` behind them; its windows are
+    ``half + side`` bytes long and begin ``first`` to ``last`` bytes before the half-length string. Two lines share what their equal bytes
+    around that string allow, and nothing where it differs: bytes decide, keys only choose pairs."""
+    back, ahead = np.ascontiguousarray(text[:, :side][:, ::-1]), np.ascontiguousarray(text[:, side:])
+    one, two = pairs_of(key)
+    use = wanted[one] | wanted[two]
+    one, two = one[use], two[use]
+    out = [(np.zeros(0, np.int64),) * 3]
+    for k in range(0, len(one), PAIRS):
+        i, j = one[k : k + PAIRS], two[k : k + PAIRS]
+        right = alike(ahead[i], ahead[j]) - half
+        i, j, right = i[right >= 0], j[right >= 0], right[right >= 0]
+        least = np.maximum(side - np.minimum(right, np.minimum(after[i], after[j])), np.maximum(first[i], first[j]))
+        most = np.minimum(np.minimum(alike(back[i], back[j]), np.minimum(before[i], before[j])), np.minimum(last[i], last[j]))
+        for x in (i, j):
+            ok = (least <= most) & wanted[x]
+            out.append((x[ok], least[ok], most[ok]))
+    return tuple(np.concatenate([x[k] for x in out]) for k in range(3))
 
 
 def equal_windows(text: np.ndarray, row: np.ndarray, off: np.ndarray, marks: list[np.ndarray], before: int, size: int) -> np.ndarray:
@@ -288,10 +354,11 @@ def equal_windows(text: np.ndarray, row: np.ndarray, off: np.ndarray, marks: lis
 def joined(spans: pd.DataFrame) -> pd.DataFrame:
     """Overlapping or touching spans of a document as one."""
     s = spans.sort_values(["id", "t", "lo"], kind="stable", ignore_index=True)
-    new = s.id.ne(s.id.shift()) | s.t.ne(s.t.shift()) | (s.lo > s.hi.shift())  # all spans here are equally long
+    top = s.groupby(["id", "t"], sort=False).hi.cummax()
+    new = s.id.ne(s.id.shift()) | s.t.ne(s.t.shift()) | (s.lo > top.shift())
     first = np.flatnonzero(new.to_numpy())
     last = np.append(first[1:], len(s))[: len(first)] - 1
-    return pd.DataFrame({"id": s.id.to_numpy()[first], "t": s.t.to_numpy()[first], "lo": s.lo.to_numpy()[first].astype(np.int32), "hi": s.hi.to_numpy()[last].astype(np.int32)})
+    return pd.DataFrame({"id": s.id.to_numpy()[first], "t": s.t.to_numpy()[first], "lo": s.lo.to_numpy()[first].astype(np.int32), "hi": top.to_numpy()[last].astype(np.int32)})
 
 
 def cut(data: bytes, spans: list[dict] | None) -> tuple[bytes, int, int]:

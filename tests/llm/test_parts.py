@@ -6,6 +6,7 @@ import random
 import brute
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -299,6 +300,38 @@ def test_windows_of_one_name_are_told_apart_by_bytes():
     assert sorted(suffix_dedup.equal_windows(text, np.arange(5), zero + 1, [zero], 3, 2)) == [0, 1, 2, 3, 4]
 
 
+def test_pairs_share_what_their_bytes_allow():
+    """Pairs of lines against a search for equal windows: lines cut short, ranges of windows, half-length strings that differ under one key."""
+    rng = random.Random(4)
+    side, half = 6, 5
+    for _ in range(30):
+        n = 24
+        before, after = ([rng.choice([side, side, rng.randrange(side)]) for _ in range(n)] for _ in range(2))
+        text = np.zeros((n, 2 * side + half), np.uint8)
+        for k in range(n):
+            text[k, side - before[k] : side + half + after[k]] = [rng.choice((0, 1)) if rng.random() < 0.1 else 7 for _ in range(before[k] + half + after[k])]
+        key = [rng.randrange(6) for _ in range(n)]
+        first, last, wanted = [rng.choice([0, 0, 2]) for _ in range(n)], [rng.choice([side, side, 3]) for _ in range(n)], [rng.random() < 0.7 for _ in range(n)]
+        own = [{(o, key[k], text[k, side - o : 2 * side + half - o].tobytes()) for o in range(max(first[k], side - after[k]), min(last[k], before[k]) + 1)} for k in range(n)]
+        want = {(k, o) for k in range(n) if wanted[k] for j in range(n) if j != k for o, *_ in own[k] & own[j]}
+        row, least, most = suffix_dedup.shared_windows(text, *map(np.array, (key, before, after, first, last)), side, half, np.array(wanted))
+        assert {(r, o) for r, a, b in zip(row.tolist(), least.tolist(), most.tolist(), strict=True) for o in range(a, b + 1)} == want
+
+
+def test_documents_side_by_side_are_sampled_alone():
+    rng = random.Random(5)
+    docs = ["".join(rng.choice("ab") for _ in range(rng.randrange(20, 400))).encode() for _ in range(50)] + [b"a" * 500, b"ab" * 300, b"a" * 20]
+    for size in (8, 9, 20):
+        want = [(k, *row) for k, d in enumerate(docs) for got in suffix_dedup.anchors(d, size) for row in zip(*got, strict=True)]
+        got = []
+        for at, ends, data in suffix_dedup._pieces(pa.array(docs)):
+            for first, last, *more in suffix_dedup.anchors(data, size, True, ends):
+                k = np.searchsorted(ends, first, "right")
+                start = np.concatenate([[0], ends[:-1]])[k]
+                got += zip(at + k, first - start, last - start, *more, strict=True)
+        assert got == want
+
+
 def test_warc_reader_bounds_what_follows_a_record():
     one = warc.record(1, "http://a/", b"x", None, "2024-01-01T00:00:00Z")
     padded = io.BytesIO(warc._gzip(one + b"\0" * (64 << 20)))
