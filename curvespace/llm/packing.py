@@ -8,6 +8,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -18,8 +19,8 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, Str
 
 from curvespace.llm.common import forget, free_name, keep, ranked, ready, tagged
 
-#: Words whose ids a worker remembers; beyond it the memory is emptied and fills again.
-REMEMBERED = 400_000
+#: Words whose ids a worker remembers; beyond it those used again since the last time are kept first.
+REMEMBERED = 300_000
 
 _SAFE = re.compile(r"(?<=\S) ")
 
@@ -28,20 +29,36 @@ _PLAIN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _SHOWN = {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in _PLAIN)}
 
 
-#: The pre-tokens of ASCII text under the byte-level BPE's own pattern.
-_PARTS = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+", re.ASCII)
+#: The pre-tokens, under the byte-level BPE's own pattern, of text that holds nothing but letters beyond ASCII.
+_PARTS = re.compile(r"'(?:[stmd]|re|ve|ll)| ?[A-Za-z\x80-\U0010ffff]+| ?[0-9]+| ?[^\sA-Za-z0-9\x80-\U0010ffff]+|\s+(?!\S)|\s+", re.ASCII)
+#: What is left without these are digits and characters beyond ASCII.
+_MARKS = re.compile(r"[\x00-\x2f\x3a-\x7f]+")
+
+
+class _Shown(dict):
+    """Characters as the letters of their UTF-8 bytes."""
+
+    def __missing__(self, c: str) -> str:
+        shown = self[c] = c.encode().decode("latin-1").translate(_SHOWN)
+        return shown
 
 
 class _Parts(dict):
-    """Ids of single pre-tokens of ASCII text."""
+    """Ids of single pre-tokens."""
 
     def __init__(self, words: WordIds):
-        self.model = words.model
+        self.words, self.model, self.shown = words, words.model, _Shown()
+
+    def new(self, part: str) -> bytes:
+        shown = part.translate(_SHOWN) if part.isascii() else "".join(map(self.shown.__getitem__, part))
+        return array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
 
     def __missing__(self, part: str) -> bytes:
+        if part[0] == " " and (ids := self.words.get(part[1:])):
+            return ids
         if len(self) >= REMEMBERED // 4:
             self.clear()
-        ids = array("I", [t.id for t in self.model.tokenize(part.translate(_SHOWN))]).tobytes()
+        ids = self.new(part)
         if len(part) <= 64:
             self[part] = ids
         return ids
@@ -52,8 +69,8 @@ class WordIds(dict):
 
     For byte-level BPE without a normalizer, a text may be cut before any space that follows a character other than white space: the tokenizer's
     pre-token pattern never crosses such a place and looks at nothing before it. So the ids of a text are those
-    of its pieces, and a piece met before need not be encoded again. ASCII pieces are cut into their pre-tokens here, unless a token
-    that was added to the vocabulary is in them. Texts of any other tokenizer are encoded whole.
+    of its pieces, and a piece met before need not be encoded again. ASCII pieces, and those of letters and ASCII marks, are cut into their
+    pre-tokens here, unless a token that was added to the vocabulary is in them. Texts of any other tokenizer are encoded whole.
     """
 
     def __init__(self, path: str):
@@ -61,7 +78,7 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.parts = _Parts(self)
+        self.parts, self.former = _Parts(self), {}
         made = json.loads(self.tokenizer.to_str())
         added = [re.escape(t["content"]) for t in made["added_tokens"]]
         self.added = re.compile("|".join(added)).search if added else lambda piece: None
@@ -75,21 +92,30 @@ class WordIds(dict):
         if not piece or piece[-1].isspace():
             raise LookupError  # the space after it is no place to cut
         if len(self) >= REMEMBERED:
+            self.former = dict(self)
             self.clear()
-        word = piece.rstrip(".,")
-        if len(word) < len(piece) and word.isalpha():
-            ids = self[word] + self.parts[piece[len(word) :]]
-        elif word.isalpha():
-            shown = "Ġ" + piece if piece.isascii() else (" " + piece).encode().decode("latin-1").translate(_SHOWN)
-            ids = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
-        elif piece.isascii() and not self.added(piece):
-            ids = b"".join(map(self.parts.__getitem__, _PARTS.findall(" " + piece)))
-        else:
-            ids = self.encode(" " + piece)
+        ids = self.former.get(piece)
+        if ids is None:
+            ids = self.new(piece)
         if len(piece) <= 64:
             self[piece] = ids
         return ids
 
+    def new(self, piece: str) -> bytes:
+        word = piece.rstrip(".,")
+        if len(word) < len(piece) and word.isalpha():
+            return self[word] + self.parts[piece[len(word) :]]
+        if word.isalpha():
+            if piece.isascii():
+                return array("I", [t.id for t in self.model.tokenize("Ġ" + piece)]).tobytes()
+            return self.parts.new(" " + piece)
+        return self.cut(" " + piece)
+
+    def cut(self, text: str) -> bytes:
+        if (text.isascii() or _MARKS.sub("", text).isalpha()) and not self.added(text):
+            return b"".join(map(self.parts.__getitem__, _PARTS.findall(text)))
+        return self.encode(text)
+
     def of(self, text: str) -> bytes:
         if not self.by_pieces:
             return self.encode(text)
@@ -97,7 +123,7 @@ class WordIds(dict):
         if first and first[-1].isspace():
             return self.slow(text)
         try:
-            return (self.encode(first) if first else b"") + b"".join(map(self.__getitem__, rest))
+            return self.cut(first) + b"".join(map(self.__getitem__, rest))
         except LookupError:
             return self.slow(text)
 
@@ -163,19 +189,25 @@ Solution = dict[Pattern, int]
 
 
 def fill(pattern: Pattern) -> int:
-    return sum(n * c for n, c in pattern)
+    whole = 0
+    for n, c in pattern:
+        whole += n * c
+    return whole
 
 
 def best_fit(items: dict[int, int], bins: Solution, size: int, order: list[int] | None = None) -> Solution:
     """Add ``items`` (length: count) to ``bins``, each length in turn into the fullest bins that still take it."""
     room: list[Solution] = [{} for _ in range(size + 1)]
     for p, m in bins.items():
-        room[size - fill(p)][p] = room[size - fill(p)].get(p, 0) + m
+        at = room[size - fill(p)]
+        at[p] = at.get(p, 0) + m
+    some = sum(1 << r for r, at in enumerate(room) if at)  # bit r: bins with this much room may be left
     for n in order or sorted(items, reverse=True):
         left, r = items[n], n
-        while left and r <= size:
+        while left and (more := some >> r):
+            r += (more & -more).bit_length() - 1
             if not room[r]:
-                r += 1
+                some ^= 1 << r
                 continue
             p, m = room[r].popitem()
             each = min(left, r // n)
@@ -187,6 +219,7 @@ def best_fit(items: dict[int, int], bins: Solution, size: int, order: list[int]
             key = tuple(sorted(new.items(), reverse=True))
             at = room[r - each * n]
             at[key] = at.get(key, 0) + whole
+            some |= 1 << r - each * n
             left -= whole * each
             # a bin that took fewer than it could is the fullest that still takes this length only if left is 0
         if left:
@@ -195,6 +228,7 @@ def best_fit(items: dict[int, int], bins: Solution, size: int, order: list[int]
                 if c and m:
                     at, key = room[size - c * n], ((n, c),)
                     at[key] = at.get(key, 0) + m
+                    some |= 1 << size - c * n
     out: Solution = {}
     for at in room:
         for p, m in at.items():
@@ -265,15 +299,15 @@ def evolve(population: list[Solution], items: dict[int, int], size: int, rng: ra
     """Crossovers until ``patience`` of them in a row have saved no bin, or the least possible number of bins is reached."""
     bound = -(-sum(n * c for n, c in items.items()) // size)
     best, idle = min(map(bins_of, population)), 0
+    scored = sorted(((score(s, size), s) for s in population), key=itemgetter(0), reverse=True)
     while best > bound and idle < patience:
-        population.sort(key=lambda s: score(s, size), reverse=True)
-        a, b = rng.sample(population[: max(2, len(population) // 2)], 2) if len(population) > 1 else population * 2
+        a, b = (s for _, s in (rng.sample(scored[: max(2, len(scored) // 2)], 2) if len(scored) > 1 else scored * 2))
         child = crossover(a, b, items, size, rng)
-        population.append(mutate(child, size, rng) if rng.random() < 0.5 else child)
-        population = sorted(population, key=lambda s: score(s, size), reverse=True)[:keep_best]
-        idle = idle + 1 if bins_of(population[0]) == best else 0
-        best = bins_of(population[0])
-    return sorted(population, key=lambda s: score(s, size), reverse=True)
+        child = mutate(child, size, rng) if rng.random() < 0.5 else child
+        scored = sorted([*scored, (score(child, size), child)], key=itemgetter(0), reverse=True)[:keep_best]
+        idle = idle + 1 if -scored[0][0][0] == best else 0
+        best = -scored[0][0][0]
+    return [s for _, s in scored]
 
 
 def pack_lengths(spark, items: dict[int, int], size: int, islands: int = 4, members: int = 4, patience: int = 40, seed: int = 1) -> Solution:

@@ -378,3 +378,46 @@ def test_ascii_pieces_need_no_whole_tokenizer(monkeypatch):
     monkeypatch.setattr(words, "encode", lambda piece: (whole.append(piece), encode(piece))[1])
     assert words.of(text) == want and whole == []
     assert words.of(" a<|endoftext|>b, é1") == encode(" a<|endoftext|>b, é1") and whole == [" a<|endoftext|>b,", " é1"]
+
+
+def test_letters_with_marks_need_no_whole_tokenizer(monkeypatch):
+    """Pieces of letters beyond ASCII and ASCII marks, and the first piece of a text, are cut into pre-tokens here; ids are the same."""
+    words = packing.WordIds(TOKENIZER)
+    text = "Été.\nÀ l'été, d'où? ciónrrci.\n\tÄb$$$ über_ö (naïve) 東京.\n東京!! ßt's 'ré don't\x1cé"
+    want = words.encode(text)
+    whole, encode = [], words.encode
+    monkeypatch.setattr(words, "encode", lambda piece: (whole.append(piece), encode(piece))[1])
+    assert words.of(text) == want and whole == []
+    for other in ("é²", "½.", "é ,", "é́.", "—é"):  # not letters alone
+        assert words.of(other) == encode(other)
+    rng = random.Random(3)
+    for _ in range(2000):
+        some = "".join(rng.choice("aé東ß'stre.,\n\t_!\x1c\x0b 9٣²　 😀") for _ in range(rng.randrange(1, 12)))
+        assert words.of(some) == encode(some)
+
+
+def test_words_in_use_stay_remembered(monkeypatch):
+    monkeypatch.setattr(packing, "REMEMBERED", 10)
+    words = packing.WordIds(TOKENIZER)
+    made, new = [], words.new
+    monkeypatch.setattr(words, "new", lambda piece: (made.append(piece), new(piece))[1])
+    for k in range(300):
+        words.of(f" often x{k}")
+    assert made.count("often") == 1
+    assert len(words) <= 10 >= len(words.former)
+
+
+def test_best_fit_takes_the_fullest_bin_with_room():
+    rng = random.Random(2)
+    for _ in range(50):
+        items, size = {rng.randrange(1, 60): rng.randrange(1, 9) for _ in range(12)}, 64
+        plain: list[int] = []
+        for n in sorted(items, reverse=True):
+            for _ in range(items[n]):
+                fit = [k for k, f in enumerate(plain) if f + n <= size]
+                if fit:
+                    plain[max(fit, key=lambda k: plain[k])] += n
+                else:
+                    plain.append(n)
+        got = packing.best_fit(items, {}, size)
+        assert sorted(packing.fill(p) for p, m in got.items() for _ in range(m)) == sorted(plain)
