@@ -83,7 +83,8 @@ def hamming_links(fps: DataFrame, radius: int = 2, segments: int = 16) -> DataFr
     A bit flips one segment's count by one, so the Manhattan distance of two count vectors never exceeds the
     Hamming distance. Vectors at distance 2 or less share a lattice point at most one step from each: every
     fingerprint goes to its own cell and the cells one step away, cells are joined by equality, and the exact
-    distance decides. Nothing within the radius is lost and no cell is capped.
+    distance decides. Nothing within the radius is lost and no cell is capped. The cells are sorted: Spark sizes them by
+    the rows before the explode, and would send up to 33 times its limit for a broadcast through the driver.
     """
     if not 0 <= radius <= 2:
         raise ValueError("radius must be 0, 1 or 2")
@@ -99,7 +100,7 @@ def hamming_links(fps: DataFrame, radius: int = 2, segments: int = 16) -> DataFr
     near = near.select("fp", (F.col("own") + F.col("d")).alias("cell"))
     a, b = near.select(F.col("fp").alias("u"), "cell"), near.select(F.col("fp").alias("v"), "cell")
     close = (F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius)
-    return a.join(b, "cell").filter(close).select("u", "v").distinct()
+    return a.join(b.hint("merge"), "cell").filter(close).select("u", "v").distinct()
 
 
 def near_duplicates(docs: DataFrame, words: int = 3, radius: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
