@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -457,17 +458,18 @@ register("clean_sliced", ORACLE["clean_kept"])(lambda spark, sf: clean.kept(clea
 def clean_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``events`` cleaned as a stream that arrives in files; one row a year later ends it."""
     rows = keep(raw(spark, sf_dir))
-    later = F.timestamp_seconds(F.lit(RULES.time[1] - 1 + 28_800))
+    year = RULES.time[1] + 365 * 86_400  # a row of the last second itself comes out once the watermark has passed it
+    later = F.timestamp_seconds(F.lit(year + 28_800))
     end = rows.limit(1).select(F.lit("end").alias("traj_id"), F.lit(-1).cast("long").alias("ordinal"), F.lit(39.1).alias("lat"), F.lit(116.0).alias("lon"), F.date_format(later, "yyyy-MM-dd").alias("date"), F.date_format(later, "HH:mm:ss").alias("time"))
     own = spark.newSession()
     own.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     at = f"{shared_dir(spark)}/streams/{uuid.uuid4().hex}"
     rows.repartitionByRange(4, "date", "time").write.parquet(f"{at}/in")
-    for part in (None, end):
-        if part is not None:
+    for part, rules, late in ((None, RULES, "40 days"), (end, replace(RULES, time=(RULES.time[0], year + 1)), "0 seconds")):
+        if part is not None:  # all that is new to the second run
             part.write.mode("append").parquet(f"{at}/in")
         arriving = own.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(f"{at}/in")
-        stream.clean_stream(arriving, RULES, late="0 seconds" if part is not None else "40 days").writeStream.option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/out").awaitTermination()
+        stream.clean_stream(arriving, rules, late=late).writeStream.option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start(f"{at}/out").awaitTermination()
     return spark.read.parquet(f"{at}/out").select("traj_id", "ordinal", F.round("dist_m", 3).alias("dist_m"), "segment_id")
 
 

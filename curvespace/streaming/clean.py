@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -15,7 +16,9 @@ from curvespace.functions.timeparse import local_to_utc
 from curvespace.operators.clean import CleanRules, row_reason
 from curvespace.sources.shared import ready
 
-_POINT = "ordinal long, lat double, lon double, dt_s long"
+#: State holds rows as the bytes of such arrays, a value for each batch: a value for each row costs more than all else.
+_POINT = np.dtype([("ordinal", "<i8"), ("lat", "<f8"), ("lon", "<f8"), ("dt_s", "<i8")])
+_STAYS = np.dtype([*_POINT.descr, ("dist_m", "<f8")])
 _OUT = "traj_id string, ordinal long, lat double, lon double, ts timestamp, dist_m double, segment_id int"
 
 
@@ -35,15 +38,18 @@ class Cleaner(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", _POINT)
+        self.waiting = handle.getListState("waiting", "points binary")
         self.last = handle.getValueState("last", "lat double, lon double, dt_s long")
         self.stay = handle.getValueState("stay", "n int")
-        self.held = handle.getListState("held", "ordinal long, lat double, lon double, dt_s long, dist_m double")
+        self.held = handle.getListState("held", "points binary")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         least = None
         for pdf in rows:
-            self.waiting.appendList([tuple(r) for r in pdf[["ordinal", "lat", "lon", "dt_s"]].itertuples(index=False)])
+            points = np.empty(len(pdf), _POINT)
+            for c in _POINT.names:
+                points[c] = pdf[c].astype(_POINT[c])
+            self.waiting.appendValue((points.tobytes(),))
             least = min([int(pdf.dt_s.min()), *([least] if least is not None else [])])
         if least is not None:
             self.handle.registerTimer(max(least * 1000 + 1, timerValues.getCurrentWatermarkInMs() + 1))
@@ -51,12 +57,17 @@ class Cleaner(StatefulProcessor):
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         now = timerValues.getCurrentWatermarkInMs()
-        rows = sorted((tuple(r) for r in self.waiting.get()), key=lambda r: (r[3], r[0]))
-        ready, rest = [r for r in rows if r[3] * 1000 < now], [r for r in rows if r[3] * 1000 >= now]
+        parts = [np.frombuffer(r[0], _POINT) for r in self.waiting.get()]
+        if not parts:  # an earlier timer took them
+            return
+        rows = np.concatenate(parts)
+        rows = rows[np.lexsort((rows["ordinal"], rows["dt_s"]))]
+        k = int(np.searchsorted(rows["dt_s"] * 1000, now))
+        ready, rest = rows[:k].tolist(), rows[k:]
         self.waiting.clear()
-        if rest:
-            self.waiting.put(rest)
-            self.handle.registerTimer(rest[0][3] * 1000 + 1)
+        if len(rest):
+            self.waiting.put([(rest.tobytes(),)])
+            self.handle.registerTimer(int(rest["dt_s"][0]) * 1000 + 1)
         last = tuple(self.last.get()) if self.last.exists() else None
         n = self.stay.get()[0] if self.stay.exists() else 0
         seen, out, r = set(), [], self.rules
@@ -64,7 +75,7 @@ class Cleaner(StatefulProcessor):
             if (second, lat, lon) in seen:
                 continue
             seen.add((second, lat, lon))
-            far = None
+            far = math.nan
             bad = False
             if last is not None:
                 far, gap = metres(last[0], last[1], lat, lon), second - last[2]
@@ -76,17 +87,17 @@ class Cleaner(StatefulProcessor):
             self.last.update(last)
         if not out:
             return
-        held = [tuple(x) for x in self.held.get()] if self.held.exists() else []
+        held = [x for r in self.held.get() for x in np.frombuffer(r[0], _STAYS).tolist()] if self.held.exists() else []
         first, out = n - len(held), [*held, *out]
         n = first + len(out)
         self.stay.update((n,))
         if n < r.min_points:
-            self.held.put(out)
+            self.held.put([(np.array(out, _STAYS).tobytes(),)])
             return
         self.held.clear()
         yield pd.DataFrame({
             "traj_id": key[0], "ordinal": [x[0] for x in out], "lat": [x[1] for x in out], "lon": [x[2] for x in out],
-            "ts": pd.to_datetime([x[3] for x in out], unit="s"), "dist_m": pd.array([x[4] for x in out], "Float64").to_numpy(float, na_value=float("nan")), "segment_id": range(first, n),
+            "ts": pd.to_datetime([x[3] for x in out], unit="s"), "dist_m": [x[4] for x in out], "segment_id": range(first, n),
         })
 
     def close(self) -> None:
