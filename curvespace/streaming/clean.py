@@ -16,7 +16,7 @@ from curvespace.functions.timeparse import local_to_utc
 from curvespace.operators.clean import CleanRules, row_reason
 from curvespace.sources.shared import ready
 
-#: State holds rows as the bytes of such arrays, a value for each batch: a value for each row costs more than all else.
+#: State holds rows as the bytes of such arrays, a value for each trajectory and batch.
 _POINT = np.dtype([("ordinal", "<i8"), ("lat", "<f8"), ("lon", "<f8"), ("dt_s", "<i8")])
 _STAYS = np.dtype([*_POINT.descr, ("dist_m", "<f8")])
 _OUT = "traj_id string, ordinal long, lat double, lon double, ts timestamp, dist_m double, segment_id int"
